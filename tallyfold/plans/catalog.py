@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyfold.plans import grouped_questions, simple_questions  # noqa: F401
+from tallyfold.plans import grouped_questions, operator_queries, simple_questions  # noqa: F401
 from tallyfold.plans.registry import REGISTRY
 
 
