@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,14 +13,21 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body``.
+
+    An expression used inside a lambda is otherwise evaluated again for every element.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ngrams(text: Column, n: int = 2) -> Column:
     """Distinct character n-grams of the whole text; empty for a text shorter than n.
 
-    The text is cut into characters once, so the work grows with its length, not with its square.
+    One regular expression walks over the text a character at a time and looks n characters ahead,
+    so the work is linear in the length of the text.
     """
-    chars = F.split(text, "")
-    grams = F.transform(F.sequence(F.lit(1), F.size(chars) - (n - 1)), lambda at: F.array_join(F.slice(chars, at, n), ""))
-    return F.when(F.char_length(text) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)))
 
 
 def jaccard(left: Column, right: Column) -> Column:

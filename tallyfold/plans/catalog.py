@@ -2,7 +2,14 @@
 
 from __future__ import annotations
 
-from tallyfold.plans import grouped_questions, operator_queries, simple_questions  # noqa: F401
+from tallyfold.plans import (  # noqa: F401
+    evaluation_queries,
+    grouped_questions,
+    operator_queries,
+    quality_queries,
+    similarity_queries,
+    simple_questions,
+)
 from tallyfold.plans.registry import REGISTRY
 
 
