@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,14 +11,6 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once per row and use it in ``body``.
-
-    An expression used inside a lambda is otherwise evaluated again for every element.
-    """
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def ngrams(text: Column, n: int = 2) -> Column:
     """Distinct character n-grams of the whole text; empty for a text shorter than n.
 
@@ -32,13 +22,8 @@ def ngrams(text: Column, n: int = 2) -> Column:
 
 def jaccard(left: Column, right: Column) -> Column:
     """Size of the intersection over size of the union of two sets; 0 if either is empty."""
-    shared = F.size(F.array_intersect(left, right))
-    return jaccard_of_sizes(shared, F.size(left), F.size(right))
-
-
-def jaccard_of_sizes(shared: Column, left_size: Column, right_size: Column) -> Column:
-    union = left_size + right_size - shared
-    return F.when((left_size == 0) | (right_size == 0), F.lit(0.0)).otherwise(shared / union)
+    shared, sizes = F.size(F.array_intersect(left, right)), (F.size(left), F.size(right))
+    return F.when((sizes[0] == 0) | (sizes[1] == 0), F.lit(0.0)).otherwise(shared / (sizes[0] + sizes[1] - shared))
 
 
 def python_round(number: Column, digits: int) -> Column:

@@ -1,18 +1,22 @@
 """Exact n-gram Jaccard similarity: retrieval of examples, and leakage of examples into a text set.
 
 Two physical ways give the same result. A set of examples below a checked size travels to the texts
-as one array value and every text is scored where it lies, without a shuffle. A larger one is joined
-by prefix filtering: two sets can only reach a similarity of t if their rarest grams overlap, so only
-texts that share such a gram, and whose sizes and gram positions still allow t, are ever compared.
+and every text is scored where it lies, without a shuffle and without a row per pair: an Arrow-batched
+function looks up the examples of each gram, which no built-in expression can do by hash. A larger
+set is joined by prefix filtering: two sets can only reach a similarity of t if their rarest grams
+overlap, so only texts that share such a gram, and whose sizes and gram positions still allow t, are
+ever compared.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallyfold.functions.text import bind, jaccard, jaccard_of_sizes, ngrams
+from tallyfold.functions.text import jaccard, ngrams
 
 # Gram length, examples per question, lowest useful score, leakage threshold.
 GRAM_LENGTH = 2
@@ -76,12 +80,29 @@ def fits_inline(examples: DataFrame, text: str, limit: int = INLINE_CHARACTERS)
     return (total or 0) <= limit
 
 
-def _bounded_jaccard(ours: Column, theirs: Column, lowest: float) -> Column:
-    """Similarity, or 0 where the sizes alone rule out ``lowest``: most sets are never intersected."""
-    our_size, their_size = F.size(ours), F.size(theirs)
-    reachable = F.least(our_size, their_size) >= F.greatest(our_size, their_size) * lowest - 1e-9
-    shared = F.size(F.array_intersect(ours, theirs))
-    return F.when(reachable, jaccard_of_sizes(shared, our_size, their_size)).otherwise(F.lit(0.0))
+class ExampleIndex:
+    """Which of a small set of texts hold each gram, for scoring one text against all of them."""
+
+    def __init__(self, texts: list[str], n: int):
+        self.n = n
+        sets = [self._grams(text) for text in texts]
+        self.sizes = np.array([len(grams) for grams in sets], dtype=np.int64)
+        holders: dict[str, list[int]] = {}
+        for at, grams in enumerate(sets):
+            for gram in grams:
+                holders.setdefault(gram, []).append(at)
+        self.holders = {gram: np.array(ats, dtype=np.int64) for gram, ats in holders.items()}
+
+    def _grams(self, text: str | None) -> set[str]:
+        return {text[at:at + self.n] for at in range(len(text) - self.n + 1)} if text else set()
+
+    def scores(self, text: str | None) -> np.ndarray:
+        """Jaccard similarity of a text to each of the texts."""
+        grams = self._grams(text)
+        hits = [self.holders[gram] for gram in grams & self.holders.keys()]
+        shared = np.bincount(np.concatenate(hits), minlength=len(self.sizes)) if hits else np.zeros(len(self.sizes))
+        union = len(grams) + self.sizes - shared
+        return np.divide(shared, union, out=np.zeros(len(self.sizes)), where=union > 0)
 
 
 def example_strings(examples: DataFrame) -> DataFrame:
@@ -90,6 +111,37 @@ def example_strings(examples: DataFrame) -> DataFrame:
     return examples.select("ordinal", F.explode(listed).alias("text"))
 
 
+def _best_of(strings: list[Row], k: int, lowest: float, n: int):
+    """Function of a text column: its k best examples. ``strings`` come in the order of their examples."""
+    index = ExampleIndex([row["text"] for row in strings], n)
+    ordinals = np.array([row["ordinal"] for row in strings], dtype=np.int64)
+    starts = np.flatnonzero(np.diff(ordinals, prepend=ordinals[:1] - 1))
+
+    def one(text: str | None) -> list[dict]:
+        if not len(starts):
+            return []
+        best = np.maximum.reduceat(index.scores(text), starts)
+        ranked = np.argsort(-best, kind="stable")[:k]
+        return [{"ordinal": int(ordinals[starts[at]]), "score": float(best[at])} for at in ranked if best[at] >= lowest]
+
+    @F.pandas_udf("array<struct<ordinal: bigint, score: double>>")
+    def choose(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return choose
+
+
+def _closest_to(texts: list[str], n: int):
+    """Function of a text column: similarity to the closest of a set of texts."""
+    index = ExampleIndex(texts, n)
+
+    @F.pandas_udf("double")
+    def closest(items: pd.Series) -> pd.Series:
+        return items.map(lambda text: float(index.scores(text).max(initial=0.0)))
+
+    return closest
+
+
 def best_examples(
     questions: DataFrame, examples: DataFrame, key: str, text: str = "text", k: int = EXAMPLES_PER_QUESTION,
     lowest: float = LOWEST_SCORE, n: int = GRAM_LENGTH, inline_limit: int = INLINE_CHARACTERS,
@@ -101,16 +153,9 @@ def best_examples(
     """
     strings = example_strings(examples)
     if fits_inline(strings, "text", inline_limit):
-        sets = gram_sets(strings, "ordinal", "text", n).groupBy("ordinal").agg(F.collect_list("grams").alias("sets"))
-        pool = sets.agg(F.collect_list(F.struct("ordinal", "sets"))).scalar()
-        both = F.struct(ngrams(F.col(text), n).alias("own"), F.col("pool"))
-        scored = bind(both, lambda b: F.transform(b["pool"], lambda e: F.struct(
-            (-F.array_max(F.transform(e["sets"], lambda s: _bounded_jaccard(b["own"], s, lowest)))).alias("minus"),
-            e["ordinal"].alias("ordinal"),
-        )))
-        useful = F.filter(scored, lambda e: -e["minus"] >= lowest)
-        picked = questions.withColumn("pool", pool).select(key, F.posexplode(F.slice(F.array_sort(useful), 1, k)).alias("at", "hit"))
-        return picked.select(key, (F.col("at") + 1).alias("place"), "hit.ordinal", (-F.col("hit.minus")).alias("score"))
+        choose = _best_of(strings.orderBy("ordinal").collect(), k, lowest, n)
+        found = questions.select(key, F.posexplode(choose(F.col(text))).alias("at", "hit"))
+        return found.select(key, (F.col("at") + 1).alias("place"), "hit.ordinal", "hit.score")
     pairs = similar_pairs(
         questions.select(key, F.col(text).alias("text")),
         strings.withColumn("string_id", F.struct("ordinal", F.col("text").alias("string"))),
@@ -130,11 +175,8 @@ def leakage_groups(
     Items are ``leaked`` from ``threshold`` on and ``clean`` below it.
     """
     if fits_inline(examples, text, inline_limit):
-        pool = gram_sets(examples.select(F.lit(0).alias("one"), text), "one", text, n).agg(F.collect_set("grams")).scalar()
-        both = F.struct(ngrams(F.col(text), n).alias("own"), F.col("pool"))
-        closest = bind(both, lambda b: F.array_max(
-            F.transform(b["pool"], lambda s: _bounded_jaccard(b["own"], s, threshold))))
-        scored = items.withColumn("pool", pool).select(key, closest.alias("similarity"))
+        closest = _closest_to([row[0] for row in examples.select(text).distinct().collect()], n)
+        scored = items.select(key, closest(F.col(text)).alias("similarity"))
     else:
         numbered = examples.select(F.col(text).alias("text")).distinct().withColumn("example_id", F.sha2("text", 256))
         pairs = similar_pairs(items.select(key, F.col(text).alias("text")), numbered, key, "example_id", threshold, n)
