@@ -60,17 +60,13 @@ class Days:
     first: date
     until: date
 
-    def holds(self, moment: Column) -> Column:
-        """Range test on a typed date or timestamp column.
+    def holds(self, moment: Column, kind: str = "timestamp_ntz") -> Column:
+        """Range test on a typed column, ``kind`` being its type.
 
-        The bounds are literals of the column's own kind, so the comparison reaches the Parquet scan
-        and prunes row groups and month partitions.
+        The bounds are literals of the column's own type, so the column is compared without a cast and
+        the comparison reaches the Parquet scan, where it prunes row groups.
         """
-        return (moment >= stamp_literal(self.first)) & (moment < stamp_literal(self.until))
-
-
-def stamp_literal(day: date) -> Column:
-    return F.lit(f"{day.isoformat()} 00:00:00").cast("timestamp_ntz")
+        return (moment >= F.lit(self.first.isoformat()).cast(kind)) & (moment < F.lit(self.until.isoformat()).cast(kind))
 
 
 def month(text: str) -> Days:

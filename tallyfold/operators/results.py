@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,17 +24,15 @@ def capped(df: DataFrame, order: list[Column], max_rows: int = MAX_ROWS) -> Data
     return numbered.where(F.col("place") <= max_rows).drop("place")
 
 
-def run_statement(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS) -> tuple[DataFrame, bool]:
+def run_statement(spark: SparkSession, sql: str, max_rows: int = MAX_ROWS) -> tuple[list[Row], bool]:
     """Run one read-only statement over the registered views, capped like an interactive answer.
 
-    Returns the capped rows and whether more existed.
+    Returns the capped rows and whether more existed. No more than ``max_rows + 1`` rows are fetched.
     """
     checked = spark.range(1).select(
         admission(F.lit(sql)).alias("reason"), bare_statement(F.lit(sql)).alias("text")
     ).first()
     if checked["reason"] != "ok":
         raise ValueError(f"statement refused: {checked['reason']}")
-    result = spark.sql(checked["text"])
-    rows = result.limit(max_rows + 1).collect()
-    kept = spark.createDataFrame(rows[:max_rows], result.schema)
-    return kept, len(rows) > max_rows
+    rows = spark.sql(checked["text"]).limit(max_rows + 1).collect()
+    return rows[:max_rows], len(rows) > max_rows

@@ -10,6 +10,8 @@ ever compared.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row
@@ -80,29 +82,30 @@ def fits_inline(examples: DataFrame, text: str, limit: int = INLINE_CHARACTERS)
     return (total or 0) <= limit
 
 
-class ExampleIndex:
-    """Which of a small set of texts hold each gram, for scoring one text against all of them."""
+def scorer(texts: list[str | None], n: int) -> Callable[[str | None], np.ndarray]:
+    """Function that gives the Jaccard similarity of one text to each of a small set of texts.
+
+    It carries all it needs as plain arrays, so tasks can run it without this package installed.
+    """
+    def grams_of(text: str | None) -> set[str]:
+        return {text[at:at + n] for at in range(len(text) - n + 1)} if text else set()
 
-    def __init__(self, texts: list[str], n: int):
-        self.n = n
-        sets = [self._grams(text) for text in texts]
-        self.sizes = np.array([len(grams) for grams in sets], dtype=np.int64)
-        holders: dict[str, list[int]] = {}
-        for at, grams in enumerate(sets):
-            for gram in grams:
-                holders.setdefault(gram, []).append(at)
-        self.holders = {gram: np.array(ats, dtype=np.int64) for gram, ats in holders.items()}
+    sets = [grams_of(text) for text in texts]
+    sizes = np.array([len(grams) for grams in sets], dtype=np.int64)
+    listed: dict[str, list[int]] = {}
+    for at, grams in enumerate(sets):
+        for gram in grams:
+            listed.setdefault(gram, []).append(at)
+    holders = {gram: np.array(ats, dtype=np.int64) for gram, ats in listed.items()}
 
-    def _grams(self, text: str | None) -> set[str]:
-        return {text[at:at + self.n] for at in range(len(text) - self.n + 1)} if text else set()
+    def scores(text: str | None) -> np.ndarray:
+        grams = grams_of(text)
+        hits = [holders[gram] for gram in grams & holders.keys()]
+        shared = np.bincount(np.concatenate(hits), minlength=len(sizes)) if hits else np.zeros(len(sizes))
+        union = len(grams) + sizes - shared
+        return np.divide(shared, union, out=np.zeros(len(sizes)), where=union > 0)
 
-    def scores(self, text: str | None) -> np.ndarray:
-        """Jaccard similarity of a text to each of the texts."""
-        grams = self._grams(text)
-        hits = [self.holders[gram] for gram in grams & self.holders.keys()]
-        shared = np.bincount(np.concatenate(hits), minlength=len(self.sizes)) if hits else np.zeros(len(self.sizes))
-        union = len(grams) + self.sizes - shared
-        return np.divide(shared, union, out=np.zeros(len(self.sizes)), where=union > 0)
+    return scores
 
 
 def example_strings(examples: DataFrame) -> DataFrame:
@@ -113,14 +116,14 @@ def example_strings(examples: DataFrame) -> DataFrame:
 
 def _best_of(strings: list[Row], k: int, lowest: float, n: int):
     """Function of a text column: its k best examples. ``strings`` come in the order of their examples."""
-    index = ExampleIndex([row["text"] for row in strings], n)
+    scores = scorer([row["text"] for row in strings], n)
     ordinals = np.array([row["ordinal"] for row in strings], dtype=np.int64)
     starts = np.flatnonzero(np.diff(ordinals, prepend=ordinals[:1] - 1))
 
     def one(text: str | None) -> list[dict]:
         if not len(starts):
             return []
-        best = np.maximum.reduceat(index.scores(text), starts)
+        best = np.maximum.reduceat(scores(text), starts)
         ranked = np.argsort(-best, kind="stable")[:k]
         return [{"ordinal": int(ordinals[starts[at]]), "score": float(best[at])} for at in ranked if best[at] >= lowest]
 
@@ -133,11 +136,11 @@ def _best_of(strings: list[Row], k: int, lowest: float, n: int):
 
 def _closest_to(texts: list[str], n: int):
     """Function of a text column: similarity to the closest of a set of texts."""
-    index = ExampleIndex(texts, n)
+    scores = scorer(texts, n)
 
     @F.pandas_udf("double")
     def closest(items: pd.Series) -> pd.Series:
-        return items.map(lambda text: float(index.scores(text).max(initial=0.0)))
+        return items.map(lambda text: float(scores(text).max(initial=0.0)))
 
     return closest
 

@@ -8,13 +8,13 @@ from tallyfold.functions.dates import Days, days, month
 from tallyfold.functions.money import as_number, line_amount, ratio
 from tallyfold.operators.relational import (
     category_paths,
+    lines_of,
     not_in,
     refunded_by_product,
     refunds_and_sales,
     roll_up,
     row_count,
     rows_at_maximum,
-    sales_by_product,
     sums_by,
     top_n,
     total_ratio,
@@ -96,8 +96,8 @@ def top_cities_in_month(t, during: Days = MARCH, n: int = 5):
            WHERE c.parent_id IS NOT NULL AND {IN_MARCH.format("o.created_at")}
            GROUP BY c.id ORDER BY sales DESC, category_id LIMIT 5""")
 def top_categories_by_sales(t, during: Days = MARCH, n: int = 5):
-    sold = sales_by_product(t.table("order_items"), t.table("orders", during), line_amount())
-    per_category = roll_up(sold, "product_id", t.table("products"), ["category_id"], sales=F.col("sales"))
+    sold = lines_of(t.table("order_items"), t.table("orders", during))
+    per_category = roll_up(sold, "product_id", t.table("products"), ["category_id"], sales=line_amount())
     named = per_category.join(category_paths(t.table("categories")), "category_id")
     picked = top_n(named.select("category_id", "category", "sales"), n, [F.desc("sales"), F.asc("category_id")])
     return picked.withColumn("sales", as_number(F.col("sales")))

@@ -8,6 +8,7 @@ from tallyfold.functions.dates import day_key, days, month, month_key
 from tallyfold.functions.money import as_number, line_amount, ratio
 from tallyfold.operators.relational import (
     category_paths,
+    lines_of,
     not_in,
     refunded_by_product,
     roll_up,
@@ -66,7 +67,7 @@ def inventory_subset(t, names=("orders", "customer", "no_such_table")):
 @query("data_range", "SELECT min(date) AS first_day, max(date) AS last_day FROM r_daily_product_metrics")
 def date_span(t):
     """The per-day table exists for days of its source, so the source column alone answers."""
-    return data_range(t.base("lineitem").withColumn("day", F.to_date("l_shipdate")), "day")
+    return data_range(t.base("lineitem"), "l_shipdate")
 
 
 @query("table_counts", " UNION ALL ".join(f"SELECT '{name}' AS \"table\", count(*) AS n FROM r_{name}" for name in TABLES))
@@ -198,11 +199,8 @@ def j_hierarchy(t):
           WHERE replace(substr(o.created_at, 1, 7), '/', '-') IN ('1996-01', '1996-02', '1996-03')
           GROUP BY p.status, c.name""")
 def j_star4(t):
-    per_line = sums_by(t.table("order_items"), "order_id", "product_id", lines="1", pieces="quantity")
-    chosen = t.table("orders", FIRST_QUARTER).select(F.col("id").alias("order_id"))
-    per_product = sums_by(per_line.join(chosen, "order_id"), "product_id", lines="lines", pieces="pieces")
-    per_group = roll_up(per_product, "product_id", t.table("products"), ["status", "category_id"],
-                        lines="lines", pieces="pieces")
+    chosen = lines_of(t.table("order_items"), t.table("orders", FIRST_QUARTER))
+    per_group = roll_up(chosen, "product_id", t.table("products"), ["status", "category_id"], lines="1", pieces="quantity")
     named = per_group.join(category_paths(t.table("categories")).select("category_id", "category"), "category_id")
     return sums_by(named, "status", "category", lines="lines", pieces="pieces")
 

@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 def schema_inventory(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """Columns of each table: ``table, ordinal, column, type``. Reads schemas only, no data."""
-    rows = [
-        (name, ordinal, field.name, field.dataType.simpleString())
+    columns = [
+        F.struct(F.lit(name).alias("table"), F.lit(ordinal).alias("ordinal"), F.lit(field.name).alias("column"),
+                 F.lit(field.dataType.simpleString()).alias("type"))
         for name, df in tables.items()
         for ordinal, field in enumerate(df.schema.fields, 1)
     ]
-    return spark.createDataFrame(rows, "`table` string, ordinal int, column string, type string")
+    return spark.range(1).select(F.inline(F.array(*columns)))
 
 
 def schema_subset(inventory: DataFrame, names: list[str]) -> DataFrame:
@@ -27,9 +28,12 @@ def schema_subset(inventory: DataFrame, names: list[str]) -> DataFrame:
     return inventory.where(F.col("table").isin(*known))
 
 
-def data_range(df: DataFrame, day: str) -> DataFrame:
-    """First and last day; for a bare Parquet column both come from the file footers."""
-    return df.agg(F.min(day).cast("string").alias("first_day"), F.max(day).cast("string").alias("last_day"))
+def data_range(df: DataFrame, moment: str) -> DataFrame:
+    """First and last day of a typed column, cast after the aggregate so the scan reads it as it is."""
+    return df.agg(
+        F.min(moment).cast("date").cast("string").alias("first_day"),
+        F.max(moment).cast("date").cast("string").alias("last_day"),
+    )
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
