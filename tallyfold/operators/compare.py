@@ -123,7 +123,7 @@ def mismatches(
     gold: DataFrame, pred: DataFrame, gold_columns: list[str] | None = None, pred_columns: list[str] | None = None,
     gold_order: Order | None = None, pred_order: Order | None = None, positions_per_block: int = POSITIONS_PER_BLOCK,
 ) -> DataFrame:
-    """Stretches of positions whose facing rows disagree: ``position`` of each stretch's first row.
+    """Where facing rows disagree: the first ``position`` of each stretch, at times twice.
 
     Both tables must have equally many rows. The two column lists name the columns that face each
     other, all by default; order columns need not be among them. Without an order the rounded cells
@@ -173,7 +173,7 @@ def mismatches(
     agree = F.lit(True)
     for cell, number in zip(cells, numbers, strict=True):
         agree = agree & cells_agree(F.col(f"gold.{cell}"), F.col(f"pred.{cell}"), number, number)
-    return facing.where(~agree).select("position").distinct()
+    return facing.where(~agree).select("position")
 
 
 def compare_rows(gold: DataFrame, pred: DataFrame, rule: str, **how) -> DataFrame:

@@ -461,7 +461,7 @@ def best_product_per_top_category(t, during: Days = MARCH):
            WHERE {IN_MARCH.format("o.created_at")} AND NOT EXISTS (
              SELECT 1 FROM r_payments p JOIN r_orders paid ON p.order_id = paid.id
              WHERE p.status = 'success' AND paid.user_id = o.user_id AND paid.created_at LIKE '1996%')""")
-def ordered_never_paid(t, during: Days = MARCH, paid_during: Days = days("1996-01-01", "1996-12-31")):
+def ordered_never_paid(t, during: Days = MARCH, paid_during: Days | None = days("1996-01-01", "1996-12-31")):
     """Users who ordered in a range and have no successful payment among their orders of a period.
 
     Payments carry no user, so they reach one through their order.
@@ -529,7 +529,7 @@ def payments_by_method_two_months(t, first: Days = month("1996-01"), second: Day
 @query("cities_with_idle_user",
        f"""SELECT count(DISTINCT city) AS n FROM r_users u WHERE u.city IS NOT NULL AND NOT EXISTS
            (SELECT 1 FROM r_orders o WHERE o.user_id = u.id AND {IN_MARCH.format("o.created_at")})""")
-def cities_with_idle_user(t, during: Days = MARCH):
+def cities_with_idle_user(t, during: Days | None = MARCH):
     idle = without_match(t.table("users").where(F.col("city").isNotNull()), "id", t.table("orders", during), "user_id")
     return idle.agg(F.count_distinct("city").alias("n"))
 
@@ -538,7 +538,7 @@ def cities_with_idle_user(t, during: Days = MARCH):
        """SELECT count(*) AS n FROM (SELECT DISTINCT city FROM r_users WHERE city IS NOT NULL) c WHERE NOT EXISTS
           (SELECT 1 FROM r_orders o JOIN r_users u ON o.user_id = u.id WHERE u.city = c.city
            AND replace(substr(o.created_at, 1, 10), '/', '-') BETWEEN '1996-03-01' AND '1996-03-02')""")
-def cities_without_orders(t, during: Days = days("1996-03-01", "1996-03-02")):
+def cities_without_orders(t, during: Days | None = days("1996-03-01", "1996-03-02")):
     """Cities none of whose users ordered."""
     users = t.table("users").where(F.col("city").isNotNull()).select(F.col("id").alias("user_id"), "city")
     buyers = t.table("orders", during).select("user_id").distinct().withColumn("bought", F.lit(True))

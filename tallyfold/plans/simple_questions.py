@@ -24,8 +24,8 @@ def mean_of(df: DataFrame, column: str, digits: int = 4) -> DataFrame:
 
 
 @query("table_size", "SELECT count(*) AS n FROM r_orders")
-def table_size(t, table: str = "orders"):
-    return row_count(t.table(table))
+def table_size(t, name: str = "orders"):
+    return row_count(t.table(name))
 
 
 @query("orders_in_status", "SELECT count(*) AS n FROM r_orders WHERE lower(status) = 'paid'")
@@ -305,12 +305,15 @@ def half_month_split(t, during: Days = MARCH, last_of_first: str = "1996-03-15")
 
 
 @query("users_in_two_periods",
-       """SELECT count(DISTINCT CASE WHEN date <= '2024-01-07' THEN user_id END) AS early_users,
-                 count(DISTINCT CASE WHEN date >= '2024-01-24' THEN user_id END) AS late_users
+       """SELECT count(DISTINCT CASE WHEN date <= '2024-01-02' THEN user_id END) AS early_users,
+                 count(DISTINCT CASE WHEN date = '2024-01-24' THEN user_id END) AS late_users
           FROM r_daily_user_activity""")
-def users_in_two_periods(t, early_until: str = "2024-01-07", late_from: str = "2024-01-24"):
+def users_in_two_periods(
+    t, early: Days = days("2024-01-01", "2024-01-02"), late: Days = days("2024-01-24", "2024-01-24")
+):
     """One row per user with a flag per period, then two counts: no distinct is expanded."""
+    in_period = lambda during: during.holds(F.col("date"), "string")
     per_user = t.table("daily_user_activity").groupBy("user_id").agg(
-        F.max(F.col("date") <= early_until).alias("early"), F.max(F.col("date") >= late_from).alias("late")
+        F.max(in_period(early)).alias("early"), F.max(in_period(late)).alias("late")
     )
     return per_user.agg(F.count_if("early").alias("early_users"), F.count_if("late").alias("late_users"))
