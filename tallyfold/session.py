@@ -27,6 +27,26 @@ def local_session(cpus: int | str = "*", app: str = "tallyfold", **conf: str) ->
     return session
 
 
+def cluster_settings(input_bytes: int) -> dict[str, str]:
+    """SQL settings for a submitted session that reads about ``input_bytes`` in its largest query.
+
+    Shuffles start with partitions of about 128 MB and are coalesced at run time where a filter left
+    less; a partition far above the others is split. Broadcasts stay tied to measured sizes.
+    """
+    partitions = min(max(input_bytes // (128 * 1024**2), 200), 100_000)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256MB",
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": "256MB",
+        "spark.sql.autoBroadcastJoinThreshold": "64MB",
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+    }
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The reliable folder for checkpoints and written intermediates.
 

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from tallyfold.functions.dates import days, month
 from tallyfold.plans import grouped_questions as grouped
 from tallyfold.plans import simple_questions as simple
+from tallyfold.session import cluster_settings, shared_folder
 from tallyfold.sources import items as files
-from tallyfold.sources.dump import SCHEMAS, TABLES, CuratedTables, DumpTables, curate
+from tallyfold.sources.dump import SCHEMAS, TABLES, CuratedTables, DumpTables, curate, store_bucketed
 from tallyfold.sources.tables import schema_inventory, schema_subset, table_counts
 
 
@@ -105,3 +106,39 @@ def test_every_kind_of_dirt_is_in_the_tables(tables):
     for condition in ("total_amount IS NULL", "total_amount < 0", "created_at LIKE '%+08:00'", "created_at LIKE '____/%'", "created_at LIKE '%T%'"):
         assert orders.where(condition).limit(1).count() == 1
     assert reviews.where("rating NOT BETWEEN 1 AND 5").limit(1).count() == 1
+
+
+def test_bucketed_tables_join_without_a_shuffle(spark, tables, scratch):
+    store_bucketed(tables.table("orders").withColumnRenamed("id", "order_id"), "orders_by_order", "order_id", 4, f"{scratch}/o")
+    store_bucketed(tables.table("order_items"), "items_by_order", "order_id", 4, f"{scratch}/i")
+    try:
+        joined = spark.table("items_by_order").hint("merge").join(spark.table("orders_by_order"), "order_id")
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == tables.table("order_items").join(
+            tables.table("orders").withColumnRenamed("id", "order_id"), "order_id").count()
+    finally:
+        spark.sql("DROP TABLE orders_by_order")
+        spark.sql("DROP TABLE items_by_order")
+
+
+def test_settings_grow_with_the_input():
+    small, large = cluster_settings(10**9), cluster_settings(100 * 1024**4)
+    assert small["spark.sql.shuffle.partitions"] == "200" and large["spark.sql.shuffle.partitions"] == "100000"
+    assert cluster_settings(10 * 1024**4)["spark.sql.shuffle.partitions"] == "81920"
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Elsewhere:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Elsewhere()
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_folder(Session())
