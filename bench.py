@@ -37,19 +37,29 @@ def seconds(spark, name: str, path: str) -> float:
     return time.perf_counter() - start
 
 
+def shuffled(spark) -> int:
+    """Bytes all executors have written to shuffles so far."""
+    executors = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+    return sum(executors.apply(at).totalShuffleWrite() for at in range(executors.size()))
+
+
 def main() -> None:
     path = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = catalog.names() if os.environ.get("BENCH_ALL") else HEADLINE
     spark = local_session(cpus, "bench")
-    times = {}
+    times, bytes_shuffled = {}, {}
     for name in names:
+        before = shuffled(spark)
         seconds(spark, name, path)
+        time.sleep(0.3)  # the counters are updated a little later
+        bytes_shuffled[name] = shuffled(spark) - before
         times[name] = round(statistics.median(seconds(spark, name, path) for _ in range(runs)), 3)
+        time.sleep(0.3)
     spark.stop()
     result = {"metric": "headline queries, warm median, total", "value": round(sum(times.values()), 3), "unit": "sec",
-              "queries": times, "sf": Path(path).name.removeprefix("sf"), "cpus": int(cpus), "runs": runs}
+              "queries": times, "shuffle_bytes": bytes_shuffled, "sf": Path(path).name.removeprefix("sf"), "cpus": int(cpus), "runs": runs}
     print(json.dumps(result))
 
 

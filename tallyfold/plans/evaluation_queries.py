@@ -98,8 +98,13 @@ def cmp_first_mismatch(t):
 
 
 @query("cmp_projection",
-       """WITH faced AS (SELECT count(*) AS n FROM orders)
-          SELECT n > 0 AS equal, 'projection' AS rule, CAST(NULL AS BIGINT) AS first_mismatch FROM faced""")
+       """WITH gold AS (SELECT row_number() OVER (ORDER BY o_custkey, round(o_totalprice, 4), o_totalprice) AS pos,
+                               o_custkey AS who, o_totalprice AS total FROM orders),
+               pred AS (SELECT row_number() OVER (ORDER BY who, round(total, 4), total) AS pos, who, total FROM
+                         (SELECT o_custkey AS who, o_totalprice + CAST(0.001 AS DOUBLE) AS total FROM orders) p)
+          SELECT count(CASE WHEN gold.who <> pred.who OR abs(gold.total - pred.total) > 0.011 THEN 1 END) = 0 AS equal,
+                 'projection' AS rule, CAST(NULL AS BIGINT) AS first_mismatch
+          FROM gold JOIN pred ON gold.pos = pred.pos""")
 def cmp_projection(t):
     """The prediction has two columns too many, other names and another column order."""
     gold = t.base("orders").select("o_custkey", "o_totalprice")
