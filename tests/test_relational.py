@@ -91,3 +91,10 @@ def test_statements(spark, tables):
     for refused in ("UPDATE orders SET status = 'paid'", "DROP TABLE orders", "SELECT 1; SELECT 2", "", "INSERT INTO orders VALUES (1)"):
         with pytest.raises(ValueError):
             run_statement(spark, refused)
+
+
+def test_slow_statement_is_cancelled(spark):
+    slow = "SELECT max(hash(a.id, b.id)) AS n FROM range(10000000) a, range(10000000) b"
+    with pytest.raises(TimeoutError):
+        run_statement(spark, slow, seconds=2.0)
+    assert run_statement(spark, "SELECT 1 AS x")[0] == [(1,)]
