@@ -53,7 +53,8 @@ def test_percentiles_of_skewed_runs(make):
     """One value holds most rows of one run; values share a bucket without being equal."""
     rng = random.Random(5)
     latencies = {"hot": [1.5] * 300 + [rng.uniform(0, 3) for _ in range(100)], "one": [0.25],
-                 "close": [2.0 + i * 1e-5 for i in range(60)]}
+                 "close": [2.0 + i * 1e-5 for i in range(60)], "closer": [2.0 + i * 1e-8 for i in range(70)] * 2,
+             "far": [rng.uniform(0, 1e5) for _ in range(50)]}
     wanted = {"p10": 0.1, "p50": 0.5, "p95": 0.95, "p100": 1.0}
     found = {row["run"]: row for row in ev.latency_percentiles(make(LOG, log_of(latencies)), **wanted).collect()}
     for run, values in latencies.items():
