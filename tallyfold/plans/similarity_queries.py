@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyfold.functions.text import jaccard, ngrams
 from tallyfold.operators.similarity import best_examples, leakage_accuracy, leakage_groups
 from tallyfold.plans.registry import query
+from tallyfold.sources.tables import spread
 
 
 def _grams_sql(text: str) -> str:
@@ -17,7 +18,7 @@ def _grams_sql(text: str) -> str:
        f"""SELECT doc_id, CAST(len(grams) AS INTEGER) AS n, md5(array_to_string(list_sort(grams), '|')) AS digest
            FROM (SELECT doc_id, {_grams_sql("text")} AS grams FROM documents) g""")
 def s_bigrams(t):
-    sets = t.base("documents").select("doc_id", ngrams(F.col("text")).alias("grams"))
+    sets = spread(t.base("documents")).select("doc_id", ngrams(F.col("text")).alias("grams"))
     return sets.select("doc_id", F.size("grams").alias("n"), F.md5(F.array_join(F.array_sort("grams"), "|")).alias("digest"))
 
 
@@ -75,7 +76,7 @@ _GROUPS_SQL = f"""g AS (SELECT doc_id, {_grams_sql("text")} AS grams FROM docume
            SELECT doc_id, CASE WHEN best >= 0.35 THEN 'leaked' ELSE 'clean' END AS leakage,
                   CASE WHEN best >= 0.35 THEN round(best, 6) END AS similarity FROM m""")
 def s_leakage_group(t):
-    groups = leakage_groups(t.base("documents"), t.base("benchmark"), "doc_id")
+    groups = leakage_groups(spread(t.base("documents")), t.base("benchmark"), "doc_id")
     return groups.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -93,4 +94,4 @@ def s_leakage_accuracy(t):
         F.struct(F.lit("toxic").alias("run"), (F.col("toxic") == 0).alias("correct")),
     )
     log = t.base("labels").select("doc_id", F.inline(runs))
-    return leakage_accuracy(leakage_groups(t.base("documents"), t.base("benchmark"), "doc_id"), log, "doc_id")
+    return leakage_accuracy(leakage_groups(spread(t.base("documents")), t.base("benchmark"), "doc_id"), log, "doc_id")
