@@ -6,9 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# Every character Python's ``str.strip`` drops.
+WHITE_SPACE = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
+
+
 def strip(text: Column) -> Column:
-    """Drop white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
+    """Drop white space of any kind at both ends; only the ends are looked at."""
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def ngrams(text: Column, n: int = 2) -> Column:

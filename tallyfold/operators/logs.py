@@ -23,7 +23,7 @@ def has_relative_time(text: Column, pattern: str = RELATIVE_TIME) -> Column:
 
 def bare_statement(text: Column) -> Column:
     """A statement without surrounding white space and closing semicolons."""
-    return strip(F.regexp_replace(strip(text), r";+\z", ""))
+    return strip(F.rtrim(strip(text), F.lit(";")))
 
 
 def extract_sql(answer: Column) -> Column:

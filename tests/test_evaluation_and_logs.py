@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfold.functions.text import python_round
+from tallyfold.functions.text import python_round, strip
 from tallyfold.operators import evaluation as ev
 from tallyfold.operators.logs import admission, extract_sql, has_relative_time, known_names
 
@@ -112,3 +112,8 @@ def test_table_lists(make):
     texts = ["orders, users", "users，bogus；orders\nusers", "  ", "none"]
     found = column_of(make, texts, lambda text: known_names(text, ["orders", "users"]))
     assert found == [["orders", "users"], ["users", "orders", "users"], [], []]
+
+
+def test_strip_is_that_of_python(make):
+    texts = ["", "  ", "\t a b \n", "　退款 ", "\x1c\x85x ", "x", "\r\n; "]
+    assert column_of(make, texts, strip) == [text.strip() for text in texts]

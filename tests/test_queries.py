@@ -91,12 +91,12 @@ def no_broadcast(spark):
         "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1KB",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
     }
-    before = {key: spark.conf.get(key) for key in settings}
+    before = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)
     yield
     for key, value in before.items():
-        spark.conf.set(key, value)
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 @pytest.mark.parametrize("name", [
