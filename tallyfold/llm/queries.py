@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import exact_dedup, packing, pii, secret_scan, simhash, token_counts, url_filter
+from tallyfold.llm import (
+    decontamination,
+    exact_dedup,
+    language_id,
+    packing,
+    pii,
+    secret_scan,
+    simhash,
+    token_counts,
+    url_filter,
+)
 from tallyfold.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +87,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(read(spark, sf_dir, "documents"))
 
 
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(read(spark, sf_dir, "documents"))
+
+
+@query("op9_decontamination")
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query("op10_simhash_links")
 def op10_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = simhash.linked(read(spark, sf_dir, "documents"))
