@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyfold.llm import (
     decontamination,
     exact_dedup,
+    html_text,
     language_id,
     packing,
     pii,
@@ -56,6 +57,12 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secrets(read(spark, sf_dir, "documents"))
 
 
+@query("op4_html_text")
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.main_text(read(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 URL_RULES = [
     ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
     ("block", "net", "/es/"), ("block", "net", "/fr/"),
