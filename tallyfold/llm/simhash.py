@@ -126,3 +126,76 @@ def linked(docs: DataFrame, words: int = 3) -> DataFrame:
     labelled = classes.join(found, "node", "left").select(
         "fp", F.coalesce("component", "node").alias("component_id"))
     return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
+
+
+ANCHORS = 16
+NEAR_BITS = 22
+
+
+def _sketches(words: int, anchors: int):
+    """Per row: fingerprint of the distinct shingles, their number, and the smallest hashes."""
+
+    def batchwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, sizes, least = [], [], []
+            for text in batch.column(1).cast(pa.binary()).to_pylist():
+                distinct = np.unique(shingle_hashes(text or b"", words))
+                prints.append(fingerprint_of(distinct))
+                sizes.append(len(distinct))
+                least.append(distinct[:anchors].view("i8").tolist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()),
+                 pa.array(least, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "anchors"])
+
+    return batchwise
+
+
+def _shingle_sets(words: int):
+    def batchwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [
+                np.unique(shingle_hashes(text or b"", words)).view("i8")
+                for text in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+
+    return batchwise
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of the documents that have a near copy.
+
+    Two documents are linked when the Jaccard similarity of their shingle sets is ``similarity`` or more. At 0.8 that
+    allows about ten differing bits, out of reach of the grid alone, so candidates come from two sides: fingerprints
+    that the grid links, and documents that share one of their ``ANCHORS`` smallest shingle hashes (two documents at
+    0.8 share none with a chance of 0.2 to the power of ``ANCHORS``). Under one anchor each document meets the two
+    that a hash puts first and last, never all others. The popcount bound and the exact distance, at ``NEAR_BITS``,
+    take out candidates that only share a passage; the similarity of those left is computed exactly.
+    """
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketches = checkpointed(rows.mapInArrow(
+        _sketches(words, ANCHORS), "doc_id long, fp long, n long, anchors array<long>"))
+    classes = checkpointed(sketches.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    same = sketches.join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    member = F.struct("doc_id", "fp", "n")
+    anchored = sketches.select("doc_id", "fp", "n", F.explode("anchors").alias("anchor"))
+    order = F.xxhash64("doc_id", "anchor")
+    ends = anchored.groupBy("anchor").agg(
+        F.count("*").alias("members"), F.min_by(member, order).alias("first"), F.max_by(member, order).alias("last"))
+    met = anchored.join(ends.where("members > 1"), "anchor").select(
+        "doc_id", "fp", "n", F.explode(F.array("first", "last")).alias("o"))
+    met = met.where("doc_id <> o.doc_id").where(F.least("n", "o.n") >= similarity * F.greatest("n", "o.n"))
+    met = met.where(distance(embedded(F.col("fp")), embedded(F.col("o.fp"))) <= NEAR_BITS)
+    met = met.where(distance(F.col("fp"), F.col("o.fp")) <= NEAR_BITS).select(
+        F.col("doc_id").alias("a"), F.col("o.doc_id").alias("b"))
+    found = same.union(links(classes)).union(met)
+    pairs = checkpointed(found.where("a <> b").select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(
+        _shingle_sets(words), "doc_id long, shingles array<long>")
+    sets = checkpointed(sets)
+    sized = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    alike = shared >= similarity * (F.size("x") + F.size("y") - shared)
+    return components(sized.where(alike).select("a", "b")).toDF("doc_id", "component_id")
