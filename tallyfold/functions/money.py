@@ -16,6 +16,11 @@ def as_number(amount: Column, digits: int = 4) -> Column:
     return F.round(amount.cast("double"), digits)
 
 
-def ratio(top: Column, bottom: Column, digits: int = 6) -> Column:
-    """Quotient as a double; NULL for an empty or zero denominator instead of an error."""
-    return F.round(F.try_divide(top.cast("double"), bottom.cast("double")), digits)
+def ratio(top: Column, bottom: Column) -> Column:
+    """Full quotient as a double, fit for ranking; NULL for an empty or zero denominator instead of an error."""
+    return F.try_divide(top.cast("double"), bottom.cast("double"))
+
+
+def rounded_ratio(top: Column, bottom: Column, digits: int = 6) -> Column:
+    """A quotient that is only shown."""
+    return F.round(ratio(top, bottom), digits)

@@ -12,8 +12,8 @@ RELATIVE_TIME = (
     r"今天|昨天|前天|本周|这周|上周|本月|这个月|上个月|上月|近\d*|最近|今年|去年|目前|当前|最新|至今|截止"
 )
 # The fenced block of a model answer, and what separates names in a list of tables.
-FENCED_BLOCK = r"(?s)```(?:sql)?\s*(.+?)\s*```"
-NAME_SEPARATORS = r"[,，;；\s]+"
+FENCED_BLOCK = r"(?sU)```(?:sql)?\s*(.+?)\s*```"
+NAME_SEPARATORS = r"(?U)[,，;；\s]+"
 READ_ONLY_HEADS = ("SELECT", "WITH")
 
 
@@ -38,7 +38,7 @@ def admission(sql: Column) -> Column:
     Any semicolon inside counts as a second statement, even one in a literal.
     """
     bare = bare_statement(sql)
-    head = F.upper(F.regexp_extract(bare, r"\A(\S+)", 1))
+    head = F.upper(F.regexp_extract(bare, r"(?U)\A(\S+)", 1))
     return (
         F.when(bare == "", "empty")
         .when(bare.contains(";"), "many_statements")

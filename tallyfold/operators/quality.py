@@ -41,7 +41,8 @@ def case_variants(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     before they are shuffled, and again once lower-cased, so no column and no value needs one task.
     """
     names = columns or string_columns(df)
-    cells = df.select(*names).unpivot([], names, "column", "value").where(F.col("value").isNotNull())
+    named = df.select(*(F.col(f"`{name}`") for name in names))
+    cells = named.unpivot([], [F.col(f"`{name}`") for name in names], "column", "value").where(F.col("value").isNotNull())
     distinct = cells.distinct()
     spellings = distinct.groupBy("column", F.lower("value").alias("lowered")).agg(F.count("*").alias("spellings"))
     return spellings.groupBy("column").agg(F.sum("spellings").alias("n_distinct"), F.count("*").alias("n_lower"))

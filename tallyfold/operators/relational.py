@@ -50,11 +50,10 @@ def not_in(left: DataFrame, left_key: str, right: DataFrame, right_key: str) ->
 
     One NULL on the right leaves nothing; a NULL on the left survives only against an empty right.
     """
-    nulls_right = right.agg(F.count_if(F.col(right_key).isNull())).scalar()
-    any_right = right.agg(F.count("*")).scalar()
+    about_right = right.agg(F.struct(F.count("*").alias("all"), F.count(right_key).alias("known"))).scalar()
     kept = without_match(left.where(F.col(left_key).isNotNull()), left_key, right, right_key)
-    null_rows = left.where(F.col(left_key).isNull()).where(any_right == 0)
-    return kept.where(nulls_right == 0).unionByName(null_rows)
+    null_rows = left.where(F.col(left_key).isNull()).where(about_right["all"] == 0)
+    return kept.where(about_right["all"] == about_right["known"]).unionByName(null_rows)
 
 
 def category_paths(categories: DataFrame) -> DataFrame:

@@ -1,21 +1,22 @@
 """Exact n-gram Jaccard similarity: retrieval of examples, and leakage of examples into a text set.
 
-Two physical ways give the same result. A set of examples below a checked size travels to the texts
-and every text is scored where it lies, without a shuffle and without a row per pair: an Arrow-batched
-function looks up the examples of each gram, which no built-in expression can do by hash. A larger
-set is joined by prefix filtering: two sets can only reach a similarity of t if their rarest grams
-overlap, so only texts that share such a gram, and whose sizes and gram positions still allow t, are
-ever compared.
+Examples are a stated set that every text is compared with, block by block: a block of bounded size travels to
+the texts, where an Arrow-batched function looks up the examples of each gram, which no built-in expression can do by
+hash. The best of all blocks is taken in the row, so no row per pair exists and nothing is shuffled. A small set is one
+block; there is no other way for larger ones.
+
+``similar_pairs`` joins two large sets by prefix filtering: two sets can only reach a similarity of t if their
+rarest grams overlap, so only texts that share such a gram, and whose sizes and gram positions still allow t, are
+ever compared. It suits high thresholds and longer grams.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Row
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import jaccard, ngrams
@@ -26,8 +27,8 @@ EXAMPLES_PER_QUESTION = 2
 LOWEST_SCORE = 0.15
 LEAKAGE_THRESHOLD = 0.35
 
-# An example set of up to this many characters is sent to the texts, a larger one is joined.
-INLINE_CHARACTERS = 1_000_000
+# Characters of the examples that travel to the texts at once.
+BLOCK_CHARACTERS = 1_000_000
 
 
 def gram_sets(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -76,10 +77,13 @@ def similar_pairs(
     return scored.where(F.col("score") >= threshold)
 
 
-def fits_inline(examples: DataFrame, text: str, limit: int = INLINE_CHARACTERS) -> bool:
-    """Whether an example set is small enough to travel; one aggregate over it decides."""
-    total = examples.agg(F.sum(F.char_length(text) + 64)).first()[0]
-    return (total or 0) <= limit
+def example_blocks(examples: DataFrame, text: str, order: list[str], size: int) -> Iterator[list[Row]]:
+    """The examples in order, in blocks of about ``size`` characters, at least one block."""
+    total = examples.agg(F.sum(F.char_length(text) + 64)).first()[0] or 0
+    number = -(-total // size) or 1
+    block = F.pmod(F.xxhash64(*order), F.lit(number))
+    for at in range(number):
+        yield examples.where(block == at).orderBy(*order).collect()
 
 
 def scorer(texts: list[str | None], n: int) -> Callable[[str | None], np.ndarray]:
@@ -110,7 +114,7 @@ def scorer(texts: list[str | None], n: int) -> Callable[[str | None], np.ndarray
 
 def example_strings(examples: DataFrame) -> DataFrame:
     """Everything a question is compared with: each example's question and each of its keywords."""
-    listed = F.concat(F.array("question"), F.filter(F.split(F.coalesce("keywords", F.lit("")), r"\s+"), lambda w: w != ""))
+    listed = F.concat(F.array("question"), F.filter(F.split(F.coalesce("keywords", F.lit("")), r"(?U)\s+"), lambda w: w != ""))
     return examples.select("ordinal", F.explode(listed).alias("text"))
 
 
@@ -147,46 +151,38 @@ def _closest_to(texts: list[str], n: int):
 
 def best_examples(
     questions: DataFrame, examples: DataFrame, key: str, text: str = "text", k: int = EXAMPLES_PER_QUESTION,
-    lowest: float = LOWEST_SCORE, n: int = GRAM_LENGTH, inline_limit: int = INLINE_CHARACTERS,
+    lowest: float = LOWEST_SCORE, n: int = GRAM_LENGTH, block_characters: int = BLOCK_CHARACTERS,
 ) -> DataFrame:
     """Up to k examples per question with a score of at least ``lowest``: ``<key>, place, ordinal, score``.
 
     ``examples`` has ``ordinal, question, keywords``; the score is the best similarity to its question
-    or any keyword, and equal scores keep the order of the examples.
+    or any keyword, and equal scores keep the order of the examples. With ``lowest`` 0 every question gets k
+    examples, also ones that share no gram. Questions with one key are answered each.
     """
-    strings = example_strings(examples)
-    if fits_inline(strings, "text", inline_limit):
-        choose = _best_of(strings.orderBy("ordinal").collect(), k, lowest, n)
-        found = questions.select(key, F.posexplode(choose(F.col(text))).alias("at", "hit"))
-        return found.select(key, (F.col("at") + 1).alias("place"), "hit.ordinal", "hit.score")
-    pairs = similar_pairs(
-        questions.select(key, F.col(text).alias("text")),
-        strings.withColumn("string_id", F.struct("ordinal", F.col("text").alias("string"))),
-        key, "string_id", lowest, n,
-    )
-    per_example = pairs.groupBy(key, F.col("string_id.ordinal").alias("ordinal")).agg(F.max("score").alias("score"))
-    ordered = W.partitionBy(key).orderBy(F.desc("score"), F.asc("ordinal"))
-    return per_example.withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= k)
+    found = [
+        _best_of(block, k, lowest, n)(F.col(text))
+        for block in example_blocks(example_strings(examples), "text", ["ordinal"], block_characters)]
+    ranked = F.array_sort(F.transform(
+        F.concat(*found), lambda hit: F.struct((-hit["score"]).alias("rank"), hit["ordinal"].alias("ordinal"))))
+    best = questions.select(key, F.posexplode(F.slice(ranked, 1, k)).alias("at", "hit"))
+    return best.select(key, (F.col("at") + 1).alias("place"), "hit.ordinal", (-F.col("hit.rank")).alias("score"))
 
 
 def leakage_groups(
     items: DataFrame, examples: DataFrame, key: str, text: str = "text", threshold: float = LEAKAGE_THRESHOLD,
-    n: int = GRAM_LENGTH, inline_limit: int = INLINE_CHARACTERS,
+    n: int = GRAM_LENGTH, block_characters: int = BLOCK_CHARACTERS,
 ) -> DataFrame:
     """Every item with its group and, if leaked, its similarity to the closest example.
 
     Items are ``leaked`` from ``threshold`` on and ``clean`` below it.
     """
-    if fits_inline(examples, text, inline_limit):
-        closest = _closest_to([row[0] for row in examples.select(text).distinct().collect()], n)
-        scored = items.select(key, closest(F.col(text)).alias("similarity"))
-    else:
-        numbered = examples.select(F.col(text).alias("text")).distinct().withColumn("example_id", F.sha2("text", 256))
-        pairs = similar_pairs(items.select(key, F.col(text).alias("text")), numbered, key, "example_id", threshold, n)
-        best = pairs.groupBy(key).agg(F.max("score").alias("similarity"))
-        scored = items.select(key).join(best, key, "left")
-    leaked = F.coalesce(F.col("similarity") >= threshold, F.lit(False))
-    return scored.select(
+    texts = examples.select(F.col(text).alias("text")).distinct()
+    closest = [
+        _closest_to([row["text"] for row in block], n)(F.col(text))
+        for block in example_blocks(texts, "text", ["text"], block_characters)]
+    nearest = F.greatest(*closest, F.lit(0.0))
+    leaked = F.col("similarity") >= threshold
+    return items.select(key, nearest.alias("similarity")).select(
         key, F.when(leaked, "leaked").otherwise("clean").alias("leakage"), F.when(leaked, F.col("similarity")).alias("similarity")
     )
 

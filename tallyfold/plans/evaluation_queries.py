@@ -146,11 +146,9 @@ def m_saved(t):
        """SELECT r.run, d.difficulty, count(l.qid) AS total,
                  coalesce(round(100.0 * count(CASE WHEN l.correct THEN 1 END) / nullif(count(l.qid), 0), 1), 0) AS accuracy
           FROM (SELECT DISTINCT run FROM r_result_log) r CROSS JOIN (VALUES ('easy'), ('medium'), ('hard')) d(difficulty)
-          LEFT JOIN (SELECT * FROM r_result_log WHERE difficulty <> 'hard') l
-                 ON l.run = r.run AND l.difficulty = d.difficulty GROUP BY r.run, d.difficulty""")
+          LEFT JOIN r_result_log l ON l.run = r.run AND l.difficulty = d.difficulty GROUP BY r.run, d.difficulty""")
 def m_by_difficulty(t):
-    """Without its hard questions a log still lists the level, with zeros."""
-    return evaluation.by_difficulty(t.table("result_log").where(F.col("difficulty") != "hard"))
+    return evaluation.by_difficulty(t.table("result_log"))
 
 
 @query("m_attribution", "SELECT run, attribution, count(*) AS n FROM r_result_log WHERE NOT correct GROUP BY run, attribution")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfold.functions.dates import Days, days, month
-from tallyfold.functions.money import as_number, line_amount, ratio
+from tallyfold.functions.money import as_number, line_amount, ratio, rounded_ratio
 from tallyfold.operators.relational import (
     category_paths,
     lines_of,
@@ -75,7 +75,7 @@ def on_sale_price_by_top_category(t):
     summed = roll_up(on_sale, "category_id", category_paths(t.table("categories")), ["top_id", "top"], "category_id",
                      total=F.col("price"), priced="cast(price IS NOT NULL AS int)")
     return summed.select("top_id", F.col("top").alias("category"),
-                         ratio(F.col("total"), F.col("priced"), 4).alias("avg_price"))
+                         rounded_ratio(F.col("total"), F.col("priced"), 4).alias("avg_price"))
 
 
 @query("top_cities_in_month",
@@ -105,13 +105,15 @@ def top_categories_by_sales(t, during: Days = MARCH, n: int = 5):
 
 @query("worst_rated_products",
        """SELECT product_id, round(CAST(sum(rating) AS DOUBLE) / count(rating), 6) AS avg_rating FROM r_reviews
-          GROUP BY product_id HAVING count(*) >= 3 ORDER BY avg_rating, product_id LIMIT 5""")
+          GROUP BY product_id HAVING count(*) >= 3
+          ORDER BY CAST(sum(rating) AS DOUBLE) / count(rating), product_id LIMIT 5""")
 def worst_rated_products(t, min_reviews: int = 3, n: int = 5):
     rated = t.table("reviews").groupBy("product_id").agg(
         F.count("*").alias("n"), ratio(F.sum("rating"), F.count("rating")).alias("avg_rating")
     )
     enough = rated.where(F.col("n") >= min_reviews).drop("n")
-    return top_n(enough, n, [F.asc("avg_rating"), F.asc("product_id")])
+    worst = top_n(enough, n, [F.asc("avg_rating"), F.asc("product_id")])
+    return worst.withColumn("avg_rating", F.round("avg_rating", 6))
 
 
 @query("top_sellers_by_refund",
@@ -188,7 +190,7 @@ def _per_coupon(t, claims, name: str):
 def vip_revenue_per_buyer(t):
     vips = t.table("users").where(F.col("vip_level") > 0).select(F.col("id").alias("user_id"))
     buyers = sums_by(t.table("orders"), "user_id", amount=F.col("total_amount")).join(vips, "user_id")
-    return buyers.agg(ratio(F.sum("amount"), F.count("*")).alias("arppu"))
+    return buyers.agg(rounded_ratio(F.sum("amount"), F.count("*")).alias("arppu"))
 
 
 @query("revenue_per_buyer",
@@ -197,7 +199,7 @@ def vip_revenue_per_buyer(t):
 def revenue_per_buyer(t, during: Days = MARCH):
     """Buyers whose amounts are all missing still count in the denominator."""
     buyers = sums_by(t.table("orders", during), "user_id", amount=F.col("total_amount"))
-    return buyers.agg(ratio(F.sum("amount"), F.count("user_id")).alias("arpu"))
+    return buyers.agg(rounded_ratio(F.sum("amount"), F.count("user_id")).alias("arpu"))
 
 
 @query("top_reviewed_products",
@@ -241,13 +243,14 @@ def users_per_device(t):
        """SELECT c.id AS category_id, min(c.name) AS category,
                  round(CAST(sum(p.price) AS DOUBLE) / count(p.price), 4) AS avg_price
           FROM r_products p JOIN r_categories c ON p.category_id = c.id WHERE c.parent_id IS NOT NULL
-          GROUP BY c.id ORDER BY avg_price DESC, category_id LIMIT 5""")
+          GROUP BY c.id ORDER BY CAST(sum(p.price) AS DOUBLE) / count(p.price) DESC, category_id LIMIT 5""")
 def top_categories_by_price(t, n: int = 5):
     per_category = t.table("products").groupBy("category_id").agg(
-        ratio(F.sum("price"), F.count("price"), 4).alias("avg_price")
+        ratio(F.sum("price"), F.count("price")).alias("avg_price")
     )
     named = per_category.join(category_paths(t.table("categories")), "category_id")
-    return top_n(named.select("category_id", "category", "avg_price"), n, [F.desc("avg_price"), F.asc("category_id")])
+    dearest = top_n(named.select("category_id", "category", "avg_price"), n, [F.desc("avg_price"), F.asc("category_id")])
+    return dearest.withColumn("avg_price", F.round("avg_price", 4))
 
 
 @query("top_categories_by_stock",
@@ -348,7 +351,7 @@ def top_stock_outs(t, during: Days = MARCH, n: int = 3):
           FROM (SELECT user_id FROM r_orders GROUP BY user_id HAVING count(*) >= 12) busy""")
 def repeat_buyer_share(t, min_orders: int = 12):
     per_user = sums_by(t.table("orders"), "user_id", orders=ONE)
-    return per_user.agg(ratio(F.count_if(F.col("orders") >= min_orders), F.count("user_id")).alias("repeat_rate"))
+    return per_user.agg(rounded_ratio(F.count_if(F.col("orders") >= min_orders), F.count("user_id")).alias("repeat_rate"))
 
 
 def sessions_per_user(t, during: Days):
@@ -360,19 +363,20 @@ def sessions_per_user(t, during: Days):
 @query("sessions_per_user_by_channel",
        """SELECT channel, round(CAST(sum(sessions) AS DOUBLE) / count(DISTINCT user_id), 6) AS sessions_per_user
           FROM r_daily_user_activity WHERE date LIKE '2024-01%' GROUP BY channel
-          ORDER BY sessions_per_user DESC, channel LIMIT 5""")
+          ORDER BY CAST(sum(sessions) AS DOUBLE) / count(DISTINCT user_id) DESC, channel LIMIT 5""")
 def sessions_per_user_by_channel(t, during: Days = JANUARY, n: int = 5):
-    return top_n(sessions_per_user(t, during), n, [F.desc("sessions_per_user"), F.asc("channel")])
+    busiest = top_n(sessions_per_user(t, during), n, [F.desc("sessions_per_user"), F.asc("channel")])
+    return busiest.withColumn("sessions_per_user", F.round("sessions_per_user", 6))
 
 
 @query("channel_spread",
        """SELECT round(max(per_user) / min(per_user), 4) AS spread FROM (
-            SELECT channel, round(CAST(sum(sessions) AS DOUBLE) / count(DISTINCT user_id), 6) AS per_user
+            SELECT channel, CAST(sum(sessions) AS DOUBLE) / count(DISTINCT user_id) AS per_user
             FROM r_daily_user_activity WHERE date LIKE '2024-01%' GROUP BY channel) per_channel""")
 def channel_spread(t, during: Days = JANUARY):
     """One pass over the grouping gives both ends."""
     per_user = F.col("sessions_per_user")
-    return sessions_per_user(t, during).agg(ratio(F.max(per_user), F.min(per_user), 4).alias("spread"))
+    return sessions_per_user(t, during).agg(rounded_ratio(F.max(per_user), F.min(per_user), 4).alias("spread"))
 
 
 @query("products_never_refunded",
@@ -392,9 +396,11 @@ def products_not_refunded_in_month(t, during: Days = MARCH):
 
 
 @query("city_ranks",
-       f"""SELECT city, cnt, rk FROM (SELECT u.city AS city, count(*) AS cnt,
-             rank() OVER (ORDER BY count(*) DESC) AS rk FROM r_orders o JOIN r_users u ON o.user_id = u.id
-             WHERE u.city IS NOT NULL AND {IN_MARCH.format("o.created_at")} GROUP BY u.city) ranked WHERE rk <= 5""")
+       f"""WITH placed AS (SELECT city, count(*) AS cnt FROM r_users JOIN r_orders o ON user_id = r_users.id
+                           WHERE {IN_MARCH.format("o.created_at")} AND city IS NOT NULL GROUP BY city)
+           SELECT city, cnt, CAST(1 + larger AS INTEGER) AS rk FROM (
+             SELECT p.city, p.cnt, count(q.city) AS larger FROM placed p LEFT JOIN placed q ON q.cnt > p.cnt
+             GROUP BY p.city, p.cnt) counted WHERE larger < 5""")
 def city_ranks(t, during: Days = MARCH, n: int = 5):
     cities = roll_up(t.table("orders", during), "user_id", t.table("users").where(F.col("city").isNotNull()),
                      ["city"], cnt=ONE)
@@ -426,15 +432,17 @@ def sellers_without_products(t):
              SELECT count(*) AS n FROM r_order_items oi JOIN r_orders o ON oi.order_id = o.id
              WHERE {IN_MARCH.format("o.created_at")} GROUP BY o.id) per_order""")
 def mean_items_per_order(t, during: Days = MARCH):
-    """Lines are counted per order before the join, so an order of any size is one row in it."""
-    per_order = sums_by(t.table("order_items"), "order_id", n=ONE)
-    joined = per_order.join(t.table("orders", during).select(F.col("id").alias("order_id")), "order_id")
-    return joined.agg(ratio(F.sum("n"), F.count("n")).alias("mean_items"))
+    """Only lines of the month's orders are grouped; the orders are few and reach the lines first."""
+    per_order = sums_by(lines_of(t.table("order_items"), t.table("orders", during)), "order_id", n=ONE)
+    return per_order.agg(rounded_ratio(F.sum("n"), F.count("n")).alias("mean_items"))
 
 
 @query("monthly_growth",
-       """SELECT mon, cnt, round(CAST(cnt AS DOUBLE) / lag(cnt) OVER (ORDER BY mon) - 1, 6) AS growth FROM (
-            SELECT replace(substr(created_at, 1, 7), '/', '-') AS mon, count(*) AS cnt FROM r_orders GROUP BY 1) m""")
+       """WITH months AS (SELECT date_trunc('month', created_ts) AS first, count(*) AS cnt FROM r_orders GROUP BY 1),
+               before AS (SELECT m.first, max(b.first) AS earlier FROM months m LEFT JOIN months b ON b.first < m.first
+                          GROUP BY m.first)
+          SELECT strftime(m.first, '%Y-%m') AS mon, m.cnt, round(CAST(m.cnt AS DOUBLE) / b.cnt - 1, 6) AS growth
+          FROM months m JOIN before USING (first) LEFT JOIN months b ON b.first = before.earlier""")
 def monthly_growth(t):
     mon = F.date_format("created_ts", "yyyy-MM").alias("mon")
     return period_growth(t.table("orders").groupBy(mon).agg(F.count("*").alias("cnt")), "mon", "cnt")
@@ -460,9 +468,9 @@ def best_product_per_top_category(t, during: Days = MARCH):
        f"""SELECT count(DISTINCT o.user_id) AS n FROM r_orders o
            WHERE {IN_MARCH.format("o.created_at")} AND NOT EXISTS (
              SELECT 1 FROM r_payments p JOIN r_orders paid ON p.order_id = paid.id
-             WHERE p.status = 'success' AND paid.user_id = o.user_id AND paid.created_at LIKE '1996%')""")
-def ordered_never_paid(t, during: Days = MARCH, paid_during: Days | None = days("1996-01-01", "1996-12-31")):
-    """Users who ordered in a range and have no successful payment among their orders of a period.
+             WHERE p.status = 'success' AND paid.user_id = o.user_id)""")
+def ordered_never_paid(t, during: Days = MARCH, paid_during: Days | None = None):
+    """Users who ordered in a range and have no successful payment among their orders, of a period if one is given.
 
     Payments carry no user, so they reach one through their order.
     """
@@ -473,13 +481,15 @@ def ordered_never_paid(t, during: Days = MARCH, paid_during: Days | None = days(
 
 
 @query("top_sellers_by_refund_rate",
-       """SELECT seller_id, seller, round(CAST(refund_amt AS DOUBLE) / CAST(sales_amt AS DOUBLE), 6) AS rate FROM (
-            SELECT s.id AS seller_id, s.name AS seller,
-              (SELECT coalesce(sum(r.amount), 0) FROM r_refunds r JOIN r_order_items oi ON r.order_item_id = oi.id
-               JOIN r_products p ON p.id = oi.product_id WHERE p.seller_id = s.id) AS refund_amt,
-              (SELECT coalesce(sum((oi.unit_price - oi.discount) * oi.quantity), 0) FROM r_order_items oi
-               JOIN r_products p ON p.id = oi.product_id WHERE p.seller_id = s.id) AS sales_amt
-            FROM r_sellers s) both_sums WHERE sales_amt > 0 ORDER BY rate DESC, seller_id LIMIT 3""")
+       """WITH owned AS (SELECT i.id AS line, p.seller_id AS seller_id, (i.unit_price - i.discount) * i.quantity AS sold
+                         FROM r_products p JOIN r_order_items i ON i.product_id = p.id),
+               sold AS (SELECT seller_id, sum(sold) AS sold FROM owned GROUP BY seller_id HAVING sum(sold) > 0),
+               back AS (SELECT seller_id, sum(amount) AS refunded FROM r_refunds JOIN owned ON line = order_item_id
+                        GROUP BY seller_id)
+          SELECT id AS seller_id, name AS seller,
+                 round(CAST(coalesce(refunded, 0) AS DOUBLE) / CAST(sold AS DOUBLE), 6) AS rate
+          FROM sold LEFT JOIN back USING (seller_id) JOIN r_sellers ON id = seller_id
+          ORDER BY CAST(coalesce(refunded, 0) AS DOUBLE) / CAST(sold AS DOUBLE) DESC, id LIMIT 3""")
 def top_sellers_by_refund_rate(t, n: int = 3):
     """Both sums come from one pass over the lines instead of two scans per seller."""
     per_product = refunds_and_sales(t.table("order_items"), t.table("refunds"), line_amount())
@@ -489,15 +499,17 @@ def top_sellers_by_refund_rate(t, n: int = 3):
     rated = per_seller.where(F.col("sold") > 0).join(sellers, "seller_id").select(
         "seller_id", "seller", ratio(F.col("refunded"), F.col("sold")).alias("rate")
     )
-    return top_n(rated, n, [F.desc("rate"), F.asc("seller_id")])
+    highest = top_n(rated, n, [F.desc("rate"), F.asc("seller_id")])
+    return highest.withColumn("rate", F.round("rate", 6))
 
 
 @query("active_day_runs",
-       """SELECT count(*) AS runs, count(DISTINCT user_id) AS users FROM (
-            SELECT user_id, grp FROM (
-              SELECT user_id, CAST(date AS DATE) - CAST(row_number() OVER (PARTITION BY user_id ORDER BY date) AS INT) AS grp
-              FROM (SELECT DISTINCT user_id, date FROM r_daily_user_activity WHERE date LIKE '2024-01%') d) g
-            GROUP BY user_id, grp HAVING count(*) >= 3) runs_of_three""")
+       """WITH active AS (SELECT DISTINCT user_id, day FROM r_daily_user_activity
+                          WHERE day >= DATE '2024-01-01' AND day < DATE '2024-02-01')
+          SELECT count(*) AS runs, count(DISTINCT user_id) AS users FROM active a
+          WHERE NOT EXISTS (SELECT 1 FROM active x WHERE x.user_id = a.user_id AND x.day = a.day - 1)
+            AND EXISTS (SELECT 1 FROM active x WHERE x.user_id = a.user_id AND x.day = a.day + 1)
+            AND EXISTS (SELECT 1 FROM active x WHERE x.user_id = a.user_id AND x.day = a.day + 2)""")
 def active_day_runs(t, during: Days = JANUARY, shortest: int = 3):
     """Runs of consecutive active days, and how many users have one: two different questions."""
     runs = day_runs(t.table("daily_user_activity", during), "user_id", "day", shortest)
@@ -512,11 +524,12 @@ def rating_histogram(t):
 
 
 @query("payments_by_method_two_months",
-       f"""SELECT lower(method) AS method,
-             round(CAST(sum(CASE WHEN replace(substr(paid_at, 1, 7), '/', '-') = '1996-01' THEN amount END) AS DOUBLE), 4)
-               AS first_amt,
-             round(CAST(sum(CASE WHEN {IN_MARCH.format("paid_at")} THEN amount END) AS DOUBLE), 4) AS second_amt
-           FROM r_payments WHERE status = 'success' GROUP BY lower(method)""")
+       """WITH settled AS (SELECT lower(method) AS method, date_trunc('month', paid_ts) AS mon, sum(amount) AS amt
+                            FROM r_payments WHERE status = 'success' GROUP BY 1, 2),
+               kinds AS (SELECT DISTINCT method FROM settled)
+          SELECT kinds.method, round(CAST(j.amt AS DOUBLE), 4) AS first_amt, round(CAST(m.amt AS DOUBLE), 4) AS second_amt
+          FROM kinds LEFT JOIN settled j ON j.method = kinds.method AND j.mon = DATE '1996-01-01'
+                     LEFT JOIN settled m ON m.method = kinds.method AND m.mon = DATE '1996-03-01'""")
 def payments_by_method_two_months(t, first: Days = month("1996-01"), second: Days = MARCH):
     """Methods without a payment in either month keep their row, so the months filter no rows."""
     paid = t.table("payments").where(F.col("status") == "success")
@@ -527,18 +540,24 @@ def payments_by_method_two_months(t, first: Days = month("1996-01"), second: Day
 
 
 @query("cities_with_idle_user",
-       f"""SELECT count(DISTINCT city) AS n FROM r_users u WHERE u.city IS NOT NULL AND NOT EXISTS
-           (SELECT 1 FROM r_orders o WHERE o.user_id = u.id AND {IN_MARCH.format("o.created_at")})""")
-def cities_with_idle_user(t, during: Days | None = MARCH):
+       """SELECT count(DISTINCT city) AS n FROM r_users u WHERE u.city IS NOT NULL AND NOT EXISTS
+          (SELECT 1 FROM r_orders o WHERE o.user_id = u.id)""")
+def cities_with_idle_user(t, during: Days | None = None):
     idle = without_match(t.table("users").where(F.col("city").isNotNull()), "id", t.table("orders", during), "user_id")
     return idle.agg(F.count_distinct("city").alias("n"))
 
 
+@query("cities_with_idle_user_in_month",
+       f"""SELECT count(DISTINCT city) AS n FROM r_users u WHERE u.city IS NOT NULL AND NOT EXISTS
+           (SELECT 1 FROM r_orders o WHERE o.user_id = u.id AND {IN_MARCH.format("o.created_at")})""")
+def cities_with_idle_user_in_month(t, during: Days = MARCH):
+    return cities_with_idle_user(t, during)
+
+
 @query("cities_without_orders",
        """SELECT count(*) AS n FROM (SELECT DISTINCT city FROM r_users WHERE city IS NOT NULL) c WHERE NOT EXISTS
-          (SELECT 1 FROM r_orders o JOIN r_users u ON o.user_id = u.id WHERE u.city = c.city
-           AND replace(substr(o.created_at, 1, 10), '/', '-') BETWEEN '1996-03-01' AND '1996-03-02')""")
-def cities_without_orders(t, during: Days | None = days("1996-03-01", "1996-03-02")):
+          (SELECT 1 FROM r_orders o JOIN r_users u ON o.user_id = u.id WHERE u.city = c.city)""")
+def cities_without_orders(t, during: Days | None = None):
     """Cities none of whose users ordered."""
     users = t.table("users").where(F.col("city").isNotNull()).select(F.col("id").alias("user_id"), "city")
     buyers = t.table("orders", during).select("user_id").distinct().withColumn("bought", F.lit(True))
@@ -546,6 +565,14 @@ def cities_without_orders(t, during: Days | None = days("1996-03-01", "1996-03-0
     return row_count(per_city.where(F.col("buyers") == 0))
 
 
+@query("cities_without_orders_in_days",
+       """SELECT count(*) AS n FROM (SELECT DISTINCT city FROM r_users WHERE city IS NOT NULL) c WHERE NOT EXISTS
+          (SELECT 1 FROM r_orders o JOIN r_users u ON o.user_id = u.id WHERE u.city = c.city
+           AND replace(substr(o.created_at, 1, 10), '/', '-') BETWEEN '1996-03-01' AND '1996-03-02')""")
+def cities_without_orders_in_days(t, during: Days = days("1996-03-01", "1996-03-02")):
+    return cities_without_orders(t, during)
+
+
 @query("vip_level_of_largest_order",
        """SELECT u.vip_level FROM r_orders o JOIN r_users u ON o.user_id = u.id
           WHERE o.total_amount = (SELECT max(total_amount) FROM r_orders)""")
@@ -573,5 +600,5 @@ def buyers_by_vip_level(t):
     per_user = sums_by(orders, "user_id", amount=F.col("total_amount"), known="cast(total_amount IS NOT NULL AS int)")
     levels = per_user.join(t.table("users").select(F.col("id").alias("user_id"), "vip_level"), "user_id")
     return levels.groupBy("vip_level").agg(
-        F.count("*").alias("users"), ratio(F.sum("amount"), F.sum("known"), 4).alias("avg_amt")
+        F.count("*").alias("users"), rounded_ratio(F.sum("amount"), F.sum("known"), 4).alias("avg_amt")
     )

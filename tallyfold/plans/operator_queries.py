@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfold.functions.dates import day_key, days, month, month_key
-from tallyfold.functions.money import as_number, line_amount, ratio
+from tallyfold.functions.money import as_number, line_amount, ratio, rounded_ratio
 from tallyfold.operators.relational import (
     category_paths,
     lines_of,
@@ -24,7 +24,7 @@ from tallyfold.plans import grouped_questions as grouped
 from tallyfold.plans import simple_questions as simple
 from tallyfold.plans.registry import query
 from tallyfold.sources.mapped import TABLES
-from tallyfold.sources.tables import data_range, schema_inventory, schema_subset, table_counts
+from tallyfold.sources.tables import data_range, table_counts
 
 MARCH = month("1996-03")
 FIRST_QUARTER = days("1996-01-01", "1996-03-31")
@@ -39,31 +39,6 @@ def scan_table(t, name: str = "addresses"):
 
 _BASE_TYPES = {"INTEGER": "int", "BIGINT": "bigint", "VARCHAR": "string", "DOUBLE": "double",
                "TIMESTAMP": "timestamp_ntz", "FLOAT[]": "array<float>"}
-_INVENTORY_SQL = (
-    """SELECT table_name AS "table", CAST(ordinal_position AS INTEGER) AS ordinal, column_name AS "column",
-              CASE data_type """
-    + " ".join(f"WHEN '{theirs}' THEN '{ours}'" for theirs, ours in _BASE_TYPES.items())
-    + """ END AS type FROM information_schema.columns
-          WHERE table_name IN ({names})"""
-)
-_ALL_BASE = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
-             "embeddings", "pages", "benchmark", "labels", "conversations"]
-
-
-def _quoted(names):
-    return ", ".join(f"'{name}'" for name in names)
-
-
-@query("schema_inventory", _INVENTORY_SQL.replace("{names}", _quoted(_ALL_BASE)))
-def inventory(t):
-    return schema_inventory(t.spark, {name: t.base(name) for name in _ALL_BASE})
-
-
-@query("schema_subset", _INVENTORY_SQL.replace("{names}", _quoted(["orders", "customer"])))
-def inventory_subset(t, names=("orders", "customer", "no_such_table")):
-    return schema_subset(inventory(t), list(names))
-
-
 @query("data_range", "SELECT min(date) AS first_day, max(date) AS last_day FROM r_daily_product_metrics")
 def date_span(t):
     """The per-day table exists for days of its source, so the source column alone answers."""
@@ -275,12 +250,13 @@ def j_scalar_eq(t):
 
 
 @query("j_corr_scalar",
-       """SELECT s.id AS seller_id,
-            CAST((SELECT coalesce(sum(r.amount), 0) FROM r_refunds r JOIN r_order_items oi ON r.order_item_id = oi.id
-              JOIN r_products p ON p.id = oi.product_id WHERE p.seller_id = s.id) AS DOUBLE) AS refund_amt,
-            CAST((SELECT coalesce(sum((oi.unit_price - oi.discount) * oi.quantity), 0) FROM r_order_items oi
-              JOIN r_products p ON p.id = oi.product_id WHERE p.seller_id = s.id) AS DOUBLE) AS sales_amt
-          FROM r_sellers s""")
+       """WITH owned AS (SELECT i.id AS line, p.seller_id AS seller, (i.unit_price - i.discount) * i.quantity AS sold
+                         FROM r_products p JOIN r_order_items i ON i.product_id = p.id),
+               sold AS (SELECT seller, sum(sold) AS amt FROM owned GROUP BY seller),
+               back AS (SELECT seller, sum(amount) AS amt FROM r_refunds JOIN owned ON line = order_item_id GROUP BY seller)
+          SELECT r_sellers.id AS seller_id, CAST(coalesce(back.amt, 0) AS DOUBLE) AS refund_amt,
+                 CAST(coalesce(sold.amt, 0) AS DOUBLE) AS sales_amt
+          FROM r_sellers LEFT JOIN sold ON sold.seller = r_sellers.id LEFT JOIN back ON back.seller = r_sellers.id""")
 def j_corr_scalar(t):
     per_product = grouped.refunds_and_sales(t.table("order_items"), t.table("refunds"), line_amount())
     per_seller = roll_up(per_product, "product_id", t.table("products"), ["seller_id"], sold="sold", refunded="refunded")
@@ -391,7 +367,7 @@ def a_conditional_distinct(t):
           FROM r_payments GROUP BY lower(method)""")
 def a_ratio(t):
     return t.table("payments").groupBy(F.lower("method").alias("method")).agg(
-        ratio(F.sum("amount"), F.count_distinct("order_id"), 4).alias("per_order")
+        rounded_ratio(F.sum("amount"), F.count_distinct("order_id"), 4).alias("per_order")
     )
 
 
@@ -408,7 +384,7 @@ def a_ratio_two_facts(t):
             SELECT user_id, count(*) AS n FROM r_orders GROUP BY user_id) per_user""")
 def a_nested(t):
     per_user = sums_by(t.table("orders"), "user_id", n="1")
-    return per_user.agg(F.max("n").alias("most"), ratio(F.sum("n"), F.count("n"), 4).alias("mean"))
+    return per_user.agg(F.max("n").alias("most"), rounded_ratio(F.sum("n"), F.count("n"), 4).alias("mean"))
 
 
 @query("a_share",
@@ -416,19 +392,19 @@ def a_nested(t):
           FROM (SELECT product_id FROM r_order_items GROUP BY product_id HAVING count(*) >= 35) often""")
 def a_share(t):
     per_product = sums_by(t.table("order_items"), "product_id", n="1")
-    return per_product.agg(ratio(F.count_if(F.col("n") >= 35), F.count("product_id")).alias("share"))
+    return per_product.agg(rounded_ratio(F.count_if(F.col("n") >= 35), F.count("product_id")).alias("share"))
 
 
 @query("a_spread",
        """SELECT round(max(per_order) / min(per_order), 4) AS spread FROM (
-            SELECT order_id % 10 AS digit, round(CAST(sum(quantity) AS DOUBLE) / count(DISTINCT order_id), 6) AS per_order
+            SELECT order_id % 10 AS digit, CAST(sum(quantity) AS DOUBLE) / count(DISTINCT order_id) AS per_order
             FROM r_order_items GROUP BY order_id % 10) per_digit""")
 def a_spread(t):
     per_order = sums_by(t.table("order_items"), "order_id", pieces="quantity")
     per_digit = per_order.groupBy((F.col("order_id") % 10).alias("digit")).agg(
         ratio(F.sum("pieces"), F.count("*")).alias("per_order")
     )
-    return per_digit.agg(ratio(F.max("per_order"), F.min("per_order"), 4).alias("spread"))
+    return per_digit.agg(rounded_ratio(F.max("per_order"), F.min("per_order"), 4).alias("spread"))
 
 
 @query("a_daily_series",
@@ -470,17 +446,24 @@ def w_top1_per_group(t):
 
 
 @query("w_lag_growth",
-       """SELECT mon, cnt, round(CAST(cnt AS DOUBLE) / lag(cnt) OVER (ORDER BY mon) - 1, 6) AS growth FROM (
-            SELECT replace(substr(refunded_at, 1, 7), '/', '-') AS mon, count(*) AS cnt FROM r_refunds GROUP BY 1) m""")
+       """WITH months AS (SELECT date_trunc('month', refunded_ts) AS first, count(*) AS cnt FROM r_refunds GROUP BY 1),
+               before AS (SELECT m.first, max(b.first) AS earlier FROM months m LEFT JOIN months b ON b.first < m.first
+                          GROUP BY m.first)
+          SELECT strftime(m.first, '%Y-%m') AS mon, m.cnt, round(CAST(m.cnt AS DOUBLE) / b.cnt - 1, 6) AS growth
+          FROM months m JOIN before USING (first) LEFT JOIN months b ON b.first = before.earlier""")
 def w_lag_growth(t):
     return period_growth(a_monthly_series(t).select("mon", "cnt"), "mon", "cnt")
 
 
 @query("w_islands",
-       """SELECT user_id, min(date) AS first_day, count(*) AS length FROM (
-            SELECT user_id, date, CAST(date AS DATE) - CAST(row_number() OVER (PARTITION BY user_id ORDER BY date) AS INT)
-                   AS grp FROM (SELECT DISTINCT user_id, date FROM r_daily_user_activity) d) g
-          GROUP BY user_id, grp HAVING count(*) >= 3""")
+       """WITH active AS (SELECT DISTINCT user_id, day FROM r_daily_user_activity),
+               starts AS (SELECT * FROM active a WHERE NOT EXISTS (
+                            SELECT 1 FROM active x WHERE x.user_id = a.user_id AND x.day = a.day - 1)),
+               ends AS (SELECT * FROM active a WHERE NOT EXISTS (
+                            SELECT 1 FROM active x WHERE x.user_id = a.user_id AND x.day = a.day + 1))
+          SELECT s.user_id, CAST(s.day AS VARCHAR) AS first_day, CAST(min(e.day) - s.day + 1 AS BIGINT) AS length
+          FROM starts s JOIN ends e ON e.user_id = s.user_id AND e.day >= s.day
+          GROUP BY s.user_id, s.day HAVING min(e.day) - s.day >= 2""")
 def w_islands(t):
     runs = day_runs(t.table("daily_user_activity"), "user_id", "day", 3)
     return runs.withColumn("first_day", F.col("first_day").cast("string"))

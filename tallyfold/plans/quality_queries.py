@@ -10,10 +10,11 @@ from tallyfold.plans.registry import query
 
 
 @query("dq_parse_ts",
-       """SELECT o_orderkey AS id, CAST(o_orderdate AS VARCHAR) AS created, false AS unparsed FROM orders""")
+       """SELECT o_orderkey AS id, CAST(o_orderdate AS VARCHAR) AS created, false AS unparsed FROM orders
+          UNION ALL SELECT -1 - o_orderkey, CAST(o_orderdate AS VARCHAR), false FROM orders WHERE o_orderkey % 500 = 0""")
 def dq_parse_ts(t):
     """The parsed text must give back the clean column it was made from."""
-    orders = dq.parse_stamps(t.table("orders").where(F.col("id") < 1_000_000_000).select("id", "created_at"), "created_at")
+    orders = dq.parse_stamps(t.table("orders").select("id", "created_at"), "created_at")
     return orders.select("id", F.col("created_at_ts").cast("string").alias("created"),
                          F.col("created_at_ts").isNull().alias("unparsed"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tallyfold.sources.mapped import BASE_TABLES, VIEWS, MappedTables
 
 ORDER_COPIES_SQL = (
-    "CROSS JOIN (VALUES (0), (1000000000)) copies(id_shift) WHERE id_shift = 0 OR o_orderkey % 500 = 0"
+    "CROSS JOIN (VALUES (0), (1)) copies(copy) WHERE copy = 0 OR o_orderkey % 500 = 0"
 )
 
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from tallyfold.functions.text import jaccard, ngrams
 from tallyfold.operators.similarity import best_examples, leakage_accuracy, leakage_groups
 from tallyfold.plans.registry import query
-from tallyfold.sources.tables import spread
 
 
 def _grams_sql(text: str) -> str:
@@ -18,7 +17,7 @@ def _grams_sql(text: str) -> str:
        f"""SELECT doc_id, CAST(len(grams) AS INTEGER) AS n, md5(array_to_string(list_sort(grams), '|')) AS digest
            FROM (SELECT doc_id, {_grams_sql("text")} AS grams FROM documents) g""")
 def s_bigrams(t):
-    sets = spread(t.base("documents")).select("doc_id", ngrams(F.col("text")).alias("grams"))
+    sets = t.base("documents").select("doc_id", ngrams(F.col("text")).alias("grams"))
     return sets.select("doc_id", F.size("grams").alias("n"), F.md5(F.array_join(F.array_sort("grams"), "|")).alias("digest"))
 
 
@@ -41,7 +40,7 @@ def s_jaccard(t):
        f"""WITH q AS (SELECT conv_id, turn, {_grams_sql("text")} AS grams FROM conversations WHERE role = 'user'),
                 e AS (SELECT item_id, {_grams_sql("text")} AS grams FROM benchmark
                       UNION ALL SELECT item_id, {_grams_sql("word")} FROM (
-                        SELECT item_id, unnest(string_split(concat(split_part(text, ' ', 1), ' ', split_part(text, ' ', 2)), ' ')) AS word
+                        SELECT item_id, unnest(string_split(text, ' ')) AS word
                         FROM benchmark) w WHERE word <> ''),
                 s AS (SELECT conv_id, turn, item_id, max(CASE WHEN len(q.grams) = 0 OR len(e.grams) = 0 THEN 0 ELSE
                              CAST(len(list_intersect(q.grams, e.grams)) AS DOUBLE) /
@@ -51,13 +50,12 @@ def s_jaccard(t):
                       FROM s WHERE score >= 0.15)
            SELECT conv_id, turn, CAST(place AS INTEGER) AS place, item_id AS ordinal, round(score, 6) AS score FROM r WHERE place <= 2""")
 def s_topk_examples(t):
-    """User turns as questions; benchmark items, with their first two words as keywords, as examples."""
+    """User turns as questions; benchmark items, with all their words as keywords, as examples."""
     asked = t.base("conversations").where(F.col("role") == "user")
     asked = asked.select(F.struct("conv_id", "turn").alias("asked"), "text")
-    words = F.split("text", " ")
     examples = t.base("benchmark").select(
         F.col("item_id").alias("ordinal"), F.col("text").alias("question"),
-        F.array_join(F.slice(words, 1, 2), " ").alias("keywords"),
+        F.col("text").alias("keywords"),
     )
     found = best_examples(asked, examples, "asked")
     return found.select("asked.conv_id", "asked.turn", "place", "ordinal", F.round("score", 6).alias("score"))
@@ -76,7 +74,7 @@ _GROUPS_SQL = f"""g AS (SELECT doc_id, {_grams_sql("text")} AS grams FROM docume
            SELECT doc_id, CASE WHEN best >= 0.35 THEN 'leaked' ELSE 'clean' END AS leakage,
                   CASE WHEN best >= 0.35 THEN round(best, 6) END AS similarity FROM m""")
 def s_leakage_group(t):
-    groups = leakage_groups(spread(t.base("documents")), t.base("benchmark"), "doc_id")
+    groups = leakage_groups(t.base("documents"), t.base("benchmark"), "doc_id")
     return groups.withColumn("similarity", F.round("similarity", 6))
 
 
@@ -94,4 +92,4 @@ def s_leakage_accuracy(t):
         F.struct(F.lit("toxic").alias("run"), (F.col("toxic") == 0).alias("correct")),
     )
     log = t.base("labels").select("doc_id", F.inline(runs))
-    return leakage_accuracy(leakage_groups(spread(t.base("documents")), t.base("benchmark"), "doc_id"), log, "doc_id")
+    return leakage_accuracy(leakage_groups(t.base("documents"), t.base("benchmark"), "doc_id"), log, "doc_id")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.dates import Days, day_key, days, month
-from tallyfold.functions.money import as_number, ratio
+from tallyfold.functions.money import as_number, rounded_ratio
 from tallyfold.operators.relational import row_count
 from tallyfold.plans.registry import query
 
@@ -20,7 +20,7 @@ def count_where(t, table: str, condition: Column) -> DataFrame:
 
 def mean_of(df: DataFrame, column: str, digits: int = 4) -> DataFrame:
     """Exact mean: decimal or integer sum over the count of present values, divided once."""
-    return df.agg(ratio(F.sum(column), F.count(column), digits).alias("mean"))
+    return df.agg(rounded_ratio(F.sum(column), F.count(column), digits).alias("mean"))
 
 
 @query("table_size", "SELECT count(*) AS n FROM r_orders")
@@ -265,7 +265,7 @@ def least_stock_on_sale(t):
 @query("orders_per_buyer", "SELECT round(count(*) * 1.0 / count(DISTINCT user_id), 6) AS per_buyer FROM r_orders")
 def orders_per_buyer(t):
     per_user = t.table("orders").groupBy("user_id").agg(F.count("*").alias("n"))
-    return per_user.agg(ratio(F.sum("n"), F.count("user_id")).alias("per_buyer"))
+    return per_user.agg(rounded_ratio(F.sum("n"), F.count("user_id")).alias("per_buyer"))
 
 
 @query("order_volume",
@@ -312,8 +312,8 @@ def users_in_two_periods(
     t, early: Days = days("2024-01-01", "2024-01-02"), late: Days = days("2024-01-24", "2024-01-24")
 ):
     """One row per user with a flag per period, then two counts: no distinct is expanded."""
-    in_period = lambda during: during.holds(F.col("date"), "string")
-    per_user = t.table("daily_user_activity").groupBy("user_id").agg(
-        F.max(in_period(early)).alias("early"), F.max(in_period(late)).alias("late")
-    )
+    active = [
+        t.table("daily_user_activity", during).select("user_id", F.lit(n == 0).alias("early"), F.lit(n == 1).alias("late"))
+        for n, during in enumerate((early, late))]
+    per_user = active[0].union(active[1]).groupBy("user_id").agg(F.max("early").alias("early"), F.max("late").alias("late"))
     return per_user.agg(F.count_if("early").alias("early_users"), F.count_if("late").alias("late_users"))

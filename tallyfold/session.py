@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -47,6 +48,12 @@ def cluster_settings(input_bytes: int) -> dict[str, str]:
     }
 
 
+@cache
+def _own_folder() -> tempfile.TemporaryDirectory:
+    """Removed with all it holds when the process ends."""
+    return tempfile.TemporaryDirectory(prefix="tallyfold-", ignore_cleanup_errors=True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The reliable folder for checkpoints and written intermediates.
 
@@ -58,7 +65,7 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="tallyfold-")
+        folder = _own_folder().name
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder

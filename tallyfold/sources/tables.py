@@ -41,14 +41,3 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("table"), "n") for name, df in tables.items()]
     return reduce(DataFrame.unionByName, counts)
 
-
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A plain file scan with at least one partition per core, for work that is heavy per row.
-
-    A file with few row groups is read by few tasks however many cores there are. Such an input is
-    small, so it is dealt out once; an input with enough splits stays as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -102,7 +102,7 @@ def no_broadcast(spark):
 
 @pytest.mark.parametrize("name", [
     "top_categories_by_sales", "top_sellers_by_refund_rate", "top_refunded_top_categories", "city_ranks", "j_star5",
-    "j_anti_not_in", "j_anti_not_in_null", "j_scalar_eq", "ordered_never_paid", "cities_without_orders",
+    "j_anti_not_in", "j_anti_not_in_null", "j_scalar_eq", "ordered_never_paid", "cities_without_orders", "cities_without_orders_in_days",
     "dq_price_outlier", "dq_orphans", "cmp_first_mismatch", "m_latency", "m_ablation",
 ])
 def test_large_sides_give_the_same_rows(spark, oracle, no_broadcast, name):

@@ -54,12 +54,12 @@ def test_pairs_equal_brute_force(make, texts, threshold, n):
 EXAMPLES = [(0, "refund top city sales", "refund 退款"), (1, "order order city", None), (2, "refund top city sales", "order"), (3, "用户 用户 top", "  ")]
 
 
-@pytest.mark.parametrize("inline_limit", [1_000_000, 0])
-def test_best_examples_either_way(make, texts, inline_limit):
+@pytest.mark.parametrize("block_characters", [1_000_000, 100])
+def test_best_examples_either_way(make, texts, block_characters):
     questions = make("id int, text string", list(enumerate(texts)))
     examples = make("ordinal int, question string, keywords string", EXAMPLES)
     found: dict[int, list] = {}
-    for row in best_examples(questions, examples, "id", inline_limit=inline_limit).orderBy("id", "place").collect():
+    for row in best_examples(questions, examples, "id", block_characters=block_characters).orderBy("id", "place").collect():
         found.setdefault(row["id"], []).append((row["ordinal"], round(row["score"], 9)))
     wanted = {}
     for at, text in enumerate(texts):
@@ -70,12 +70,12 @@ def test_best_examples_either_way(make, texts, inline_limit):
     assert found == wanted
 
 
-@pytest.mark.parametrize("inline_limit", [1_000_000, 0])
-def test_leakage_either_way(make, texts, inline_limit):
+@pytest.mark.parametrize("block_characters", [1_000_000, 100])
+def test_leakage_either_way(make, texts, block_characters):
     items = make("id int, text string", [*enumerate(texts), (999, None)])
     examples = make("text string", [(q,) for _, q, _ in EXAMPLES] + [("",)])
     found = {row["id"]: (row["leakage"], row["similarity"]) for row in
-             leakage_groups(items, examples, "id", inline_limit=inline_limit).collect()}
+             leakage_groups(items, examples, "id", block_characters=block_characters).collect()}
     assert found.pop(999) == ("clean", None)
     for at, text in enumerate(texts):
         best = max(similarity(text, q) for _, q, _ in EXAMPLES)
