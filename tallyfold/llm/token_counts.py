@@ -27,9 +27,9 @@ from tallyfold.llm.common import checkpointed, whole_text
 
 SPACE = "▁"  # how the model writes a space
 PRE_TOKEN = re.compile(f"[ {SPACE}]+[^ {SPACE}\n]*|[^ {SPACE}\n]+|\n")
-HEAD = 200_000
+HEAD = 300_000
 HEAD_CHARACTERS = 40
-_FLUSH = 200_000
+_FLUSH = 400_000
 
 
 @cache
@@ -133,18 +133,19 @@ def token_counts(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     words = checkpointed(vocabulary(docs, path))
     sent = docs.sparkSession.sparkContext.broadcast(head_of(words, head))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("content"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.hash(whole_text()).alias("content"),
         F.octet_length(whole_text()).cast("long").alias("n_bytes"), whole_text().alias("text"))
     per_row = rows.mapInArrow(
         _frequencies(lambda: sent.value),
-        "doc_id long, content long, n_bytes long, known long, tail array<struct<token string, n long>>")
+        "doc_id long, content int, n_bytes long, known long, tail array<struct<token string, n long>>")
     parts = per_row.select("doc_id", "content", "n_bytes", "known", F.posexplode_outer("tail").alias("at", "entry"))
     first = (F.coalesce("at", F.lit(0)) == 0).cast("long")
     parts = parts.select(
-        "doc_id", "content", "n_bytes", (first * F.col("known")).alias("known"), first.alias("first"),
+        "doc_id", "content", (first * F.col("n_bytes")).alias("n_bytes"), (first * F.col("known")).alias("known"), first.alias("first"),
         F.col("entry.token").alias("token"), F.col("entry.n").alias("n"))
     joined = parts.join(words.select("token", "pieces").hint("shuffle_hash"), "token", "left")
-    summed = joined.groupBy("doc_id", "content", "n_bytes").agg(
+    summed = joined.groupBy("doc_id", "content").agg(
+        F.max("n_bytes").alias("n_bytes"),
         F.sum(F.col("known") + F.coalesce(F.col("n") * F.col("pieces"), F.lit(0))).alias("tokens"),
         F.sum("first").cast("int").alias("copies"))
     copy = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
