@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,8 +36,9 @@ LENGTH = 2048
 QUANTUM = 256
 BLOCK_TOKENS = 1 << 19
 BLOCKS_SUMMED = 1024
-_CACHED_WORDS = 400_000
-_LETTERS = re.compile("[a-zß-öø-ÿ]+")
+_CACHED_WORDS = 600_000
+#: Letters, and behind them up to eight signs that cannot begin a contraction or a special token.
+_LETTERS_AND_SIGNS = re.compile(r"([a-zß-öø-ÿ]+)([!-&(-/:;=>?@\[-`{-~]{0,8})")
 #: Byte-level alphabet (fixed): printable bytes stand for themselves, the others for characters from 256 on.
 _OTHER_BYTES = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
 _BYTE_LETTERS = {byte: 256 + at for at, byte in enumerate(_OTHER_BYTES)}
@@ -45,8 +47,9 @@ _BYTE_LETTERS = {byte: 256 + at for at, byte in enumerate(_OTHER_BYTES)}
 class WordIds(dict):
     """Ids of words between spaces, as bytes; made on first use and forgotten when there are too many.
 
-    The tokenizer never joins characters across white space, so the ids of a text are those of its words. A word
-    of plain lower-case letters is one pre-token and goes straight to the model; any other takes the whole way.
+    The tokenizer never joins characters across white space, so the ids of a text are those of its words. Nor does it
+    join letters and signs: a word of Latin letters with signs behind is two pre-tokens, and the letters go straight
+    to the model. Any other word takes the whole way. Spellings of one word are kept from their second use on.
     """
 
     def __init__(self, path: str):
@@ -55,21 +58,24 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.type_code = "H" if self.dtype == "<u2" else "I"
+        self.signs: dict[str, bytes] = {"": b""}
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= _CACHED_WORDS:
             self.clear()
-        lower = word.lower() if word.isascii() and "<" not in word else word
-        if lower != word:
-            made = self[lower]
-        elif word[-1:] in ".," and _LETTERS.fullmatch(word, 0, len(word) - 1):
-            made = self[word[:-1]] + self._whole(word[-1])
-        elif _LETTERS.fullmatch(word):
-            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(_BYTE_LETTERS))
-            made = np.array([token.id for token in tokens], self.dtype).tobytes()
-        else:
-            made = self._whole(word)
-        self[word] = made
+        split = _LETTERS_AND_SIGNS.fullmatch(word.lower())
+        if split is None:
+            self[word] = made = self._whole(word)
+            return made
+        letters, signs = split.groups()
+        if (tail := self.signs.get(signs)) is None:
+            tail = self.signs[signs] = self._whole(signs)
+        if (known := self.get(letters)) is None:
+            tokens = self.model.tokenize(letters.encode().decode("latin-1").translate(_BYTE_LETTERS))
+            known = self[letters] = array(self.type_code, [token.id for token in tokens]).tobytes()
+            return known + tail
+        self[word] = made = known + tail
         return made
 
     def _whole(self, word: str) -> bytes:
