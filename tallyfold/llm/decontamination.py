@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import whole_text
 
 GRAM = 3
-SLICE = 4
+SLICE = 2
 SCORE = 0.5
 WORDS = 8
 BLOCK_BYTES = 8 << 20

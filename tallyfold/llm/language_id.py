@@ -57,13 +57,18 @@ def held_out() -> Column:
 
 
 def sample(docs: DataFrame, per_language: int) -> DataFrame:
-    """(lang, text) of the training rows, thinned by hash where a language has more than wanted."""
+    """(lang, text) of the training rows, thinned by hash where a language has more than wanted.
+
+    The sizes of the languages go through the driver, as the model later does.
+    """
     rows = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*"))
-    shares = rows.groupBy(F.col("lang").alias("of")).agg(share.alias("share"))
+    lang = F.col("lang").cast("string")
+    sizes = rows.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).collect()
+    if not sizes:
+        return rows.select(lang.alias("lang"), "text")
+    shares = F.create_map(*(F.lit(x) for row in sizes for x in (row["lang"], min(1.0, per_language / row["n"]))))
     drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(1 << 20)) / float(1 << 20)
-    return rows.join(F.broadcast(shares.limit(10_000)), F.col("lang") == F.col("of")).where(drawn < F.col("share")).select(
-        F.col("lang").cast("string").alias("lang"), "text")
+    return rows.where(drawn < shares[lang]).select(lang.alias("lang"), "text")
 
 
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
