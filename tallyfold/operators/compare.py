@@ -18,7 +18,7 @@ across a rounding edge may face another partner than in a different sort. Missin
 
 from __future__ import annotations
 
-from itertools import permutations
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -28,12 +28,10 @@ from pyspark.sql import types as T
 from tallyfold.functions.text import strip
 from tallyfold.session import shared_folder
 
-# Tolerances, decimals used for ordering, and the limits of the column search.
+# Tolerances, and decimals used for ordering.
 ABSOLUTE_TOLERANCE = 0.011
 RELATIVE_TOLERANCE = 1e-6
 ORDER_DECIMALS = 4
-MOST_EXTRA_COLUMNS = 3
-MOST_SEARCHED_COLUMNS = 6
 
 POSITIONS_PER_BLOCK = 1_000_000
 
@@ -211,14 +209,26 @@ def may_match(gold: dict, pred: dict, rows: int) -> bool:
     return abs(gold["total"] - pred["total"]) <= slack and ends <= ABSOLUTE_TOLERANCE + 2 * RELATIVE_TOLERANCE * reach
 
 
-def candidate_projections(gold: DataFrame, pred: DataFrame) -> list[tuple[int, ...]]:
-    """Choices of ``pred`` columns that could stand for gold's, after pruning by fingerprint."""
+def _choices(fits: list[list[bool]], taken: tuple[int, ...] = ()) -> Iterator[tuple[int, ...]]:
+    """Ways to give each row a column of its own among those that fit it."""
+    if len(taken) == len(fits):
+        yield taken
+        return
+    for column, fit in enumerate(fits[len(taken)]):
+        if fit and column not in taken:
+            yield from _choices(fits, (*taken, column))
+
+
+def candidate_projections(gold: DataFrame, pred: DataFrame) -> Iterator[tuple[int, ...]]:
+    """Choices of ``pred`` columns that could stand for gold's: columns are matched by their fingerprints.
+
+    However many columns there are, only columns that agree in nulls, sums and extremes are combined.
+    """
     theirs, ours = fingerprints(pred), fingerprints(gold)
     ours_columns = [ours["columns"][name] for name in gold.columns]
     theirs_columns = [theirs["columns"][name] for name in pred.columns]
     fits = [[may_match(g, p, ours["n"]) for p in theirs_columns] for g in ours_columns]
-    choices = permutations(range(len(theirs_columns)), len(ours_columns))
-    return [choice for choice in choices if all(fits[at][column] for at, column in enumerate(choice))]
+    return _choices(fits)
 
 
 def _verdict(df: DataFrame, equal: bool, rule: str) -> DataFrame:
@@ -245,7 +255,7 @@ def compare_tables(
     extra = len(pred.columns) - len(gold.columns)
     if extra == 0:
         return compare_rows(gold, pred, rule, pred_columns=aligned_columns(gold.columns, pred.columns), **how)
-    if 0 < extra <= MOST_EXTRA_COLUMNS and len(pred.columns) <= MOST_SEARCHED_COLUMNS:
+    if extra > 0:
         for choice in candidate_projections(gold, pred):
             columns = [pred.columns[at] for at in choice]
             if compare_rows(gold, pred, rule, pred_columns=columns, **how).first()["equal"]:

@@ -55,8 +55,12 @@ def outcomes(log: DataFrame) -> DataFrame:
     )
 
 
-def exec_accuracy(log: DataFrame) -> DataFrame:
-    return outcomes(log).select("run", "total", "correct", "exec_accuracy")
+def exec_accuracy(log: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """Accuracy per run; runs listed in ``runs`` (``run``) that the log does not know come out with zeros."""
+    known = outcomes(log).select("run", "total", "correct", "exec_accuracy")
+    if runs is None:
+        return known
+    return runs.select("run").distinct().join(known, "run", "left").fillna({"total": 0, "correct": 0, "exec_accuracy": 0.0})
 
 
 def first_round(log: DataFrame) -> DataFrame:

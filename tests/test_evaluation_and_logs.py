@@ -117,3 +117,20 @@ def test_table_lists(make):
 def test_strip_is_that_of_python(make):
     texts = ["", "  ", "\t a b \n", "　退款 ", "\x1c\x85x ", "x", "\r\n; "]
     assert column_of(make, texts, strip) == [text.strip() for text in texts]
+
+
+def test_listed_runs_without_rows_are_zero(make):
+    log = make("run string, correct boolean, attempts int, latency_s double, total_tokens int, llm_calls int", [("a", True, 1, 1.0, 1, 1)])
+    for rows, expected in ((log, {"a": (1, 1, 100.0), "b": (0, 0, 0.0)}), (log.where("false"), {"a": (0, 0, 0.0), "b": (0, 0, 0.0)})):
+        got = ev.exec_accuracy(rows, make("run string", [("a",), ("b",)]))
+        assert {r["run"]: (r["total"], r["correct"], r["exec_accuracy"]) for r in got.collect()} == expected
+
+
+@pytest.mark.parametrize("space", ["\u3000", "\u00a0"])
+def test_white_space_of_any_script(make, space):
+    texts = make("t string", [(f"orders{space}users",), (f"SELECT{space} 1",), (f"```sql{space}SELECT 2{space}```",)])
+    row = texts.agg(
+        F.max(F.array_join(known_names(F.col("t"), ["orders", "users"]), ",")).alias("names"),
+        F.max_by(admission(F.col("t")), F.col("t").startswith("SELECT")).alias("reason"),
+        F.max_by(extract_sql(F.col("t")), F.col("t").startswith("```")).alias("sql")).first()
+    assert (row["names"], row["reason"], row["sql"]) == ("orders,users", "ok", "SELECT 2")

@@ -98,3 +98,10 @@ def test_slow_statement_is_cancelled(spark):
     with pytest.raises(TimeoutError):
         run_statement(spark, slow, seconds=2.0)
     assert run_statement(spark, "SELECT 1 AS x")[0] == [(1,)]
+
+
+def test_full_quotients_rank(make):
+    from tallyfold.functions.money import ratio
+
+    rows = make("id int, a double, b double", [(1, 0.3000001, 1.0), (2, 0.3, 1.0)])
+    assert rows.orderBy(ratio(F.col("a"), F.col("b"))).first()["id"] == 2
