@@ -11,48 +11,63 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import python_round
+from tallyfold.session import shared_folder
 
 # The difficulty levels every summary lists, in this order.
 LEVELS = ("easy", "medium", "hard")
 
 
+def stored(frame: DataFrame) -> DataFrame:
+    """A small result that several steps read, computed once."""
+    shared_folder(frame.sparkSession)
+    return frame.checkpoint()
+
+
 def percent(part: Column, whole: Column) -> Column:
     """Share in percent with one decimal; 0 of nothing is 0."""
     share = part.cast("double") / whole * 100
     return F.when(whole == 0, F.lit(0.0)).otherwise(python_round(share, 1))
 
 
-def _first_round(correct: Column, attempts: Column) -> Column:
-    return F.count_if(correct & (attempts <= 1))
-
-
-def _saved(correct: Column, attempts: Column) -> Column:
-    return F.count_if(correct & (attempts > 1))
-
+def per_run(log: DataFrame) -> DataFrame:
+    """Everything that can be counted per run, in one scan: totals, levels as an array, causes of failures as a map.
 
-def outcomes(log: DataFrame) -> DataFrame:
-    """Counts and shares per run: accuracy, first-round passes, answers saved by a retry."""
+    Rows collapse per cause first, so what is gathered per run is one entry per cause.
+    """
     correct, attempts = F.col("correct"), F.col("attempts")
-    counted = log.groupBy("run").agg(
-        F.count("*").alias("total"),
-        F.count_if(correct).alias("correct"),
-        _first_round(correct, attempts).alias("first"),
-        _saved(correct, attempts).alias("saved_count"),
-        F.sum("latency_s").alias("latency"),
-        F.sum("total_tokens").alias("tokens"),
-        F.sum("llm_calls").alias("calls"),
-    )
+    sums = {
+        "total": F.count("*"), "right": F.count_if(correct), "first": F.count_if(correct & (attempts <= 1)),
+        "saved_count": F.count_if(correct & (attempts > 1)), "latency": F.sum("latency_s"), "tokens": F.sum("total_tokens"),
+        "calls": F.sum("llm_calls"),
+    }
+    if "difficulty" in log.columns:
+        for level in LEVELS:
+            of_level = F.col("difficulty") == level
+            sums |= {f"{level}_total": F.count_if(of_level), f"{level}_right": F.count_if(of_level & correct)}
+    cause = F.when(~correct, F.col("attribution")) if "attribution" in log.columns else F.lit(None).cast("string")
+    parts = log.groupBy("run", cause.alias("cause")).agg(*(made.alias(name) for name, made in sums.items()))
+    causes = F.collect_list(F.when(F.col("cause").isNotNull(), F.struct("cause", F.col("total").cast("int").alias("n"))))
+    return parts.groupBy("run").agg(
+        *(F.sum(name).alias(name) for name in sums), F.map_from_entries(F.array_sort(causes)).alias("causes"))
+
+
+def _outcome_columns() -> list[Column]:
     total, missed = F.col("total"), F.col("total") - F.col("first")
-    return counted.select(
-        "run", "total", "correct",
-        percent(F.col("correct"), total).alias("exec_accuracy"),
+    return [
+        F.col("run"), total, F.col("right").alias("correct"),
+        percent(F.col("right"), total).alias("exec_accuracy"),
         percent(F.col("first"), total).alias("first_round_pass"),
         percent(F.col("saved_count"), missed).alias("saved_by_correction"),
-        "saved_count", missed.alias("first_round_fail_count"),
+        F.col("saved_count"), missed.alias("first_round_fail_count"),
         python_round(F.col("latency").cast("double") / total, 1).alias("avg_latency_s"),
         python_round(F.col("tokens") / total, 0).cast("long").alias("avg_total_tokens"),
         python_round(F.col("calls") / total, 2).alias("avg_llm_calls"),
-    )
+    ]
+
+
+def outcomes(log: DataFrame) -> DataFrame:
+    """Counts and shares per run: accuracy, first-round passes, answers saved by a retry."""
+    return per_run(log).select(*_outcome_columns())
 
 
 def exec_accuracy(log: DataFrame, runs: DataFrame | None = None) -> DataFrame:
@@ -97,12 +112,12 @@ def attribution(log: DataFrame) -> DataFrame:
 def latency_percentiles(log: DataFrame, **shares: float) -> DataFrame:
     """Exact order statistics per run: the value at index ``min(int(n * share), n - 1)``.
 
-    Latencies become a histogram, and the wanted index is narrowed down in three steps: to its 10 ms
+    Latencies become a histogram, stored once, and the wanted index is narrowed down in three steps: to its 10 ms
     bucket, inside that to its microsecond, inside that to the value. Each step orders only what the
     step before left, so no window grows with the number of questions of a run.
     """
     wanted = shares or {"p50": 0.5, "p95": 0.95}
-    values = log.groupBy("run", "latency_s").agg(F.count("*").alias("n"))
+    values = stored(log.groupBy("run", "latency_s").agg(F.count("*").alias("n")))
     seconds = F.col("latency_s").cast("double")
     values = values.withColumns({"bucket": F.floor(seconds * 100), "micro": F.floor(seconds * 1_000_000)})
     buckets = values.groupBy("run", "bucket").agg(F.sum("n").alias("n"))
@@ -148,17 +163,13 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
 
 def summaries(log: DataFrame) -> DataFrame:
     """One row per run with all metrics, levels as a map of structs and causes as a map of counts."""
-    levels = by_difficulty(log).groupBy("run").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(
-            F.struct("difficulty", F.struct(F.col("total").cast("int").alias("total"), "accuracy"))
-        ))).alias("by_difficulty")
-    )
-    causes = attribution(log).groupBy("run").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("attribution", F.col("n").cast("int"))))).alias("attribution")
-    )
-    no_causes = F.create_map().cast("map<string,int>")
-    joined = outcomes(log).join(latency_percentiles(log), "run").join(levels, "run").join(causes, "run", "left")
-    return joined.withColumn("attribution", F.coalesce("attribution", no_causes))
+    levels = F.map_from_entries(F.array(*(
+        F.struct(F.lit(level), F.struct(
+            F.col(f"{level}_total").cast("int").alias("total"),
+            percent(F.col(f"{level}_right"), F.col(f"{level}_total")).alias("accuracy")))
+        for level in LEVELS)))
+    counted = per_run(log).select(*_outcome_columns(), levels.alias("by_difficulty"), F.col("causes").alias("attribution"))
+    return counted.join(latency_percentiles(log), "run")
 
 
 def ablation(run_metrics: DataFrame, base: str, *metrics: str) -> DataFrame:
@@ -179,6 +190,8 @@ def choose_items(items: DataFrame, key: str, ids: list[int] | None = None, limit
 
 def item_violations(items: DataFrame, expected: dict[str, int], admission: Column) -> DataFrame:
     """Faults of an evaluation set: repeated ids or questions, level counts off, SQL not admitted."""
+    items = stored(items.select("id", "question", "difficulty", admission.alias("reason")))
+
     def repeated(column: str, rule: str) -> DataFrame:
         groups = items.groupBy(F.col(column).cast("string").alias("subject")).agg(F.count("*").alias("n"))
         return groups.where(F.col("n") > 1).select(F.lit(rule).alias("rule"), "subject", "n")
@@ -190,7 +203,7 @@ def item_violations(items: DataFrame, expected: dict[str, int], admission: Colum
     ]
     levels = items.agg(F.array(*level_counts).alias("levels")).select(F.inline("levels"))
     off = levels.where(F.col("n") != F.col("wanted")).select("rule", "subject", "n")
-    refused = items.withColumn("reason", admission).where(F.col("reason") != "ok").groupBy(
+    refused = items.where(F.col("reason") != "ok").groupBy(
         F.col("reason").alias("subject")).agg(F.count("*").alias("n"))
     return (
         repeated("id", "repeated_id").unionByName(repeated("question", "repeated_question"))
