@@ -30,15 +30,15 @@ from pyspark.sql import functions as F
 SAMPLE = 4_000
 
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"""
-    r"""|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]{0,9999}"|'[^']{0,9999}')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|[^<]++|<""",
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>"""
+    r"""|<(/?)([a-zA-Z][^\s<>/]*+)((?:[^<>"']|"[^"]{0,9999}"|'[^']{0,9999}')*+)>|<(/?)([a-zA-Z][^\s<>/]*+)([^<>]*+)>|[^<]++|<""",
     re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 #: Fixed word lists: elements without end tag, without text, inside a line, and names that announce a part.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math object select button head".split()) - {"head"}
+RAW = set("script style noscript template textarea title iframe svg math object select button".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike"
     " strong sub sup time tt u var wbr".split())
@@ -72,6 +72,7 @@ class Page:
         self.parents, self.tags, self.features, self.texts = [-1], ["#"], [[]], [None]
         self.stack = [0]
         self.inside, self.kinds = [False], [0]
+        self.opened: Counter = Counter()
         self._pieces: list[tuple[str, bool]] = []
         self._parse(html)
 
@@ -117,13 +118,20 @@ class Page:
             features.append("main")
         features += sorted(f".{name}" for name in names - {tag})
         self.stack.append(self._node(self.stack[-1], tag, features, None, inside))
+        self.opened[tag] += 1
         self.kinds[self.stack[-1]] = KINDS.index("other") if named else KINDS.index("main") if "main" in features else 0
 
+    def _end(self, at: int) -> None:
+        """End the open element at a place of the stack, and all inside it."""
+        self.opened.subtract(self.tags[node] for node in self.stack[at:])
+        del self.stack[at:]
+
     def _close(self, tag: str) -> None:
-        for at in range(len(self.stack) - 1, 0, -1):
-            if self.tags[self.stack[at]] == tag:
-                del self.stack[at:]
-                return
+        if self.opened[tag] > 0:
+            at = len(self.stack) - 1
+            while self.tags[self.stack[at]] != tag:
+                at -= 1
+            self._end(at)
 
     def _imply(self, tag: str) -> None:
         """End elements that a start tag ends unsaid."""
@@ -133,12 +141,12 @@ class Page:
         for at in range(len(self.stack) - 1, max(0, len(self.stack) - 64), -1):
             name = self.tags[self.stack[at]]
             if name == same:
-                del self.stack[at:]
+                self._end(at)
             if name == same or name in until or same == "p" and name in CLOSES_PARAGRAPH:
                 return
 
     def _parse(self, html: str) -> None:
-        at, links = 0, 0
+        at, links, unclosed = 0, 0, set()
         while m := TOKEN.match(html, at):
             at = m.end()
             tag = (m[2] or m[5] or "").lower()
@@ -148,10 +156,14 @@ class Page:
                 continue
             ends = bool(m[1] or m[4])
             if tag in RAW:
-                if not ends and (close := re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)):
+                if ends or tag in unclosed:
+                    continue
+                if close := re.compile(rf"</{re.escape(tag)}\b[^<>]*>", re.I).search(html, at):
                     at = close.end()
-                elif not ends and tag in ("script", "style", "textarea", "title"):
+                elif tag in ("script", "style", "textarea", "title"):
                     at = len(html)
+                else:
+                    unclosed.add(tag)
                 continue
             if tag in INLINE:
                 links = max(0, links + (1, -1)[ends]) if tag == "a" else links

@@ -43,6 +43,18 @@ def test_parts_that_are_not_the_article(model, html, expected):
     assert model.text(html) == expected
 
 
+@pytest.mark.parametrize("html", [
+    "<a " * 60_000, "<iframe>" * 30_000, "<div>" * 3_000 + "</p>" * 60_000, '<p title="' * 20_000, "<!--" * 50_000, "<p><b>x" * 20_000,
+    "&" * 200_000, "<li>" * 30_000,
+])
+def test_broken_pages_take_linear_time(model, html):
+    from time import perf_counter
+
+    start = perf_counter()
+    model.text(html)
+    assert perf_counter() - start < 10
+
+
 def brute_marginals(model, page):
     """All labellings of a small page."""
     from itertools import product
