@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 ORDER = 3
 FOLDS = 5
 PER_LANGUAGE = 2_000
-TABLE_CELLS = 1 << 25
+TABLE_CELLS = 1 << 24
 UNKNOWN = "und"
 PAD = b" " * ORDER
 _BLOCK = 1 << 20
@@ -120,15 +120,13 @@ class Statistics:
         return table
 
     def _probabilities(self, seen: np.ndarray) -> np.ndarray:
-        shorter = np.full(self.size, 1 / self.size, np.float32)
+        shorter = np.full((1, self.size), 1 / self.size, np.float32)
         for order in range(ORDER + 1):
             counts = seen.reshape(-1, *[self.size] * (order + 1)).sum(axis=0).reshape(-1, self.size)
             total = counts.sum(axis=1, keepdims=True)
             kinds = (counts > 0).sum(axis=1, keepdims=True).astype(np.float32)
             escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1)
-            handed_on = np.broadcast_to(
-                shorter.reshape(1, -1, self.size) if order else shorter, (self.size if order else 1, counts.shape[0] // (self.size if order else 1), self.size)
-            ).reshape(counts.shape)
+            handed_on = np.tile(shorter, (len(counts) // len(shorter), 1))
             shorter = np.where(counts > 0, counts / np.maximum(total + kinds, 1), escape * handed_on).astype(np.float32)
         return shorter.reshape(-1)
 
@@ -163,26 +161,33 @@ def _table(model: Statistics) -> np.ndarray:
 
 
 def bits(model: Statistics, texts: list[bytes]) -> np.ndarray:
-    """Code length of each text in each language."""
+    """Code length of each text in each language; texts are taken in groups of about ``_BLOCK`` bytes."""
+    total, first = np.zeros((len(texts), len(model.languages))), 0
+    while first < len(texts):
+        last, size = first, 0
+        while last < len(texts) and (last == first or size + len(texts[last]) <= _BLOCK):
+            size += len(texts[last])
+            last += 1
+        total[first:last] = _bits_of_group(model, texts[first:last])
+        first = last
+    return total
+
+
+def _bits_of_group(model: Statistics, texts: list[bytes]) -> np.ndarray:
     table, total = _table(model), np.zeros((len(texts), len(model.languages)))
     data, starts = joined(texts)
     data = np.frombuffer(data.tobytes().translate(model.symbols), np.uint8)
     ends = np.append(starts[1:] - ORDER, len(data))
-    first = 0
-    while first < len(texts):
-        last = max(first + 1, int(np.searchsorted(ends, starts[first] + _BLOCK, "right")))
-        for low in range(int(starts[first]), int(ends[last - 1]), _BLOCK):
-            high = min(low + _BLOCK, int(ends[last - 1]))
-            part = data[low - ORDER:high].astype(np.int32)
-            code = part[:high - low].copy()
-            for at in range(1, ORDER + 1):
-                code *= model.size
-                code += part[at:at + high - low]
-            sums = np.vstack([np.zeros(len(model.languages)), np.cumsum(table[code], axis=0, dtype=np.float64)])
-            begin = np.clip(starts[first:last], low, high) - low
-            end = np.clip(ends[first:last], low, high) - low
-            total[first:last] += sums[np.maximum(begin, end)] - sums[begin]
-        first = last
+    for low in range(ORDER, len(data), _BLOCK):
+        high = min(low + _BLOCK, len(data))
+        part = data[low - ORDER:high].astype(np.int32)
+        code = part[:high - low].copy()
+        for at in range(1, ORDER + 1):
+            code *= model.size
+            code += part[at:at + high - low]
+        sums = np.vstack([np.zeros(len(model.languages)), np.cumsum(table[code], axis=0, dtype=np.float64)])
+        begin, end = np.clip(starts, low, high) - low, np.clip(ends, low, high) - low
+        total += sums[np.maximum(begin, end)] - sums[begin]
     return total
 
 
