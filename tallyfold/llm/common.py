@@ -26,6 +26,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(name: str, frame: DataFrame) -> str:
+    """The name, with as many underscores in front as keep it apart from the frame's columns."""
+    taken = {column.lower() for column in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, with null as empty."""
     return F.coalesce(F.col(column), F.lit(""))

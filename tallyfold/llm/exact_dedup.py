@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import checkpointed, whole_text
+from tallyfold.llm.common import checkpointed, unused, whole_text
 
 WHITE = " \t\n\x0b\f\r"
 SLOTS = 4
@@ -232,11 +232,9 @@ def decisions(docs: DataFrame) -> DataFrame:
 
 def kept_rows(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns. Texts move once, keyed so that no group of copies is hot."""
-    keys = ["_digest", "_id", "_points"]
-    keyed = docs.withColumns({
-        "_digest": digest_of(whole_text()), "_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
-        "_points": F.char_length(whole_text()).cast("long")})
+    keys = [unused(name, docs) for name in ("_digest", "_id", "_points")]
+    own = (digest_of(whole_text()), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.char_length(whole_text()).cast("long"))
+    keyed = docs.withColumns(dict(zip(keys, own, strict=True)))
     winners = groups(with_digests(docs)).select(
-        F.col("digest").alias("_digest"), F.coalesce(F.col("keep_id").cast("string"), F.lit("")).alias("_id"),
-        F.col("keep_points").alias("_points"))
+        "digest", F.coalesce(F.col("keep_id").cast("string"), F.lit("")), "keep_points").toDF(*keys)
     return keyed.join(winners, keys, "left_semi").dropDuplicates(keys).select(docs.columns)

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfold.llm.common import unused
+
 
 ORDER = 3
 FOLDS = 5
@@ -192,7 +194,8 @@ def _bits_of_group(model: Statistics, texts: list[bytes]) -> np.ndarray:
 
 
 def predicted(docs: DataFrame, model: Statistics) -> DataFrame:
-    """All columns and rows of ``docs``, and the columns ``_language`` and ``_score``."""
+    """All columns and rows of ``docs``, and behind them ``_language`` and ``_score`` (or such names not yet taken)."""
+    language, score_name, letter = (unused(name, docs) for name in ("_language", "_score", "_has_letter"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
@@ -210,11 +213,17 @@ def predicted(docs: DataFrame, model: Statistics) -> DataFrame:
                 best, score = np.where(has_letter, shortest, best), np.where(has_letter, 1 / ratio.sum(axis=1), 0.0)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:-1], pa.array(names[best], pa.string()), pa.array(score)],
-                [*batch.schema.names[:-1], "_language", "_score"])
+                [*batch.schema.names[:-1], language, score_name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("_language", T.StringType()), T.StructField("_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(language, T.StringType()), T.StructField(score_name, T.DoubleType())])
     has_letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
-    return docs.withColumn("_has_letter", has_letter).mapInArrow(batchwise, schema)
+    return docs.withColumn(letter, has_letter).mapInArrow(batchwise, schema)
+
+
+def recognised_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """The rows whose language is known, with all their columns."""
+    labelled = predicted(docs, learned(docs, per_language))
+    return labelled.where(F.col(labelled.columns[-2]) != UNKNOWN).select(docs.columns)
 
 
 def languages(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
