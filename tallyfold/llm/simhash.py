@@ -20,6 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import ceil, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -128,24 +129,43 @@ def linked(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
-ANCHORS = 16
-NEAR_BITS = 22
+#: Near duplicates: hashes per band, chance that no band finds a pair at the threshold, and bounds of a chunk.
+ROWS = 3
+MISSED = 1e-11
+CHUNK_SHINGLES = 1 << 20
+CHUNK_MEMBERS = 1 << 13
 
 
-def _sketches(words: int, anchors: int):
-    """Per row: fingerprint of the distinct shingles, their number, and the smallest hashes."""
+def bands_for(similarity: float) -> int:
+    """So many bands that a pair at ``similarity`` shares none of them with a chance of ``MISSED`` at most."""
+    return max(1, ceil(log(MISSED) / log1p(-min(similarity ** ROWS, 1 - 1e-9))))
+
+
+def _sketches(words: int, bands: int):
+    """Per row: digest of the set of shingles, fingerprint of the distinct ones, their number, and band hashes."""
+    chance = np.random.default_rng(SEED)
+    factors = chance.integers(0, 1 << 63, bands * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    mixers = chance.integers(0, 1 << 63, (ROWS, bands), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+    def banded(hashes: np.ndarray) -> np.ndarray:
+        least = np.full(len(factors), (1 << 64) - 1, np.uint64)
+        for at in range(0, len(hashes), 1024):
+            np.minimum(least, (hashes[at:at + 1024, None] * factors).min(axis=0), out=least)
+        least ^= least >> np.uint64(29)
+        return (least.reshape(ROWS, bands) * mixers).sum(axis=0, dtype=np.uint64).view("i8")
 
     def batchwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints, sizes, least = [], [], []
+            keys, prints, sizes, found = [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
                 distinct = np.unique(shingle_hashes(text or b"", words))
+                keys.append(xxhash.xxh3_128_digest(distinct.tobytes()))
                 prints.append(fingerprint_of(distinct))
                 sizes.append(len(distinct))
-                least.append(distinct[:anchors].view("i8").tolist())
+                found.append(banded(distinct) if len(distinct) else distinct.view("i8"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()),
-                 pa.array(least, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "anchors"])
+                [batch.column(0), pa.array(keys, pa.binary()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64()),
+                 pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "n", "bands"])
 
     return batchwise
 
@@ -154,48 +174,135 @@ def _shingle_sets(words: int):
     def batchwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [
-                np.unique(shingle_hashes(text or b"", words)).view("i8")
-                for text in batch.column(1).cast(pa.binary()).to_pylist()]
+                np.unique(shingle_hashes(text or b"", words))
+                for text in batch.column(0).cast(pa.binary()).to_pylist()]
+            keys = [xxhash.xxh3_128_digest(own.tobytes()) for own in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+                [pa.array(keys, pa.binary()), pa.array([own.view("i8") for own in sets], pa.list_(pa.int64()))],
+                ["key", "shingles"])
 
     return batchwise
 
 
+def joins(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
+    """Edges that connect what all pairs at ``similarity`` connect, by place; pairs of one label are connected already.
+
+    With ``sides`` only pairs across them count. Each set in turn is compared with all that it is not yet connected to.
+    """
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    starts = np.cumsum(sizes) - sizes
+    shingles, tokens, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    labels, open_, edges = labels.copy(), np.ones(len(sets), bool), []
+    for pivot in np.argsort(-np.add.reduceat(counts[tokens], starts) / sizes, kind="stable"):
+        open_[pivot] = False
+        other = open_ & (labels != labels[pivot])
+        other &= np.minimum(sizes, sizes[pivot]) >= similarity * np.maximum(sizes, sizes[pivot])
+        if sides is not None:
+            other &= sides != sides[pivot]
+        if not other.any():
+            continue
+        own = np.zeros(len(shingles), bool)
+        own[tokens[starts[pivot]:starts[pivot] + sizes[pivot]]] = True
+        shared = np.add.reduceat(own[tokens], starts, dtype=np.int64)
+        hits = np.flatnonzero(other & (shared >= similarity * (sizes + sizes[pivot] - shared)))
+        if len(hits):
+            merged, first = np.unique(labels[hits], return_index=True)
+            edges += [(int(pivot), int(hits[at])) for at in first]
+            labels[np.isin(labels, merged)] = labels[pivot]
+    return edges
+
+
+def _joined_chunks(similarity: float):
+    def groupwise(table: pa.Table) -> pa.Table:
+        ids = table["cid"].to_numpy()
+        sets = [np.asarray(own, "i8") for own in table["shingles"].to_numpy(zero_copy_only=False)]
+        _, labels = np.unique(table["component"].to_numpy(), return_inverse=True)
+        across = table["low"][0].as_py() != table["high"][0].as_py()
+        edges = joins(sets, labels, table["part"].to_numpy() if across else None, similarity)
+        return pa.table({
+            "a": pa.array([ids[a] for a, _ in edges], pa.int64()), "b": pa.array([ids[b] for _, b in edges], pa.int64())})
+
+    return groupwise
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) of the documents that have a near copy.
 
     Two documents are linked when the Jaccard similarity of their shingle sets is ``similarity`` or more. At 0.8 that
     allows about ten differing bits, out of reach of the grid alone, so candidates come from two sides: fingerprints
-    that the grid links, and documents that share one of their ``ANCHORS`` smallest shingle hashes (two documents at
-    0.8 share none with a chance of 0.2 to the power of ``ANCHORS``). Under one anchor each document meets the two
-    that a hash puts first and last, never all others. The popcount bound and the exact distance, at ``NEAR_BITS``,
-    take out candidates that only share a passage; the similarity of those left is computed exactly.
+    that the grid links, and documents with a common band, a hash of ``ROWS`` min-hashes. There are so many bands that
+    a pair at the threshold has none in common with a chance of ``MISSED``. Equal sets are one class.
+
+    First each class meets two others under a band: the one whose bands are the most common, and the one a hash puts
+    first. What that connects needs no further comparison. Of bands that still hold more than one component all pairs
+    across components are compared: as pairs where there are at most ``DENSE`` classes, else chunk by chunk in
+    Arrow groups, which give a spanning forest and no row per pair. The similarity is always computed exactly.
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = checkpointed(rows.mapInArrow(
-        _sketches(words, ANCHORS), "doc_id long, fp long, n long, anchors array<long>"))
-    classes = checkpointed(sketches.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    same = sketches.join(classes, "fp").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    member = F.struct("doc_id", "fp", "n")
-    anchored = sketches.select("doc_id", "fp", "n", F.explode("anchors").alias("anchor"))
-    order = F.xxhash64("doc_id", "anchor")
-    ends = anchored.groupBy("anchor").agg(
-        F.count("*").alias("members"), F.min_by(member, order).alias("first"), F.max_by(member, order).alias("last"))
-    met = anchored.join(ends.where("members > 1"), "anchor").select(
-        "doc_id", "fp", "n", F.explode(F.array("first", "last")).alias("o"))
-    met = met.where("doc_id <> o.doc_id").where(F.least("n", "o.n") >= similarity * F.greatest("n", "o.n"))
-    met = met.where(distance(embedded(F.col("fp")), embedded(F.col("o.fp"))) <= NEAR_BITS)
-    met = met.where(distance(F.col("fp"), F.col("o.fp")) <= NEAR_BITS).select(
-        F.col("doc_id").alias("a"), F.col("o.doc_id").alias("b"))
-    found = same.union(links(classes)).union(met)
+        _sketches(words, bands_for(similarity)), "doc_id long, key binary, fp long, n long, bands array<long>"))
+    classes = checkpointed(sketches.groupBy("key").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.any_value("fp").alias("fp"),
+        F.any_value("n").alias("n"), F.any_value("bands").alias("bands")).withColumn("cid", F.monotonically_increasing_id()))
+    placed = classes.select("cid", "n", F.posexplode("bands").alias("i", "band"))
+    crowd = placed.groupBy("i", "band").agg(F.count("*").alias("members")).where("members > 1")
+    shared = checkpointed(placed.join(crowd, ["i", "band"]))
+
+    close = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
+    member = F.struct("cid", "n")
+    weighed = shared.join(shared.groupBy("cid").agg(F.sum("members").alias("weight")), "cid")
+    ends = weighed.groupBy("i", "band").agg(
+        F.max_by(member, F.struct("weight", "cid")).alias("hub"), F.min_by(member, F.xxhash64("cid", "band")).alias("first"))
+    met = shared.join(ends, ["i", "band"]).select("cid", "n", F.explode(F.array("hub", "first")).alias("o")).where(
+        close(F.col("n"), F.col("o.n"))).select(F.col("cid").alias("a"), F.col("o.cid").alias("b"))
+    by_print = checkpointed(classes.groupBy("fp").agg(F.min("cid").alias("node")))
+    same = classes.join(by_print, "fp").select(F.col("cid").alias("a"), F.col("node").alias("b"))
+    found = same.union(links(by_print)).union(met)
     pairs = checkpointed(found.where("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = rows.join(wanted, "doc_id", "left_semi").mapInArrow(
-        _shingle_sets(words), "doc_id long, shingles array<long>")
-    sets = checkpointed(sets)
-    sized = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    alike = shared >= similarity * (F.size("x") + F.size("y") - shared)
-    return components(sized.where(alike).select("a", "b")).toDF("doc_id", "component_id")
+
+    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(shared.select("cid")).distinct()
+    named = checkpointed(classes.select("cid", "key", "least").join(wanted, "cid", "left_semi"))
+    made = rows.join(named.select(F.col("least").alias("doc_id")), "doc_id", "left_semi").select("text").mapInArrow(
+        _shingle_sets(words), "key binary, shingles array<long>").dropDuplicates(["key"])
+    sets = checkpointed(named.join(made, "key").select("cid", "shingles"))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        sized = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        both = F.size(F.array_intersect("x", "y"))
+        return sized.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+    # A doc_id with several texts is one document.
+    several = sketches.select("doc_id", "key").distinct().join(classes.select("key", "cid"), "key").groupBy("doc_id").agg(
+        F.min("cid").alias("a"), F.max("cid").alias("b"), F.collect_set("cid").alias("all")).where("a <> b")
+    edges = checkpointed(alike(pairs).union(several.select("a", F.explode("all").alias("b")).where("a <> b")))
+    known = checkpointed(components(edges).toDF("cid", "component"))
+
+    labelled = shared.join(known, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    labelled = checkpointed(labelled)
+    mixed = labelled.groupBy("i", "band").agg(
+        F.sum("n").alias("total"), F.min("component").alias("lowest"), F.max("component").alias("highest")).where(
+        "lowest <> highest").drop("lowest", "highest")
+    rest = checkpointed(labelled.join(mixed, ["i", "band"]))
+    sparse = rest.where(F.col("members") <= DENSE).select("i", "band", "cid", "n", "component")
+    other = sparse.select("i", "band", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "component")))
+    few = sparse.join(other, ["i", "band"]).where("cid < cid_b AND component <> component_b").where(
+        close(F.col("n"), F.col("n_b"))).select(F.col("cid").alias("a"), F.col("cid_b").alias("b")).distinct()
+    few = few.join(pairs, ["a", "b"], "left_anti")
+    parts = F.ceil(F.greatest(F.col("total") / CHUNK_SHINGLES, F.col("members") / CHUNK_MEMBERS))
+    dense = rest.where(F.col("members") > DENSE).withColumn("parts", parts).withColumn(
+        "part", F.pmod(F.xxhash64("cid", "band"), F.col("parts")))
+    dense = dense.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dense = dense.select(
+        "i", "band", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "cid", "component")
+    many = dense.join(sets, "cid").groupBy("i", "band", "low", "high").applyInArrow(
+        _joined_chunks(similarity), "a long, b long")
+    found = components(edges.union(alike(few)).union(many)).toDF("cid", "component")
+
+    every = classes.select("cid", "key", "least", "most").join(found, "cid", "left").withColumn(
+        "component", F.coalesce("component", "cid"))
+    every = checkpointed(every.select("key", "least", "most", "component"))
+    groups = every.groupBy("component").agg(
+        F.min("least").alias("component_id"), F.max("most").alias("most")).where("component_id < most").drop("most")
+    grouped = every.join(groups, "component").select("key", "component_id")
+    return sketches.select("doc_id", "key").join(grouped, "key").select("doc_id", "component_id").distinct()

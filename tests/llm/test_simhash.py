@@ -104,6 +104,61 @@ def test_near_duplicates_against_brute_force(make):
     assert {k: got.get(k, k) for k in texts if sets[k]} == {k: label[k] for k in texts if sets[k]}
 
 
+def edited(chance, words, times):
+    own = list(words)
+    for at in chance.sample(range(len(own)), times):
+        own[at] = f"new{chance.random()}"
+    return own
+
+
+def brute_near(texts):
+    words = {k: v.split() for k, v in texts.items()}
+    sets = {k: {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} for k, w in words.items()}
+    label = {k: k for k in texts}
+
+    def root(k):
+        while label[k] != k:
+            k = label[k]
+        return k
+
+    for a, b in combinations(texts, 2):
+        shared = len(sets[a] & sets[b])
+        if shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared):
+            low, high = sorted((root(a), root(b)))
+            label[high] = low
+    return {k: root(k) for k in texts}
+
+
+def near(make, texts):
+    rows = simhash.near_duplicates(make("doc_id long, text string", list(texts.items()))).collect()
+    assert len(rows) == len({r.doc_id for r in rows})
+    got = {r.doc_id: r.component_id for r in rows}
+    return {k: got.get(k, k) for k in texts}
+
+
+def test_copies_of_one_original_are_one_group(make):
+    chance = random.Random(12)
+    words = [f"w{i}" for i in range(200)]
+    texts = {i: " ".join(edited(chance, words, 3)) for i in range(1000)} | {5000: " ".join(words)}
+    expected = brute_near(texts)
+    assert len(set(expected.values())) < 20
+    assert near(make, texts) == expected
+
+
+@pytest.mark.parametrize("dense, members", [(64, 1 << 13), (2, 1 << 13), (2, 40)])
+def test_chains_of_copies_against_brute_force(make, monkeypatch, dense, members):
+    monkeypatch.setattr(simhash, "DENSE", dense)
+    monkeypatch.setattr(simhash, "CHUNK_MEMBERS", members)
+    chance, texts = random.Random(7), {}
+    for group in range(3):
+        chain = [[f"g{group}w{i}" for i in range(120)]]
+        for _ in range(90):
+            chain.append(edited(chance, chance.choice(chain), chance.choice([1, 2, 3])))
+        for words in chain:
+            texts[len(texts)] = " ".join(words)
+    assert near(make, texts) == brute_near(texts)
+
+
 def test_odd_and_empty(odd_docs, no_docs):
     assert len(simhash.linked(odd_docs).collect()) == len(TEXTS)
     assert {r.component_id for r in simhash.near_duplicates(odd_docs).collect()} <= {1, 2, 5}
