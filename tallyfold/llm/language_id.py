@@ -7,9 +7,10 @@ down to equal chances. After training the statistics are frozen, so the code len
 itself and the ``ORDER`` bytes before it, and a text costs the sum over its bytes. The language with the shortest
 code wins; the score is its posterior under equal priors.
 
-Before counting, letters A-Z become lower case, white space one symbol and digits another; the most frequent bytes
-get symbols of their own, all others share one. Their number is set by the memory allowed for the tables and the
-number of languages. Training texts are those whose ``crc32(doc_id)`` is not 0 modulo ``FOLDS``, with a language; of
+Before counting, letters A-Z become lower case, white space one byte and digits another; all other bytes stay as they
+are. Only contexts seen in training are stored, as sorted numbers with a code length per language, so memory grows
+with the distinct grams seen times the number of languages. A byte whose gram no language has seen is charged the
+escapes of its context and looked up under the next shorter one. Training texts are those whose ``crc32(doc_id)`` is not 0 modulo ``FOLDS``, with a language; of
 each language all rows, or about ``PER_LANGUAGE`` of them chosen by hash where there are more.
 
 ``und`` with score 0 is given for null texts, texts without a letter, and when there was nothing to learn from. Ties
@@ -35,10 +36,10 @@ from tallyfold.llm.common import unused
 ORDER = 3
 FOLDS = 5
 PER_LANGUAGE = 2_000
-TABLE_CELLS = 1 << 24
+SYMBOLS = 256
 UNKNOWN = "und"
 PAD = b" " * ORDER
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 
 
 def _fold_table() -> bytes:
@@ -107,30 +108,69 @@ class Statistics:
 
     name: str
     languages: list[str]
-    symbols: bytes  # symbol of each byte
-    size: int
     grams: list[np.ndarray]
     counts: list[np.ndarray]
+    size: int = SYMBOLS
 
-    def code_lengths(self) -> np.ndarray:
-        """Bits of a symbol after a context, indexed by gram and language."""
-        table = np.empty((self.size ** (ORDER + 1), len(self.languages)), np.float32)
-        for at in range(len(self.languages)):
-            seen = np.zeros(self.size ** (ORDER + 1), np.float32)
-            np.add.at(seen, self.grams[at], self.counts[at].astype(np.float32))
-            table[:, at] = -np.log2(self._probabilities(seen))
-        return table
-
-    def _probabilities(self, seen: np.ndarray) -> np.ndarray:
-        shorter = np.full((1, self.size), 1 / self.size, np.float32)
+    def code_lengths(self) -> Tables:
+        """Grams, contexts and their bits from order 0 up; a context ends before the byte its grams end with."""
+        tables: Tables = []
         for order in range(ORDER + 1):
-            counts = seen.reshape(-1, *[self.size] * (order + 1)).sum(axis=0).reshape(-1, self.size)
-            total = counts.sum(axis=1, keepdims=True)
-            kinds = (counts > 0).sum(axis=1, keepdims=True).astype(np.float32)
-            escape = np.where(total > 0, kinds / np.maximum(total + kinds, 1), 1)
-            handed_on = np.tile(shorter, (len(counts) // len(shorter), 1))
-            shorter = np.where(counts > 0, counts / np.maximum(total + kinds, 1), escape * handed_on).astype(np.float32)
-        return shorter.reshape(-1)
+            own = [_summed(grams & ((1 << 8 * (order + 1)) - 1), counts) for grams, counts in zip(self.grams, self.counts, strict=True)]
+            grams = np.unique(np.concatenate([g for g, _ in own])).astype(np.uint32)
+            contexts = np.unique(grams >> 8)
+            place = np.searchsorted(contexts, grams >> 8)
+            escapes = np.zeros((len(contexts), len(own)), np.float32)
+            lengths = np.empty((len(grams), len(own)), np.float32)
+            shorter = _looked_up(tables, grams, order - 1, len(own))
+            for at, (seen, counts) in enumerate(own):
+                n = np.zeros(len(grams))
+                n[np.searchsorted(grams, seen)] = counts
+                total = np.bincount(place, n, len(contexts))
+                kinds = np.bincount(place, n > 0, len(contexts))
+                charged = np.where(total > 0, np.log2(np.maximum(total + kinds, 1) / np.maximum(kinds, 1)), 0)
+                escapes[:, at] = charged
+                lengths[:, at] = np.where(n > 0, np.log2(np.maximum((total + kinds)[place], 1) / np.maximum(n, 1)), charged[place] + shorter[:, at])
+            tables.append((grams, lengths, contexts, escapes))
+        return tables
+
+
+#: By order: grams, their code lengths by language, contexts, and what leaving each costs.
+Tables = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes and the sums of their counts."""
+    distinct, place = np.unique(codes, return_inverse=True)
+    return distinct, np.bincount(place, counts, len(distinct))
+
+
+def _found(wanted: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each number stands among the sorted ones, and whether it is there."""
+    if not len(known):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return at, known[at] == wanted
+
+
+def _looked_up(tables: Tables, codes: np.ndarray, order: int, languages: int) -> np.ndarray:
+    """Bits of the last byte of each code after the ``order`` bytes before it, by language."""
+    if order < 0:
+        return np.full((len(codes), languages), np.log2(SYMBOLS), np.float32)
+    grams, lengths, contexts, escapes = tables[order]
+    if order < 3:
+        codes = codes & np.uint32((1 << 8 * (order + 1)) - 1)
+    at, there = _found(codes, grams)
+    if there.all() and len(there):
+        return lengths[at]
+    out = np.empty((len(codes), languages), np.float32)
+    out[there] = lengths[at[there]]
+    new, place = np.unique(codes[~there], return_inverse=True)
+    context, left = _found(new >> np.uint32(8), contexts)
+    longer = _looked_up(tables, new, order - 1, languages)
+    longer[left] += escapes[context[left]]
+    out[~there] = longer[place]
+    return out
 
 
 def learned(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Statistics:
@@ -138,23 +178,14 @@ def learned(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Statistics:
     table = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).orderBy("lang", "gram").toArrow()
     langs, grams, counts = (table[c].to_numpy(zero_copy_only=False) for c in ("lang", "gram", "n"))
     languages = sorted(set(langs))
-    frequency = np.bincount(grams & 255, counts, 256) if len(grams) else np.zeros(256)
-    size = int(min(256, (TABLE_CELLS / max(1, len(languages))) ** (1 / (ORDER + 1))))
-    kept = [byte for byte in np.argsort(-frequency, kind="stable")[:size - 1] if frequency[byte]]
-    symbols = np.zeros(256, np.uint8)
-    symbols[kept] = np.arange(1, len(kept) + 1)
-    codes = np.zeros(len(grams), np.int64)
-    for shift in range(8 * ORDER, -1, -8):
-        codes = codes * size + symbols[(grams >> shift) & 255]
     return Statistics(
-        uuid4().hex, languages, bytes(symbols[np.frombuffer(FOLD, np.uint8)]), size,
-        [codes[langs == lang] for lang in languages], [counts[langs == lang] for lang in languages])
+        uuid4().hex, languages, [grams[langs == lang] for lang in languages], [counts[langs == lang] for lang in languages])
 
 
-_TABLES: dict[str, np.ndarray] = {}
+_TABLES: dict[str, Tables] = {}
 
 
-def _table(model: Statistics) -> np.ndarray:
+def _table(model: Statistics) -> Tables:
     """The tables of the model last used by this worker."""
     if model.name not in _TABLES:
         _TABLES.clear()
@@ -178,16 +209,16 @@ def bits(model: Statistics, texts: list[bytes]) -> np.ndarray:
 def _bits_of_group(model: Statistics, texts: list[bytes]) -> np.ndarray:
     table, total = _table(model), np.zeros((len(texts), len(model.languages)))
     data, starts = joined(texts)
-    data = np.frombuffer(data.tobytes().translate(model.symbols), np.uint8)
     ends = np.append(starts[1:] - ORDER, len(data))
     for low in range(ORDER, len(data), _BLOCK):
         high = min(low + _BLOCK, len(data))
-        part = data[low - ORDER:high].astype(np.int32)
+        part = data[low - ORDER:high].astype(np.uint32)
         code = part[:high - low].copy()
         for at in range(1, ORDER + 1):
-            code *= model.size
-            code += part[at:at + high - low]
-        sums = np.vstack([np.zeros(len(model.languages)), np.cumsum(table[code], axis=0, dtype=np.float64)])
+            code <<= 8
+            code |= part[at:at + high - low]
+        lengths = _looked_up(table, code, ORDER, len(model.languages))
+        sums = np.vstack([np.zeros(len(model.languages)), np.cumsum(lengths, axis=0, dtype=np.float64)])
         begin, end = np.clip(starts, low, high) - low, np.clip(ends, low, high) - low
         total += sums[np.maximum(begin, end)] - sums[begin]
     return total

@@ -74,6 +74,21 @@ def test_code_lengths_equal_the_context_trees(make):
             assert value == pytest.approx(expected(lang, text, model.size), rel=1e-4, abs=1e-3)
 
 
+def test_every_byte_keeps_its_own_symbol(make):
+    """Many languages that differ only in rare bytes, and a language that comes in changes no code length of another."""
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    docs = [(f"l{n:02}", "ab cd " * 60 + f"{chr(0x430 + n)}{chr(0x4E00 + 97 * n)}") for n in range(40)]
+    frame = make("doc_id long, lang string, text string", [(i, *d) for i, d in zip(ids, docs)])
+    model = language_id.learned(frame)
+    texts = [f"{chr(0x430 + n)}{chr(0x4E00 + 97 * n)}" for n in range(40)]
+    got = language_id.bits(model, [t.encode() for t in texts])
+    assert [model.languages[n] for n in got.argmin(axis=1)] == [lang for lang, _ in docs]
+    cost = brute_bits(docs, texts)
+    assert np.allclose(got, [[cost(lang, t, 256) for lang in model.languages] for t in texts], rtol=1e-4)
+    fewer = language_id.bits(language_id.learned(frame.where("lang < 'l04'")), [t.encode() for t in texts])
+    assert np.allclose(fewer, got[:, :4], rtol=1e-5)
+
+
 def test_long_batches_are_cut_without_effect(model, monkeypatch):
     texts = [r[1].encode() if r[1] else b"" for r in TEXTS]
     whole = language_id.bits(model, texts)
