@@ -33,6 +33,8 @@ TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>"""
     r"""|<(/?)([a-zA-Z][^\s<>/]*+)((?:[^<>"']|"[^"]{0,9999}"|'[^']{0,9999}')*+)>|<(/?)([a-zA-Z][^\s<>/]*+)([^<>]*+)>|[^<]++|<""",
     re.S)
+TAG_START = re.compile(r"<(/?)([a-zA-Z][^\s<>/]*+)")
+TAG_SIGN = re.compile(r"""[<>"']""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
@@ -145,16 +147,40 @@ class Page:
             if name == same or name in until or same == "p" and name in CLOSES_PARAGRAPH:
                 return
 
+    def _tag_end(self, html: str, at: int) -> int:
+        """Where the tag ends whose name ends at a place, quoted values of any length left out; 0 if it doesn't.
+
+        Quotes from which no end was found are remembered, so all searches of a page together are linear.
+        """
+        seen, end = [], 0
+        while sign := TAG_SIGN.search(html, at):
+            at = sign.start()
+            if sign[0] in "<>":
+                end = at + 1 if sign[0] == ">" else 0
+                break
+            if at in self._endless or sign[0] in self._unquoted:
+                break
+            seen.append(at)
+            if (close := html.find(sign[0], at + 1)) < 0:
+                self._unquoted.add(sign[0])
+                break
+            at = close + 1
+        if not end:
+            self._endless.update(seen)
+        return end
+
     def _parse(self, html: str) -> None:
         at, links, unclosed = 0, 0, set()
+        self._endless, self._unquoted = set(), set()
         while m := TOKEN.match(html, at):
-            at = m.end()
-            tag = (m[2] or m[5] or "").lower()
+            start, at = at, m.end()
+            ends, tag, attributes = bool(m[1] or m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
+            if (m[5] or m[0] == "<") and (name := TAG_START.match(html, start)) and (end := self._tag_end(html, name.end())):
+                at, ends, tag, attributes = end, bool(name[1]), name[2].lower(), html[name.end():end - 1]
             if not tag:
                 if m[0][0] != "<" or len(m[0]) == 1:
                     self._pieces.append((unescape(m[0]), links > 0))
                 continue
-            ends = bool(m[1] or m[4])
             if tag in RAW:
                 if ends or tag in unclosed:
                     continue
@@ -176,7 +202,7 @@ class Page:
                 self._close(tag)
             elif tag not in VOID:
                 self._imply(tag)
-                self._open(tag, m[3] or m[6] or "")
+                self._open(tag, attributes)
         self._flush()
 
     def labels(self) -> list[int] | None:

@@ -55,6 +55,13 @@ def test_broken_pages_take_linear_time(model, html):
     assert perf_counter() - start < 10
 
 
+@pytest.mark.parametrize("quote, value", [('"', "a > b <p>not text</p> "), ("'", '{"html": "<b>x</b>"} '), ('"', "<i>x ")])
+def test_quoted_values_of_any_length(model, quote, value):
+    page = html_text.Page(f"<div class=post data-props={quote}{value * 3_000}{quote} id=story>One.</div>")
+    assert page.tags == ["#", "div", "text"] and page.texts[2] == "One."
+    assert ".post" in page.features[1] and ".story" in page.features[1]
+
+
 def brute_marginals(model, page):
     """All labellings of a small page."""
     from itertools import product
