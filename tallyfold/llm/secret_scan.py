@@ -4,8 +4,9 @@ Three base patterns find assignments, access keys and hexadecimal keys; wider pa
 (other prefixes, upper case, assignments with noise between name and value). Positions come from the pieces between
 matches: the running sum of their lengths and of the matches' lengths. The hash of each candidate value is aggregated
 over the corpus to the number of distinct repositories and owners that carry it, repository by repository first, so a
-value that a third of all rows share is summed map-side. A value of many owners is a copied example; a wider candidate
-counts as a secret when it belongs to one owner, looks live (letters and digits, enough distinct characters) and does
+value that a third of all rows share is summed map-side. A value of ``MANY_OWNERS`` owners or
+``MANY_REPOSITORIES`` repositories is a copied example; a wider candidate counts as a secret when it is none and belongs
+to one owner, looks live (letters and digits, enough distinct characters) and does
 not overlap a base span. Base spans always stay.
 
 Kinds are ``assign``, ``access`` and ``hex``. Spans are code points of the whole match, end exclusive. Null text is
@@ -36,6 +37,7 @@ WIDER = [
     ("hex", r"\b[0-9A-F]{32,}\b", 0, 32),
 ]
 MANY_OWNERS = 3
+MANY_REPOSITORIES = 20
 DISTINCT_CHARACTERS = 8
 
 
@@ -85,7 +87,8 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id") -> DataFrame:
-    """Per row: base counts, base spans and all spans, and how many base or added values are examples or live."""
+    """Per row: base counts, base spans and all spans, how many base or added values are examples or
+    live, and the most owners and repositories of one of them (0 without any)."""
     found = checkpointed(candidates(docs, owner, repository))
     known = found.join(ownership(found), "hash", "left")
     key = ["doc_id", "content", "owner", "repository"]
@@ -95,7 +98,8 @@ def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id")
     next_base = F.min(F.when(F.col("base"), F.col("start"))).over(
         by_start.rowsBetween(0, Window.unboundedFollowing))
     covered = (F.coalesce(base_end, F.lit(0)) > F.col("start")) | (F.coalesce(next_base, F.col("end")) < F.col("end"))
-    alone = F.col("live") & (F.col("owners") == 1)
+    copied = (F.col("owners") >= MANY_OWNERS) | (F.col("repositories") >= MANY_REPOSITORIES)
+    alone = F.col("live") & (F.col("owners") == 1) & ~copied
     judged = known.withColumn("covered", covered).withColumn("added", ~F.col("base") & alone & ~F.col("covered"))
     span = F.struct("start", "kind", "end")
     text_of = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(
@@ -106,9 +110,10 @@ def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id")
         *counts,
         F.array_sort(F.collect_list(F.when(F.col("base"), span))).alias("of_base"),
         F.array_sort(F.collect_set(F.when(taken, span))).alias("of_all"),
-        F.count_if(taken & (F.col("owners") >= MANY_OWNERS)).alias("n_example"),
+        F.count_if(taken & copied).alias("n_example"),
+        *(F.coalesce(F.max(F.when(taken, F.col(c))), F.lit(0)).alias(c) for c in ("owners", "repositories")),
         F.count_if(taken & alone).alias("n_live"))
     return grouped.select(
         "doc_id", *(f"n_{kind}" for kind in KINDS), F.sha2(text_of(F.col("of_base")), 256).alias("base_sha256"),
-        text_of(F.col("of_all")).alias("spans"), "n_example", "n_live",
+        text_of(F.col("of_all")).alias("spans"), "n_example", "n_live", "owners", "repositories",
         F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")

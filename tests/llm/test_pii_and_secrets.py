@@ -119,6 +119,16 @@ def test_owners_tell_examples_from_secrets(make):
     assert got[12].spans == "assign:0:16" and got[12].n_live == 0
 
 
+def test_one_owner_with_many_repositories_copies_an_example(make):
+    added, base = "TOKEN!! =!! \"a1b2c3d4e5f6a7b8c9d0\"!!", "token = q1w2e3r4t5y6"
+    rows = [(i, f"{added}\n{base}", "hot") for i in range(40)] + [(50, "token = z9y8x7w6v5u4", "hot"), (51, "none", "hot")]
+    got = {r.doc_id: r for r in secret_scan.secrets(make("doc_id long, text string, source string", rows)).collect()}
+    assert all(got[i].n_assign == 1 and got[i].spans.count("assign") == 1 for i in range(40)), "the copied wider one is not added"
+    assert all((got[i].n_example, got[i].n_live, got[i].owners, got[i].repositories) == (1, 0, 1, 40) for i in range(40))
+    assert (got[50].n_example, got[50].n_live, got[50].owners, got[50].repositories) == (0, 1, 1, 1)
+    assert (got[51].owners, got[51].repositories) == (0, 0)
+
+
 def test_secret_scan_runs_no_python(small):
     plan = secret_scan.secrets(small["documents"])._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
