@@ -12,11 +12,14 @@ from tallyfold.llm import (
     decontamination,
     exact_dedup,
     html_text,
+    importance,
     language_id,
     packing,
     pii,
+    prefix_trie,
     secret_scan,
     simhash,
+    suffix_dedup,
     token_counts,
     url_filter,
 )
@@ -109,3 +112,110 @@ def op10_simhash_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = simhash.linked(read(spark, sf_dir, "documents"))
     return linked.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: CRC-32 in SQL: the table of steps made from the polynomial (a relation to join), then one step per byte.
+_CRC_SQL = """
+    steps AS (
+        SELECT list(c ORDER BY i) AS crc_steps FROM (
+            SELECT i, list_reduce(list_prepend(i, range(8)),
+                lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c
+            FROM (SELECT unnest(range(256)) AS i)))"""
+
+
+def _crc_sql(text: str) -> str:
+    hexed = f"hex(encode({text}))"
+    byte = f"list_transform(range(1, length({hexed}), 2), lambda i: CAST('0x' || substr({hexed}, i, 2) AS BIGINT))"
+    step = "lambda a, b: xor(crc_steps[xor(a & 255, b) + 1], a >> 8)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {byte}), {step}), 4294967295)"
+
+
+@query("op11_prefix_trie", f"""
+    WITH {_CRC_SQL},
+    turns AS (
+        SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+            row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+        FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (
+        SELECT conv_id, conv_id - conv_id % 5 AS base_id, {_crc_sql("conv_id::VARCHAR")} % 9 AS head
+        FROM (SELECT DISTINCT conv_id FROM turns), steps),
+    kept AS (
+        SELECT conv_id, base_id, head, least(head, (SELECT count(*) FROM turns WHERE turns.conv_id = base_id)) AS kept FROM convs),
+    rebuilt AS (
+        SELECT kept.conv_id, place AS depth, role, text FROM kept JOIN turns ON turns.conv_id = base_id WHERE place <= kept
+        UNION ALL SELECT conv_id, kept + place - head, role, text FROM kept JOIN turns USING (conv_id) WHERE place > head),
+    prefixes AS (
+        SELECT conv_id, 0 AS depth, [] AS path, 0 AS bytes FROM convs
+        UNION ALL SELECT conv_id, depth, list({{'role': role, 'text': text}}) OVER (PARTITION BY conv_id ORDER BY depth),
+            strlen(text) FROM rebuilt),
+    ends AS (SELECT conv_id, max(depth) AS total FROM prefixes GROUP BY conv_id),
+    nodes AS (
+        SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(bytes) AS saved,
+            string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE depth = total) AS ids
+        FROM prefixes JOIN ends USING (conv_id) GROUP BY depth, path),
+    sized AS (
+        SELECT a.*, (SELECT count(*) FROM nodes b WHERE b.depth = a.depth + 1 AND b.path[1:a.depth] = a.path) AS n_children,
+            (SELECT c.conv_id FROM nodes c WHERE c.depth = a.depth - 1 AND c.path = a.path[1:a.depth - 1]) AS parent_conv_id
+        FROM nodes a)
+    SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, any_value(a.parent_conv_id) AS parent_conv_id,
+        any_value(a.n_convs) AS n_convs, any_value(a.n_children) AS n_children,
+        count(CASE WHEN b.n_children = 0 THEN 1 END) AS n_leaves, CAST(sum(b.saved) AS BIGINT) AS saved_tokens,
+        sha256(coalesce(any_value(a.ids), '')) AS ends_sha256
+    FROM sized a JOIN sized b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path
+    GROUP BY a.conv_id, a.depth
+""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.prefix_trie(
+        read(spark, sf_dir, "conversations"), lambda conv: conv - conv % 5,
+        lambda conv: F.crc32(conv.cast("string")) % 9)
+    return nodes.drop("from_conv", "from_at")
+
+
+@query("op12_suffix_dedup")
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.without_repeats(read(spark, sf_dir, "documents"), 50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span.high - span.low)
+    return kept.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_importance", f"""
+    WITH {_CRC_SQL},
+    source AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM documents),
+    target AS (
+        SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM benchmark),
+    counted AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(words) AS word FROM source) GROUP BY ALL),
+    aimed AS (SELECT word, count(*) AS n FROM (SELECT unnest(words) AS word FROM target) GROUP BY ALL),
+    hashed AS (
+        SELECT word, {_crc_sql("word")} % 10000 AS bucket
+        FROM (SELECT word FROM counted UNION SELECT word FROM aimed), steps),
+    sums AS (
+        SELECT bucket, sum(s) AS s, sum(t) AS t FROM (
+            SELECT bucket, n AS s, 0 AS t FROM counted JOIN hashed USING (word)
+            UNION ALL SELECT bucket, 0, n FROM aimed JOIN hashed USING (word)) GROUP BY bucket),
+    gains AS (
+        SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM sums) + 10000)::DOUBLE
+            / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM sums) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM sums),
+    weighed AS (
+        SELECT doc_id, CAST(sum(n * gain) AS BIGINT) AS total, CAST(sum(n) AS BIGINT) AS n
+        FROM counted JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+    scored AS (
+        SELECT doc_id, len(words) AS n_features,
+            CASE WHEN n IS NULL THEN 0 ELSE (total - ((total % n) + n) % n) // n END AS weight,
+            CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) AS h
+        FROM source LEFT JOIN weighed USING (doc_id)),
+    noisy AS (
+        SELECT doc_id, n_features, weight,
+            weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM scored),
+    ranked AS (
+        SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n
+        FROM noisy WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank
+    FROM noisy LEFT JOIN ranked USING (doc_id)
+""")
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
