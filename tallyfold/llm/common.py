@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ def checkpointed(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver forget the plans of finished steps now, so that their shuffle files are deleted and not kept until
+    the driver's memory happens to be collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Fewer rows per Arrow batch than the default: rows here are whole texts, and every copy of a batch counts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

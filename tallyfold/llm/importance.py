@@ -53,6 +53,8 @@ def crc32s(keys: list[bytes]) -> np.ndarray:
     lengths = np.fromiter(map(len, keys), np.int64, len(keys))
     order = np.argsort(lengths, kind="stable")
     out = np.empty(len(keys), np.uint32)
+    if not keys:
+        return out
     sizes, firsts = np.unique(lengths[order], return_index=True)
     for size, rows in zip(sizes.tolist(), np.split(order, firsts[1:]), strict=True):
         matrix = np.frombuffer(b"".join([keys[at] for at in rows]), np.uint8).reshape(len(rows), size)
@@ -69,7 +71,7 @@ def _blocks(texts: Iterator[bytes | None], runs: int, buckets: int) -> Iterator[
     n_words, n_features, at, size = [], [], [], 0
 
     def made():
-        hashed = (crc32s(list(places)) % np.uint32(buckets)).astype(np.int64) if places else np.empty(0, np.int64)
+        hashed = (crc32s(list(places)) % np.uint32(buckets)).astype(np.int64)
         return n_words, n_features, hashed[np.array(at, np.int64)]
 
     for text in texts:
