@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +18,14 @@ def checkpointed(frame: DataFrame) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the driver forget the plans of finished steps now, so that their shuffle files are deleted and not kept until
-    the driver's memory happens to be collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Deletes the shuffle files of finished steps now, instead of whenever the driver's memory happens to be collected.
+
+    Spark deletes them once nothing refers to the plan: first Python's frames go, then the plans that they held.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def short_batches(spark: SparkSession, rows: int = 2_000) -> None:
