@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import time
+from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,24 @@ def release(spark: SparkSession) -> None:
     for _ in range(2):
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+        time.sleep(0.1)
+
+
+_HELD: dict[Hashable, object] = {}
+
+
+def held(key: Hashable, make: Callable[[], object]):
+    """What a worker keeps from task to task under a key; one thing at a time, so operators that run one after another
+    in the same workers do not add up."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def forget() -> None:
+    """For tasks that hold much themselves: nothing of an earlier operator stays."""
+    _HELD.clear()
 
 
 def short_batches(spark: SparkSession, rows: int = 2_000) -> None:

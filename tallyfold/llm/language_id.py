@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.llm.common import unused
+from tallyfold.llm.common import held, unused
 
 
 ORDER = 3
@@ -182,15 +182,9 @@ def learned(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Statistics:
         uuid4().hex, languages, [grams[langs == lang] for lang in languages], [counts[langs == lang] for lang in languages])
 
 
-_TABLES: dict[str, Tables] = {}
-
-
 def _table(model: Statistics) -> Tables:
     """The tables of the model last used by this worker."""
-    if model.name not in _TABLES:
-        _TABLES.clear()
-        _TABLES[model.name] = model.code_lengths()
-    return _TABLES[model.name]
+    return held(model.name, model.code_lengths)
 
 
 def bits(model: Statistics, texts: list[bytes]) -> np.ndarray:

@@ -23,14 +23,13 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import checkpointed, whole_text
+from tallyfold.llm.common import checkpointed, held, whole_text
 
 LENGTH = 2048
 QUANTUM = 256
@@ -85,9 +84,9 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) + end
 
 
-@cache
 def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+    """The ids of words that this worker has met."""
+    return held(("word ids", path), lambda: WordIds(path))
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import checkpointed, components
+from tallyfold.llm.common import checkpointed, components, forget, release
 
 RADIUS = 2
 DENSE = 64
@@ -132,8 +132,10 @@ def linked(docs: DataFrame, words: int = 3) -> DataFrame:
 #: Near duplicates: hashes per band, chance that no band finds a pair at the threshold, and bounds of a chunk.
 ROWS = 3
 MISSED = 1e-11
-CHUNK_SHINGLES = 1 << 20
+CHUNK_SHINGLES = 1 << 18
 CHUNK_MEMBERS = 1 << 13
+#: Last bands of the rounds in which mixed bands are compared; the last round takes all that are left.
+ROUNDS = (1, 3, 9)
 
 
 def bands_for(similarity: float) -> int:
@@ -155,6 +157,7 @@ def _sketches(words: int, bands: int):
         return (least.reshape(ROWS, bands) * mixers).sum(axis=0, dtype=np.uint64).view("i8")
 
     def batchwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             keys, prints, sizes, found = [], [], [], []
             for text in batch.column(1).cast(pa.binary()).to_pylist():
@@ -172,6 +175,7 @@ def _sketches(words: int, bands: int):
 
 def _shingle_sets(words: int):
     def batchwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             sets = [
                 np.unique(shingle_hashes(text or b"", words))
@@ -214,6 +218,7 @@ def joins(sets: list[np.ndarray], labels: np.ndarray, sides: np.ndarray | None,
 
 def _joined_chunks(similarity: float):
     def groupwise(table: pa.Table) -> pa.Table:
+        forget()
         ids = table["cid"].to_numpy()
         sets = [np.asarray(own, "i8") for own in table["shingles"].to_numpy(zero_copy_only=False)]
         _, labels = np.unique(table["component"].to_numpy(), return_inverse=True)
@@ -234,9 +239,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     a pair at the threshold has none in common with a chance of ``MISSED``. Equal sets are one class.
 
     First each class meets two others under a band: the one whose bands are the most common, and the one a hash puts
-    first. What that connects needs no further comparison. Of bands that still hold more than one component all pairs
-    across components are compared: as pairs where there are at most ``DENSE`` classes, else chunk by chunk in
-    Arrow groups, which give a spanning forest and no row per pair. The similarity is always computed exactly.
+    first. What that connects needs no further comparison. Then the bands are gone through in ``ROUNDS``: of those that
+    still hold more than one component all pairs across components are compared, as pairs where there are at most
+    ``DENSE`` classes, else chunk by chunk in Arrow groups, which give a spanning forest and no row per pair. The
+    components are joined before the next round, so a group is taken apart once and not once a band. The similarity is
+    always computed exactly.
+
+    Rows without doc_id take no part. Texts under one doc_id are one document.
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = checkpointed(rows.mapInArrow(
@@ -276,31 +285,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     several = sketches.select("doc_id", "key").distinct().join(classes.select("key", "cid"), "key").groupBy("doc_id").agg(
         F.min("cid").alias("a"), F.max("cid").alias("b"), F.collect_set("cid").alias("all")).where("a <> b")
     edges = checkpointed(alike(pairs).union(several.select("a", F.explode("all").alias("b")).where("a <> b")))
-    known = checkpointed(components(edges).toDF("cid", "component"))
-
-    labelled = shared.join(known, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    labelled = checkpointed(labelled)
-    mixed = labelled.groupBy("i", "band").agg(
-        F.sum("n").alias("total"), F.min("component").alias("lowest"), F.max("component").alias("highest")).where(
-        "lowest <> highest").drop("lowest", "highest")
-    rest = checkpointed(labelled.join(mixed, ["i", "band"]))
-    sparse = rest.where(F.col("members") <= DENSE).select("i", "band", "cid", "n", "component")
-    other = sparse.select("i", "band", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "component")))
-    few = sparse.join(other, ["i", "band"]).where("cid < cid_b AND component <> component_b").where(
-        close(F.col("n"), F.col("n_b"))).select(F.col("cid").alias("a"), F.col("cid_b").alias("b")).distinct()
-    few = few.join(pairs, ["a", "b"], "left_anti")
-    parts = F.ceil(F.greatest(F.col("total") / CHUNK_SHINGLES, F.col("members") / CHUNK_MEMBERS))
-    dense = rest.where(F.col("members") > DENSE).withColumn("parts", parts).withColumn(
-        "part", F.pmod(F.xxhash64("cid", "band"), F.col("parts")))
-    dense = dense.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    dense = dense.select(
-        "i", "band", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "cid", "component")
-    many = dense.join(sets, "cid").groupBy("i", "band", "low", "high").applyInArrow(
-        _joined_chunks(similarity), "a long, b long")
-    found = components(edges.union(alike(few)).union(many)).toDF("cid", "component")
-
-    every = classes.select("cid", "key", "least", "most").join(found, "cid", "left").withColumn(
-        "component", F.coalesce("component", "cid"))
+    known = components(edges).toDF("cid", "component")
+    known = checkpointed(classes.select("cid").join(known, "cid", "left").select("cid", F.coalesce("component", "cid").alias("component")))
+    release(docs.sparkSession)
+
+    first = 0
+    for last in (*ROUNDS, bands_for(similarity)):
+        labelled = shared.where((F.col("i") >= first) & (F.col("i") < last)).join(known, "cid")
+        first = last
+        mixed = labelled.groupBy("i", "band").agg(
+            F.sum("n").alias("total"), F.min("component").alias("lowest"), F.max("component").alias("highest")).where(
+            "lowest <> highest").drop("lowest", "highest")
+        rest = checkpointed(labelled.join(mixed, ["i", "band"]))
+        if rest.isEmpty():
+            continue
+        sparse = rest.where(F.col("members") <= DENSE).select("i", "band", "cid", "n", "component")
+        other = sparse.select("i", "band", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "component")))
+        few = sparse.join(other, ["i", "band"]).where("cid < cid_b AND component <> component_b").where(
+            close(F.col("n"), F.col("n_b"))).select(F.col("cid").alias("a"), F.col("cid_b").alias("b")).distinct()
+        few = few.join(pairs, ["a", "b"], "left_anti")
+        parts = F.ceil(F.greatest(F.col("total") / CHUNK_SHINGLES, F.col("members") / CHUNK_MEMBERS))
+        dense = rest.where(F.col("members") > DENSE).withColumn("parts", parts).withColumn(
+            "part", F.pmod(F.xxhash64("cid", "band"), F.col("parts")))
+        dense = dense.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+        dense = dense.select(
+            "i", "band", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high"), "part", "cid", "component")
+        many = dense.join(sets, "cid").groupBy("i", "band", "low", "high").applyInArrow(
+            _joined_chunks(similarity), "a long, b long")
+        side = lambda name: known.select(F.col("cid").alias(name), F.col("component").alias(f"of_{name}"))
+        joined = alike(few).union(many).join(side("a"), "a").join(side("b"), "b").select("of_a", "of_b")
+        merged = components(joined).toDF("component", "merged")
+        known = checkpointed(known.join(merged, "component", "left").select(
+            "cid", F.coalesce("merged", "component").alias("component")))
+        release(docs.sparkSession)
+
+    every = classes.select("cid", "key", "least", "most").join(known, "cid")
     every = checkpointed(every.select("key", "least", "most", "component"))
     groups = every.groupBy("component").agg(
         F.min("least").alias("component_id"), F.max("most").alias("most")).where("component_id < most").drop("most")

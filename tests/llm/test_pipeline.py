@@ -12,7 +12,7 @@ from tests.llm.conftest import SMALL
 
 def test_every_operator_is_registered():
     names = contract.queries()
-    for number in range(1, 11):
+    for number in range(1, 14):
         assert sum(name.startswith(f"op{number}_") for name in names) == 1
     assert "pipeline" in names and len(corpus_pipeline.STAGES) == 5
 
@@ -20,7 +20,7 @@ def test_every_operator_is_registered():
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query_agrees_with_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     expected = connection.execute(SQL[name])
     columns = [c[0] for c in expected.description]
