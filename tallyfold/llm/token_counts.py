@@ -7,7 +7,8 @@ frequencies per document. Pre-tokens frequent enough to be among the first ``HEA
 found from the histogram of counts) travel to the tasks and are summed where the document is read; all others are
 joined to the counted table. No pre-token is left out, and the split moves no count.
 
-Null text counts as empty: 0 bytes, 0 tokens. Rows repeated with one ``doc_id`` each come back. Texts of any length are
+Rows are told apart by doc_id, length and a 64-bit hash of the text; rows equal in all of them are copies of one text, have
+equal counts and each come back. Null text counts as empty: 0 bytes, 0 tokens. Texts of any length are
 cut into pre-tokens as a whole; one without spaces is a single pre-token. An empty table gives an empty result.
 """
 
@@ -133,20 +134,18 @@ def token_counts(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     words = checkpointed(vocabulary(docs, path))
     sent = docs.sparkSession.sparkContext.broadcast(head_of(words, head))
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.hash(whole_text()).alias("content"),
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("content"),
         F.octet_length(whole_text()).cast("long").alias("n_bytes"), whole_text().alias("text"))
     per_row = rows.mapInArrow(
         _frequencies(lambda: sent.value),
-        "doc_id long, content int, n_bytes long, known long, tail array<struct<token string, n long>>")
+        "doc_id long, content long, n_bytes long, known long, tail array<struct<token string, n long>>")
     parts = per_row.select("doc_id", "content", "n_bytes", "known", F.posexplode_outer("tail").alias("at", "entry"))
     first = (F.coalesce("at", F.lit(0)) == 0).cast("long")
     parts = parts.select(
-        "doc_id", "content", (first * F.col("n_bytes")).alias("n_bytes"), (first * F.col("known")).alias("known"), first.alias("first"),
+        "doc_id", "content", "n_bytes", (first * F.col("known")).alias("known"), first.alias("first"),
         F.col("entry.token").alias("token"), F.col("entry.n").alias("n"))
-    joined = parts.join(words.select("token", "pieces").hint("shuffle_hash"), "token", "left")
-    summed = joined.groupBy("doc_id", "content").agg(
-        F.max("n_bytes").alias("n_bytes"),
+    summed = parts.join(words.select("token", "pieces"), "token", "left").groupBy("doc_id", "content", "n_bytes").agg(
         F.sum(F.col("known") + F.coalesce(F.col("n") * F.col("pieces"), F.lit(0))).alias("tokens"),
         F.sum("first").cast("int").alias("copies"))
     copy = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
-    return summed.select("doc_id", "n_bytes", (F.col("tokens") / F.col("copies")).cast("long").alias("n_tokens"), copy).drop("copy")
+    return summed.select("doc_id", "n_bytes", F.expr("tokens div copies").alias("n_tokens"), copy).drop("copy")

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
@@ -31,6 +32,18 @@ def test_token_counts_equal_the_librarys(odd_docs, small, make, head):
         assert got == sorted((d, len(t.encode()), len(model.encode(t))) for d, t in texts)
 
 
+def test_rows_without_id_whose_short_hashes_collide(spark, make):
+    """Texts that one 32-bit hash takes for equal keep their own counts."""
+    words = spark.range(500_000).select(F.concat(F.lit("w"), F.repeat(F.lit(" x"), (F.col("id") % 4).cast("int")), F.col("id").cast("string")).alias("text"))
+    pairs = words.groupBy(F.hash("text")).agg(F.collect_list("text").alias("texts")).where("size(texts) > 1").limit(5).collect()
+    texts = [text for row in pairs for text in row.texts] * 2
+    assert len(texts) >= 20
+    model = SentencePieceProcessor(model_file=PIECES)
+    for head in (0, 1_000):
+        got = token_counts.token_counts(make("doc_id long, text string", [(None, text) for text in texts]), PIECES, head).collect()
+        assert sorted((r.n_bytes, r.n_tokens) for r in got) == sorted((len(t), len(model.encode(t))) for t in texts)
+
+
 def test_empty_tables(no_docs):
     assert token_counts.token_counts(no_docs, PIECES).collect() == []
     assert packing.packed(no_docs, WORDS).collect() == []
