@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators.compare import (
     aligned_columns,
-    candidate_projections,
     compare_rows,
     compare_tables,
+    first_mismatch,
     mismatches,
     normalized,
 )
@@ -35,27 +35,30 @@ def test_two_empty_tables_agree_whatever_their_columns(verdict):
 
 
 def test_columns_align_by_name_else_by_place(verdict):
-    gold = ("status string, cnt int", [("paid", 3), ("pending", 1)])
-    assert verdict(*gold, "CNT int, Status string", [(1, "pending"), (3, "paid")])[0]
-    assert verdict("a int", [(1,), (2,)], "x int", [(2,), (1,)])[0]
-    assert verdict("a int", [(1,), (2,)], "x int", [(3,), (1,)]) == (False, "multiset", 1)
+    gold = ("city string, orders int, share double", [("Lyon", 41, 0.25), ("Nice", 7, 0.5), ("Metz", 7, 0.125)])
+    pred = [(0.125, "Metz", 7), (0.25, "Lyon", 41), (0.5, "Nice", 7)]
+    assert verdict(*gold, " Share  double, CITY string, Orders int".strip(), pred)[0]
+    assert not verdict(*gold, "share double, city string, n int", pred)[0]
+    assert verdict("depth int", [(8,), (3,), (5,)], "level int", [(5,), (8,), (3,)])[0]
+    assert verdict("depth int", [(8,), (3,), (5,)], "level int", [(5,), (9,), (3,)]) == (False, "multiset", 2)
     assert aligned_columns(["a", "A"], ["b", "a"]) == ["b", "a"]
     assert aligned_columns(["a", "b"], ["b", "c"]) == ["b", "c"]
 
 
-def test_tolerance(verdict):
-    one = "amt double"
-    assert verdict(one, [(26940460.33,)], one, [(26940460.325,)])[0]
-    assert verdict(one, [(1e9,)], one, [(1e9 + 900,)])[0]
-    assert not verdict(one, [(100.0,)], one, [(105.0,)])[0]
-    assert verdict(one, [(1.0,)], one, [(1.0109,)])[0] and not verdict(one, [(1.0,)], one, [(1.0112,)])[0]
+@pytest.mark.parametrize("number", [0.0, -3.25, 812.5, 7_300_000.0, -2.5e12])
+def test_tolerance_on_both_sides_of_its_edge(verdict, number):
+    allowed = max(0.011, abs(number) * 1e-6)
+    for sign in (-1, 1):
+        assert verdict("v double", [(number,)], "v double", [(number + sign * allowed * 0.99,)])[0]
+        assert not verdict("v double", [(number,)], "v double", [(number + sign * allowed * 1.02,)])[0]
 
 
-def test_missing_values(verdict):
-    assert verdict("a int", [(None,)], "x int", [(None,)])[0]
-    assert not verdict("a int", [(None,)], "x int", [(0,)])[0]
-    assert not verdict("a string", [(None,)], "x string", [("",)])[0]
-    assert verdict("a int", [(None,), (5,), (1,)], "x int", [(1,), (None,), (5,)])[0]
+@pytest.mark.parametrize("kind, values", [("int", [4, -2, 0]), ("double", [0.5, 0.0, -1.5]), ("string", ["b", "", "a"])])
+def test_missing_values_agree_with_each_other_only(verdict, kind, values):
+    gold = [(value,) for value in values] + [(None,), (None,)]
+    assert verdict(f"v {kind}", gold, f"w {kind}", gold[::-1])[0]
+    for value in values:
+        assert not verdict(f"v {kind}", gold, f"w {kind}", [(None,), *gold[:-2], (value,)])[0]
 
 
 def test_text_is_trimmed_and_never_equals_a_number(verdict):
@@ -87,8 +90,6 @@ def test_extra_columns_are_forgiven_when_a_choice_matches(make, verdict):
     assert verdict("k int, s string", gold, "id int, t string, v double, u string", pred) == (True, "projection", None)
     pred[0] = (7, "b", 3.001, "z")
     assert verdict("k int, s string", gold, "id int, t string, v double, u string", pred) == (False, "column_count", None)
-    frames = make("k int, s string", gold), make("id int, t string, v double, u string", pred)
-    assert list(candidate_projections(*frames)) == []
 
 
 def naive(gold, pred):
@@ -135,3 +136,15 @@ def test_projection_among_nine_columns(make):
         (7, i * i, "x", 0.5, i * 1.5 + 0.001, None, -i, 2.5, i) for i in range(6)])
     row = compare_tables(gold, pred).first()
     assert (row["equal"], row["rule"]) == (True, "projection")
+
+
+def test_first_mismatch_names_both_rows(make):
+    gold = make("s string, v double", [("a", 1.0), ("b", None), ("c", 3.0), ("d", 4.0)])
+    pred = make("V double, S string", [(4.0, "d"), (1.001, "a"), (2.0, "b"), (9.0, "c")])
+    row = first_mismatch(gold, pred).first()
+    assert (row["equal"], row["gold_rows"], row["pred_rows"], row["first_mismatch"]) == (False, 4, 4, 1)
+    assert (row["gold_row"], row["pred_row"]) == ('{"s":"b","v":null}', '{"s":"b","v":2.0}')
+    same = first_mismatch(gold, gold).first()
+    assert tuple(same) == (True, 4, 4, None, None, None)
+    assert tuple(first_mismatch(gold, gold.limit(3)).first()) == (False, 4, 3, None, None, None)
+    assert tuple(first_mismatch(gold.limit(0), gold.limit(0)).first())[:3] == (True, 0, 0)

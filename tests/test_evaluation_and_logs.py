@@ -13,22 +13,35 @@ LOG = ("run string, qid int, difficulty string, correct boolean, attribution str
        "total_tokens int, llm_calls int")
 
 
-@pytest.fixture
-def four(make):
-    return make(LOG, [
-        ("r", 1, "easy", True, "correct", 1, 1.0, 100, 2), ("r", 2, "easy", True, "correct", 2, 2.0, 101, 2),
-        ("r", 3, "easy", False, "exec_error", 3, 3.0, 102, 3), ("r", 4, "hard", True, "correct", 1, 4.0, 103, 2),
-    ])
-
-
-def test_summary_of_four_questions(four):
-    row = ev.summaries(four).first()
-    assert (row["total"], row["correct"], row["exec_accuracy"]) == (4, 3, 75.0)
-    assert (row["first_round_pass"], row["saved_by_correction"], row["saved_count"], row["first_round_fail_count"]) == (50.0, 50.0, 1, 2)
-    assert row["attribution"] == {"exec_error": 1}
-    levels = {name: (part["total"], part["accuracy"]) for name, part in row["by_difficulty"].items()}
-    assert levels == {"easy": (3, 66.7), "medium": (0, 0.0), "hard": (1, 100.0)}
-    assert (row["avg_latency_s"], row["avg_total_tokens"], row["avg_llm_calls"]) == (2.5, 102, 2.25)
+def counted(rows):
+    """The metrics of one run, counted in Python."""
+    total, right = len(rows), [r for r in rows if r[3]]
+    first = [r for r in right if r[5] <= 1]
+    share = lambda part, whole: round(len(part) / whole * 100, 1) if whole else 0.0
+    levels = {level: [r for r in rows if r[2] == level] for level in ("easy", "medium", "hard")}
+    causes = [r[4] for r in rows if not r[3]]
+    return {
+        "total": total, "correct": len(right), "exec_accuracy": share(right, total), "first_round_pass": share(first, total),
+        "saved_count": len(right) - len(first), "first_round_fail_count": total - len(first),
+        "saved_by_correction": share(right[len(first):], total - len(first)),
+        "avg_latency_s": round(sum(r[6] for r in rows) / total, 1), "avg_total_tokens": round(sum(r[7] for r in rows) / total),
+        "avg_llm_calls": round(sum(r[8] for r in rows) / total, 2),
+        "by_difficulty": {k: (len(v), share([r for r in v if r[3]], len(v))) for k, v in levels.items()},
+        "attribution": {cause: causes.count(cause) for cause in set(causes)},
+    }
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_summary_equals_a_count(make, seed):
+    rng = random.Random(seed)
+    rows = []
+    for qid in range(rng.randrange(20, 60)):
+        cause = rng.choice(["correct", "correct", "wrong_result", "exec_error"])
+        rows.append(("r", qid, rng.choice(["easy", "hard", "hard"]), cause == "correct", cause, rng.randrange(1, 4),
+                     rng.randrange(1, 400) / 8, rng.randrange(500, 3000), rng.randrange(1, 6)))
+    found, wanted = ev.summaries(make(LOG, rows)).first(), counted(rows)
+    assert {name: (part["total"], part["accuracy"]) for name, part in found["by_difficulty"].items()} == wanted.pop("by_difficulty")
+    assert {name: found[name] for name in wanted} == wanted
 
 
 def test_all_right_has_no_causes_and_saves_nothing(make):
@@ -44,9 +57,12 @@ def log_of(latencies):
     return [(run, i, "easy", True, "correct", 1, value, 1, 1) for run, values in latencies.items() for i, value in enumerate(values)]
 
 
-def test_percentile_index(make):
-    row = ev.latency_percentiles(make(LOG, log_of({"r": [float(i) for i in range(1, 11)]}))).first()
-    assert (row["p50_latency_s"], row["p95_latency_s"]) == (6.0, 10.0)
+@pytest.mark.parametrize("n", [1, 2, 3, 19, 20, 21, 40])
+def test_percentile_index(make, n):
+    values = [round(7.5 * (at * 13 % n) + 0.25, 2) for at in range(n)]
+    row = ev.latency_percentiles(make(LOG, log_of({"r": values}))).first()
+    wanted = [sorted(values)[min(int(n * share), n - 1)] for share in (0.5, 0.95)]
+    assert [row["p50_latency_s"], row["p95_latency_s"]] == wanted
 
 
 def test_percentiles_of_skewed_runs(make):
