@@ -1,9 +1,10 @@
 """Exact n-gram Jaccard similarity: retrieval of examples, and leakage of examples into a text set.
 
-Examples are a stated set that every text is compared with, block by block: a block of bounded size travels to
-the texts, where an Arrow-batched function looks up the examples of each gram, which no built-in expression can do by
-hash. The best of all blocks is taken in the row, so no row per pair exists and nothing is shuffled. A small set is one
-block; there is no other way for larger ones.
+Examples are a stated set that every text is scored against; nearly every pair of texts shares some bigram, so no index
+on grams would save comparisons. Both sides stay in Spark: the examples are cut into blocks and the texts into chunks of
+bounded size, each block meets each chunk in one task, which scores all their pairs in arrays (an inverted index of the
+block's grams, one count per pair) and passes on only the best of each text. The best of all blocks are merged per
+text. Nothing is collected, no row per pair exists, and there is one way for any number of texts or examples.
 
 ``similar_pairs`` joins two large sets by prefix filtering: two sets can only reach a similarity of t if their
 rarest grams overlap, so only texts that share such a gram, and whose sizes and gram positions still allow t, are
@@ -12,11 +13,11 @@ ever compared. It suits high thresholds and longer grams.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Row
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import jaccard, ngrams
@@ -27,8 +28,12 @@ EXAMPLES_PER_QUESTION = 2
 LOWEST_SCORE = 0.15
 LEAKAGE_THRESHOLD = 0.35
 
-# Characters of the examples that travel to the texts at once.
+# Characters of the examples and of the texts that meet in one task, the least number of chunks of texts, and how many
+# pairs of them are scored at once.
 BLOCK_CHARACTERS = 1_000_000
+CHUNK_CHARACTERS = 4_000_000
+LEAST_CHUNKS = 16
+CELLS = 1 << 19
 
 
 def gram_sets(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
@@ -77,76 +82,112 @@ def similar_pairs(
     return scored.where(F.col("score") >= threshold)
 
 
-def example_blocks(examples: DataFrame, text: str, order: list[str], size: int) -> Iterator[list[Row]]:
-    """The examples in order, in blocks of about ``size`` characters, at least one block."""
-    total = examples.agg(F.sum(F.char_length(text) + 64)).first()[0] or 0
-    number = -(-total // size) or 1
-    block = F.pmod(F.xxhash64(*order), F.lit(number))
-    for at in range(number):
-        yield examples.where(block == at).orderBy(*order).collect()
-
-
-def scorer(texts: list[str | None], n: int) -> Callable[[str | None], np.ndarray]:
-    """Function that gives the Jaccard similarity of one text to each of a small set of texts.
-
-    It carries all it needs as plain arrays, so tasks can run it without this package installed.
-    """
-    def grams_of(text: str | None) -> set[str]:
-        return {text[at:at + n] for at in range(len(text) - n + 1)} if text else set()
-
-    sets = [grams_of(text) for text in texts]
-    sizes = np.array([len(grams) for grams in sets], dtype=np.int64)
-    listed: dict[str, list[int]] = {}
-    for at, grams in enumerate(sets):
-        for gram in grams:
-            listed.setdefault(gram, []).append(at)
-    holders = {gram: np.array(ats, dtype=np.int64) for gram, ats in listed.items()}
-
-    def scores(text: str | None) -> np.ndarray:
-        grams = grams_of(text)
-        hits = [holders[gram] for gram in grams & holders.keys()]
-        shared = np.bincount(np.concatenate(hits), minlength=len(sizes)) if hits else np.zeros(len(sizes))
-        union = len(grams) + sizes - shared
-        return np.divide(shared, union, out=np.zeros(len(sizes)), where=union > 0)
-
-    return scores
+def gram_codes(texts: list[str | None], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, code) of the distinct n-grams of each text, sorted by both. Codes of equal grams are equal."""
+    whole = [text or "" for text in texts]
+    points = np.frombuffer("".join(whole).encode("utf-32-le", "surrogatepass"), "<u4")
+    lengths = np.fromiter(map(len, whole), np.int64, len(whole))
+    owner, ends = np.repeat(np.arange(len(whole)), lengths), np.cumsum(lengths)
+    at = np.flatnonzero(np.arange(n, len(points) + n) <= ends[owner])
+    if n <= 3:
+        codes = sum(points[at + i].astype(np.uint64) << np.uint64(21 * i) for i in range(n))
+    else:
+        codes = np.ascontiguousarray(points[at[:, None] + np.arange(n)]).view(f"<U{n}").ravel()
+    owner = owner[at]
+    order = np.lexsort((codes, owner))
+    owner, codes = owner[order], codes[order]
+    first = np.concatenate(([True], (owner[1:] != owner[:-1]) | (codes[1:] != codes[:-1]))) if len(owner) else np.empty(0, bool)
+    return owner[first], codes[first]
+
+
+class Index:
+    """The grams of a block of strings, and which strings have each."""
+
+    def __init__(self, strings: list[str], n: int):
+        owner, codes = gram_codes(strings, n)
+        self.n, self.sizes = n, np.bincount(owner, minlength=len(strings))
+        order = np.argsort(codes, kind="stable")
+        self.holders = owner[order]
+        self.codes, self.starts, self.counts = np.unique(codes[order], return_index=True, return_counts=True)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Similarity of each text (row) to each string (column)."""
+        owner, codes = gram_codes(texts, self.n)
+        sizes = np.bincount(owner, minlength=len(texts))
+        at = np.minimum(np.searchsorted(self.codes, codes), max(len(self.codes) - 1, 0))
+        hit = self.codes[at] == codes if len(self.codes) else np.zeros(len(codes), bool)
+        owner, at = owner[hit], at[hit]
+        counts = self.counts[at]
+        within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        pair = np.repeat(owner, counts) * len(self.sizes) + self.holders[np.repeat(self.starts[at], counts) + within]
+        shared = np.bincount(pair, minlength=len(texts) * len(self.sizes)).reshape(len(texts), len(self.sizes))
+        union = sizes[:, None] + self.sizes - shared
+        return np.divide(shared, union, out=np.zeros(shared.shape), where=union > 0)
+
+    def in_parts(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """The scores of a bounded number of pairs at a time, and the first text's place."""
+        step = max(1, CELLS // max(1, len(self.sizes)))
+        for at in range(0, len(texts), step):
+            yield at, self.scores(texts[at:at + step])
 
 
 def example_strings(examples: DataFrame) -> DataFrame:
     """Everything a question is compared with: each example's question and each of its keywords."""
     listed = F.concat(F.array("question"), F.filter(F.split(F.coalesce("keywords", F.lit("")), r"(?U)\s+"), lambda w: w != ""))
-    return examples.select("ordinal", F.explode(listed).alias("text"))
-
+    return examples.select(F.col("ordinal").cast("long").alias("ordinal"), F.explode(listed).alias("text"))
 
-def _best_of(strings: list[Row], k: int, lowest: float, n: int):
-    """Function of a text column: its k best examples. ``strings`` come in the order of their examples."""
-    scores = scorer([row["text"] for row in strings], n)
-    ordinals = np.array([row["ordinal"] for row in strings], dtype=np.int64)
-    starts = np.flatnonzero(np.diff(ordinals, prepend=ordinals[:1] - 1))
 
-    def one(text: str | None) -> list[dict]:
-        if not len(starts):
-            return []
-        best = np.maximum.reduceat(scores(text), starts)
-        ranked = np.argsort(-best, kind="stable")[:k]
-        return [{"ordinal": int(ordinals[starts[at]]), "score": float(best[at])} for at in ranked if best[at] >= lowest]
-
-    @F.pandas_udf("array<struct<ordinal: bigint, score: double>>")
-    def choose(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
-
-    return choose
-
-
-def _closest_to(texts: list[str], n: int):
-    """Function of a text column: similarity to the closest of a set of texts."""
-    scores = scorer(texts, n)
-
-    @F.pandas_udf("double")
-    def closest(items: pd.Series) -> pd.Series:
-        return items.map(lambda text: float(scores(text).max(initial=0.0)))
-
-    return closest
+def best_of_blocks(
+    texts: DataFrame, strings: DataFrame, text: str, k: int, lowest: float, n: int, block_characters: int,
+) -> DataFrame:
+    """(digest, best): up to k ``struct<rank, ordinal>`` of each text with a score of ``lowest``, best first; rank is the
+    negative score. ``strings`` has ``ordinal, text``; an ordinal's score is that of its best string. Texts are known by
+    ``text_digest``; null counts as empty."""
+    sizes = texts.select(F.lit(1).alias("side"), F.char_length(F.coalesce(F.col(text), F.lit(""))).alias("c")).unionByName(
+        strings.select(F.lit(0).alias("side"), F.char_length(F.coalesce("text", F.lit(""))).alias("c"))).groupBy("side").agg(
+        F.sum(F.col("c") + 64).alias("c")).collect()
+    size = {row["side"]: row["c"] for row in sizes}
+    blocks = -(-size.get(0, 0) // block_characters) or 1
+    chunks = max(-(-size.get(1, 0) // CHUNK_CHARACTERS), LEAST_CHUNKS)
+
+    places = lambda number, name: F.explode(F.sequence(F.lit(0), F.lit(number - 1))).alias(name)
+    left = distinct_texts(texts, text).select(
+        "digest", "text", F.pmod(F.xxhash64("digest"), F.lit(chunks)).cast("int").alias("chunk"), places(blocks, "block"))
+    right = strings.select(
+        "ordinal", F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("ordinal"), F.lit(blocks)).cast("int").alias("block"),
+        places(chunks, "chunk"))
+
+    def scored(chunk: pa.Table, block: pa.Table) -> pa.Table:
+        ordinals = block["ordinal"].to_numpy()
+        order = np.argsort(ordinals, kind="stable")
+        ordinals, digests, found = ordinals[order], chunk["digest"].to_pylist(), ([], [], [])
+        listed = block["text"].take(pa.array(order)).to_pylist()
+        starts = np.flatnonzero(np.concatenate(([True], ordinals[1:] != ordinals[:-1]))) if len(ordinals) else []
+        if len(starts):
+            for first, scores in Index(listed, n).in_parts(chunk["text"].to_pylist()):
+                best = np.maximum.reduceat(scores, starts, axis=1)
+                top = np.argsort(-best, axis=1, kind="stable")[:, :k]
+                ranked = np.take_along_axis(best, top, axis=1)
+                row, place = np.nonzero(ranked >= lowest)
+                found[0].extend(digests[first + at] for at in row.tolist())
+                found[1].extend((-ranked[row, place]).tolist())
+                found[2].extend(ordinals[starts][top[row, place]].tolist())
+        return pa.table({
+            "digest": pa.array(found[0], pa.binary()), "rank": pa.array(found[1], pa.float64()), "ordinal": pa.array(found[2], pa.int64())})
+
+    hits = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInArrow(
+        scored, "digest binary, rank double, ordinal long")
+    ranked = F.array_sort(F.collect_set(F.struct("rank", "ordinal")))
+    return hits.groupBy("digest").agg(F.slice(ranked, 1, k).alias("best"))
+
+
+def text_digest(text: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
+
+
+def distinct_texts(df: DataFrame, text: str) -> DataFrame:
+    """(digest, text) of every text once, null as empty. The shuffle also deals the texts of one large file to all tasks."""
+    return df.select(text_digest(text).alias("digest"), F.coalesce(F.col(text), F.lit("")).alias("text")).distinct()
 
 
 def best_examples(
@@ -159,13 +200,10 @@ def best_examples(
     or any keyword, and equal scores keep the order of the examples. With ``lowest`` 0 every question gets k
     examples, also ones that share no gram. Questions with one key are answered each.
     """
-    found = [
-        _best_of(block, k, lowest, n)(F.col(text))
-        for block in example_blocks(example_strings(examples), "text", ["ordinal"], block_characters)]
-    ranked = F.array_sort(F.transform(
-        F.concat(*found), lambda hit: F.struct((-hit["score"]).alias("rank"), hit["ordinal"].alias("ordinal"))))
-    best = questions.select(key, F.posexplode(F.slice(ranked, 1, k)).alias("at", "hit"))
-    return best.select(key, (F.col("at") + 1).alias("place"), "hit.ordinal", (-F.col("hit.rank")).alias("score"))
+    best = best_of_blocks(questions, example_strings(examples), text, k, lowest, n, block_characters)
+    answered = questions.select(key, text_digest(text).alias("_digest")).join(best, F.col("_digest") == F.col("digest"))
+    answered = answered.select(key, F.posexplode("best").alias("at", "hit"))
+    return answered.select(key, (F.col("at") + 1).alias("place"), "hit.ordinal", (-F.col("hit.rank")).alias("score"))
 
 
 def leakage_groups(
@@ -176,15 +214,12 @@ def leakage_groups(
 
     Items are ``leaked`` from ``threshold`` on and ``clean`` below it.
     """
-    texts = examples.select(F.col(text).alias("text")).distinct()
-    closest = [
-        _closest_to([row["text"] for row in block], n)(F.col(text))
-        for block in example_blocks(texts, "text", ["text"], block_characters)]
-    nearest = F.greatest(*closest, F.lit(0.0))
-    leaked = F.col("similarity") >= threshold
-    return items.select(key, nearest.alias("similarity")).select(
-        key, F.when(leaked, "leaked").otherwise("clean").alias("leakage"), F.when(leaked, F.col("similarity")).alias("similarity")
-    )
+    strings = examples.select(F.col(text).alias("text")).distinct().select(F.xxhash64("text").alias("ordinal"), "text")
+    best = best_of_blocks(items, strings, text, 1, threshold, n, block_characters)
+    nearest = items.select(key, text_digest(text).alias("_digest")).join(best, F.col("_digest") == F.col("digest"), "left")
+    similarity = -F.get("best", F.lit(0))["rank"]
+    return nearest.select(
+        key, F.when(similarity.isNotNull(), "leaked").otherwise("clean").alias("leakage"), similarity.alias("similarity"))
 
 
 def leakage_accuracy(groups: DataFrame, log: DataFrame, key: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import jaccard, ngrams
-from tallyfold.operators.similarity import best_examples, leakage_accuracy, leakage_groups
+from tallyfold.operators.similarity import best_examples, distinct_texts, leakage_accuracy, leakage_groups, text_digest
 from tallyfold.plans.registry import query
 
 
@@ -17,8 +17,11 @@ def _grams_sql(text: str) -> str:
        f"""SELECT doc_id, CAST(len(grams) AS INTEGER) AS n, md5(array_to_string(list_sort(grams), '|')) AS digest
            FROM (SELECT doc_id, {_grams_sql("text")} AS grams FROM documents) g""")
 def s_bigrams(t):
-    sets = t.base("documents").select("doc_id", ngrams(F.col("text")).alias("grams"))
-    return sets.select("doc_id", F.size("grams").alias("n"), F.md5(F.array_join(F.array_sort("grams"), "|")).alias("digest"))
+    """The set of each text is made once, however many documents have the text."""
+    docs = t.base("documents")
+    sets = distinct_texts(docs, "text").select("digest", ngrams(F.col("text")).alias("grams")).select(
+        F.col("digest").alias("of"), F.size("grams").alias("n"), F.md5(F.array_join(F.array_sort("grams"), "|")).alias("digest"))
+    return docs.select("doc_id", text_digest("text").alias("of")).join(sets, "of").drop("of")
 
 
 @query("s_jaccard",

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import jaccard, ngrams
+from tallyfold.operators import similarity as sim
 from tallyfold.operators.similarity import best_examples, leakage_groups, similar_pairs
 
 
@@ -87,3 +88,27 @@ def test_unrelated_question_gets_nothing(make):
     examples = make("ordinal int, question string, keywords string", EXAMPLES)
     assert best_examples(questions, examples, "id").count() == 0
     assert best_examples(questions, examples.limit(0), "id").count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 6])
+def test_scores_in_arrays(texts, n, monkeypatch):
+    """Texts beyond the basic plane, repeated and empty ones, and characters that a fixed width could lose."""
+    strings = [*texts[:25], "a\0b\0", "\0\0\0a", "", "😀😀😀x"]
+    asked = [*texts[20:50], None, "a\0b", "\0\0\0\0a"]
+    monkeypatch.setattr(sim, "CELLS", 60)
+    found = [row for _, scores in sim.Index(strings, n).in_parts(asked) for row in scores.tolist()]
+    assert found == [[similarity(a or "", b, n) for b in strings] for a in asked]
+    assert sim.Index([], n).scores(asked).shape == (len(asked), 0)
+
+
+def test_nothing_is_collected_and_no_row_per_pair(make, texts, monkeypatch):
+    """Sizes come to the driver, two rows; what tasks pass on is at most k rows for each text and block."""
+    questions = make("id int, text string", list(enumerate(texts * 4)))
+    examples = make("ordinal int, question string, keywords string", [(at, text, text) for at, text in enumerate(texts)])
+    best = sim.best_of_blocks(questions, sim.example_strings(examples), "text", 2, 0.0, 2, 300)
+    best.collect()
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "FlatMapCoGroupsInArrow" in plan
+    assert best.count() == len(set(texts))
+    rows = best_examples(questions, examples, "id", lowest=0.0).groupBy("id").count().collect()
+    assert len(rows) == 4 * len(texts) and {row["count"] for row in rows} == {2}
