@@ -103,28 +103,32 @@ def head_of(words: DataFrame, size: int) -> dict[str, int]:
 
 
 def _frequencies(head: Callable[[], dict[str, int]]):
-    """Per row: the pieces of its frequent pre-tokens, and its other pre-tokens with their frequencies."""
+    """Per row: the pieces of its frequent pre-tokens under a mark, and its other pre-tokens with their frequencies.
+
+    A mark is a line feed with a number behind it, which no pre-token is; the number spreads the rows' marks.
+    """
 
     def batchwise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces_of = head().get
         for batch in batches:
-            known, tails, counts, ends = [], [], [], [0]
-            for text in batch.column("text").to_pylist():
-                sum_known = 0
+            tokens, counts, ends = [], [], [0]
+            for text, content in zip(batch.column("text").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                known, at = 0, len(tokens)
+                tokens.append(f"\n{content & 0xFFF:x}")
+                counts.append(0)
                 for token, n in Counter(pre_tokens(text)).items():
                     if (pieces := pieces_of(token)) is None:
-                        tails.append(token)
+                        tokens.append(token)
                         counts.append(n)
                     else:
-                        sum_known += n * pieces
-                known.append(sum_known)
-                ends.append(len(tails))
+                        known += n * pieces
+                counts[at] = known
+                ends.append(len(tokens))
             entries = pa.StructArray.from_arrays(
-                [pa.array(tails, pa.string()), pa.array(counts, pa.int64())], ["token", "n"])
+                [pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], ["token", "n"])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(known, pa.int64()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)],
-                ["doc_id", "content", "n_bytes", "known", "tail"])
+                [*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)],
+                ["doc_id", "content", "n_bytes", "entries"])
 
     return batchwise
 
@@ -136,16 +140,12 @@ def token_counts(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("content"),
         F.octet_length(whole_text()).cast("long").alias("n_bytes"), whole_text().alias("text"))
-    per_row = rows.mapInArrow(
+    parts = rows.mapInArrow(
         _frequencies(lambda: sent.value),
-        "doc_id long, content long, n_bytes long, known long, tail array<struct<token string, n long>>")
-    parts = per_row.select("doc_id", "content", "n_bytes", "known", F.posexplode_outer("tail").alias("at", "entry"))
-    first = (F.coalesce("at", F.lit(0)) == 0).cast("long")
-    parts = parts.select(
-        "doc_id", "content", "n_bytes", (first * F.col("known")).alias("known"), first.alias("first"),
-        F.col("entry.token").alias("token"), F.col("entry.n").alias("n"))
+        "doc_id long, content long, n_bytes long, entries array<struct<token string, n long>>").select(
+        "doc_id", "content", "n_bytes", F.inline("entries"))
+    own = F.col("token").startswith("\n") & (F.col("token") != "\n")
     summed = parts.join(words.select("token", "pieces"), "token", "left").groupBy("doc_id", "content", "n_bytes").agg(
-        F.sum(F.col("known") + F.coalesce(F.col("n") * F.col("pieces"), F.lit(0))).alias("tokens"),
-        F.sum("first").cast("int").alias("copies"))
+        F.sum(F.when(own, F.col("n")).otherwise(F.col("n") * F.col("pieces"))).alias("tokens"), F.count_if(own).cast("int").alias("copies"))
     copy = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
     return summed.select("doc_id", "n_bytes", F.expr("tokens div copies").alias("n_tokens"), copy).drop("copy")
