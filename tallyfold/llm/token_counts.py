@@ -7,9 +7,10 @@ frequencies per document. Pre-tokens frequent enough to be among the first ``HEA
 found from the histogram of counts) travel to the tasks and are summed where the document is read; all others are
 joined to the counted table. No pre-token is left out, and the split moves no count.
 
-Rows are told apart by doc_id, length and a 64-bit hash of the text; rows equal in all of them are copies of one text, have
-equal counts and each come back. Null text counts as empty: 0 bytes, 0 tokens. Texts of any length are
-cut into pre-tokens as a whole; one without spaces is a single pre-token. An empty table gives an empty result.
+Rows are told apart by doc_id and length and, where ids repeat or are missing, a 64-bit hash of the text; rows equal in
+all are copies of one text, have equal counts and each come back. Null text counts as empty: 0 bytes, 0 tokens. Texts of
+any length are cut into pre-tokens as a whole; one without spaces is a single pre-token. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def _frequencies(head: Callable[[], dict[str, int]]):
             tokens, counts, ends = [], [], [0]
             for text, content in zip(batch.column("text").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 known, at = 0, len(tokens)
-                tokens.append(f"\n{content & 0xFFF:x}")
+                tokens.append(f"\n{(len(text) * 31 + content) & 0xFFF:x}")
                 counts.append(0)
                 for token, n in Counter(pre_tokens(text)).items():
                     if (pieces := pieces_of(token)) is None:
@@ -138,8 +139,11 @@ def token_counts(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     words = checkpointed(vocabulary(docs, path))
     sent = docs.sparkSession.sparkContext.broadcast(head_of(words, head))
     release(docs.sparkSession)
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
+    told_apart = ids.where("n > 1 OR doc_id IS NULL").isEmpty()
+    content = F.lit(0).cast("long") if told_apart else F.xxhash64(whole_text())
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(whole_text()).alias("content"),
+        F.col("doc_id").cast("long").alias("doc_id"), content.alias("content"),
         F.octet_length(whole_text()).cast("long").alias("n_bytes"), whole_text().alias("text"))
     parts = rows.mapInArrow(
         _frequencies(lambda: sent.value),
