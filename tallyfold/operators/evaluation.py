@@ -161,15 +161,28 @@ def usage_rollup(calls: DataFrame) -> DataFrame:
     )
 
 
-def summaries(log: DataFrame) -> DataFrame:
-    """One row per run with all metrics, levels as a map of structs and causes as a map of counts."""
+def summaries(log: DataFrame, runs: DataFrame | None = None) -> DataFrame:
+    """One row per run with all metrics, levels as a map of structs and causes as a map of counts.
+
+    ``runs`` (``run`` and what else is known of a run, such as tag, time, model, data set, wall time) adds its columns and
+    decides which runs are listed: one without a line in the log has zeros in every field.
+    """
     levels = F.map_from_entries(F.array(*(
         F.struct(F.lit(level), F.struct(
             F.col(f"{level}_total").cast("int").alias("total"),
             percent(F.col(f"{level}_right"), F.col(f"{level}_total")).alias("accuracy")))
         for level in LEVELS)))
     counted = per_run(log).select(*_outcome_columns(), levels.alias("by_difficulty"), F.col("causes").alias("attribution"))
-    return counted.join(latency_percentiles(log), "run")
+    measured = counted.join(latency_percentiles(log), "run")
+    if runs is None:
+        return measured
+    nothing = F.map_from_entries(F.array(*(
+        F.struct(F.lit(level), F.struct(F.lit(0).alias("total"), F.lit(0.0).alias("accuracy"))) for level in LEVELS)))
+    empty = {"by_difficulty": nothing, "attribution": F.create_map()}
+    listed = runs.join(measured, "run", "left")
+    return listed.select(*runs.columns, *(
+        F.coalesce(F.col(field.name), empty.get(field.name, F.lit(0)).cast(field.dataType)).alias(field.name)
+        for field in measured.schema.fields if field.name != "run"))
 
 
 def ablation(run_metrics: DataFrame, base: str, *metrics: str) -> DataFrame:

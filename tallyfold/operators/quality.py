@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.functions.dates import OFFSET_SUFFIX, parse_stamp, stamp_shape
+from tallyfold.operators.quantiles import fences
 
 EMAIL_SHAPE = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 
@@ -131,15 +132,14 @@ def bad_emails(df: DataFrame, key: str, column: str) -> DataFrame:
     return marked.where("malformed OR reused")
 
 
-def outliers(df: DataFrame, value: str, group: str, k: float = 3.0, accuracy: int = 10000) -> DataFrame:
-    """Rows above the upper quartile of their group by more than ``k`` interquartile ranges.
+def outliers(df: DataFrame, value: str, group: str, k: float = 3.0) -> DataFrame:
+    """Rows beyond the quartiles of their group by more than ``k`` interquartile ranges, on either side.
 
-    The quartiles are mergeable sketches, so a group of any size is summarised where its rows lie;
-    the summary, one row per group, goes back to the rows by the group, NULL being a group too.
+    The quartiles are exact (``quantiles``); the fences, one row per group, go back to the rows by the group, NULL
+    being a group too. Infinite values lie beyond any fence; NULL and NaN are never reported.
     """
-    quartiles = df.groupBy(F.col(group).alias("of_group")).agg(
-        F.percentile_approx(F.col(value).cast("double"), F.array(F.lit(0.25), F.lit(0.75)), accuracy).alias("q")
-    )
-    fences = quartiles.select("of_group", (F.col("q")[1] + F.lit(k) * (F.col("q")[1] - F.col("q")[0])).alias("fence"))
-    joined = df.join(fences, df[group].eqNullSafe(fences["of_group"])).drop("of_group")
-    return joined.where(F.col(value) > F.col("fence")).drop("fence")
+    limits = fences(df, value, group, k).select("of_group", "low_fence", "high_fence")
+    joined = df.join(limits, F.struct(df[group].alias("value")) == limits["of_group"])
+    number = df[value].cast("double")
+    beyond = ((number < F.col("low_fence")) | (number > F.col("high_fence"))) & ~F.isnan(number)
+    return joined.where(beyond).drop("of_group", "low_fence", "high_fence")

@@ -375,3 +375,37 @@ def write_summary_json(t):
     back = files.read_summary_json(t.spark, path)
     return back.select("run", "total", "correct", F.col("by_difficulty.hard.accuracy").alias("hard_accuracy"),
                        F.col("attribution.exec_error").alias("exec_errors"))
+
+
+_MARKED_SQL = "SELECT qid, run, concat(question, chr(10), '\\n', chr(13), run, '\\') AS note FROM r_result_log"
+
+
+@query("write_report_csv_lines", _MARKED_SQL)
+def write_report_csv_lines(t):
+    """Texts with line breaks, and with backslashes that only look like them, come back as they were."""
+    note = F.concat("question", F.lit("\n\\n\r"), "run", F.lit("\\"))
+    path = files.write_report_csv(t.table("result_log").select("qid", "run", note.alias("note")), fresh_path(t.spark, "lines"))
+    return files.read_report_csv(t.spark, path, "qid bigint, run string, note string")
+
+
+@query("write_summary_run_fields",
+       """WITH runs AS (SELECT run, count(*) AS total, round(CAST(sum(latency_s) AS DOUBLE), 3) AS wall_time_s
+                        FROM r_result_log GROUP BY run
+                        UNION ALL SELECT 'idle', 0, CAST(0 AS DOUBLE))
+          SELECT run, concat('tag-', run) AS tag, '1998-12-01T00:00:00' AS timestamp, 'none' AS model, 'main' AS dataset,
+                 wall_time_s, total, CASE WHEN run = 'idle' THEN CAST(0 AS DOUBLE) END AS idle_accuracy,
+                 CASE WHEN run = 'idle' THEN 0 END AS idle_hard FROM runs""")
+def write_summary_run_fields(t):
+    """What is known of a run stands beside its metrics; a run without a line in the log has zeros."""
+    log = t.table("result_log")
+    idle = log.limit(0).groupBy().agg(F.lit("idle").alias("run"), F.lit(0.0).alias("wall_time_s"))
+    timed = log.groupBy("run").agg(F.round(F.sum("latency_s").cast("double"), 3).alias("wall_time_s"))
+    runs = timed.unionByName(idle).select(
+        "run", F.concat(F.lit("tag-"), "run").alias("tag"), F.lit("1998-12-01T00:00:00").alias("timestamp"),
+        F.lit("none").alias("model"), F.lit("main").alias("dataset"), "wall_time_s")
+    path = files.write_summary_json(evaluation.summaries(log, runs), fresh_path(t.spark, "summary"))
+    idle_only = F.col("run") == "idle"
+    return files.read_summary_json(t.spark, path).select(
+        "run", "tag", "timestamp", "model", "dataset", "wall_time_s", "total",
+        F.when(idle_only, F.col("exec_accuracy")).alias("idle_accuracy"),
+        F.when(idle_only, F.col("by_difficulty.hard.total")).alias("idle_hard"))

@@ -19,10 +19,12 @@ from tallyfold.operators.relational import (
     without_match,
 )
 from tallyfold.operators.results import capped
+from tallyfold.operators.sketches import ERROR, daily_sketches, distinct_in
 from tallyfold.operators.windows import best_per_group, day_runs, period_growth, ranked_top
 from tallyfold.plans import grouped_questions as grouped
 from tallyfold.plans import simple_questions as simple
 from tallyfold.plans.registry import query
+from tallyfold.session import fresh_path
 from tallyfold.sources.mapped import TABLES
 from tallyfold.sources.tables import data_range, table_counts
 
@@ -308,6 +310,26 @@ def a_count_distinct(t):
     return t.table("order_items").agg(F.count_distinct("product_id").alias("n"))
 
 
+@query("a_count_distinct_sketch",
+       """SELECT period, count(DISTINCT l_partkey) AS n, true AS within FROM lineitem
+          JOIN (VALUES ('quarter', DATE '1996-01-01', DATE '1996-03-31'), ('all', DATE '1900-01-01', DATE '2100-01-01')) r(period, a, b)
+            ON CAST(l_shipdate AS DATE) BETWEEN a AND b GROUP BY period""")
+def a_count_distinct_sketch(t):
+    """Exact counts beside those of stored daily sketches, and whether these are as near as promised."""
+    lines = t.base("lineitem").select(F.col("l_shipdate").cast("date").alias("day"), "l_partkey")
+    path = fresh_path(t.spark, "sketches")
+    daily_sketches(lines, "day", "l_partkey").write.parquet(path)
+    sketches = t.spark.read.parquet(path)
+
+    def compared(period, during):
+        chosen = lines if during is None else lines.where(during.holds(F.col("day"), "date"))
+        counts = chosen.agg(F.count_distinct("l_partkey").alias("n"))
+        near = F.abs(F.lit(1) - distinct_in(sketches, during).scalar() / F.col("n")) <= ERROR
+        return counts.select(F.lit(period).alias("period"), "n", near.alias("within"))
+
+    return compared("quarter", FIRST_QUARTER).unionByName(compared("all", None))
+
+
 @query("a_count_distinct_expr", "SELECT count(DISTINCT lower(status)) AS n FROM r_orders")
 def a_count_distinct_expr(t):
     return t.table("orders").agg(F.count_distinct(F.lower("status")).alias("n"))

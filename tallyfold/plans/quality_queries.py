@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.dates import day_key, month_key
 from tallyfold.operators import quality as dq
+from tallyfold.operators.quantiles import fences
 from tallyfold.plans.registry import query
 
 
@@ -139,6 +140,38 @@ def dq_price_outlier(t):
     return found.select("id", F.col("price").cast("double").alias("price"))
 
 
+@query("dq_price_fences",
+       """WITH q AS (SELECT category_id, count(*) AS n, quantile_cont(CAST(price AS DOUBLE), 0.25) AS q1,
+                            quantile_cont(CAST(price AS DOUBLE), 0.75) AS q3 FROM r_products WHERE price IS NOT NULL
+                     GROUP BY category_id)
+          SELECT q.category_id, any_value(n) AS n, round(any_value(q1), 6) AS q1, round(any_value(q3), 6) AS q3,
+                 count(CASE WHEN p.price < q1 - 3 * (q3 - q1) THEN 1 END) AS below,
+                 count(CASE WHEN p.price > q3 + 3 * (q3 - q1) THEN 1 END) AS above
+          FROM q JOIN r_products p ON p.category_id IS NOT DISTINCT FROM q.category_id GROUP BY q.category_id""")
+def dq_price_fences(t):
+    """Quartiles of each category and how many prices lie beyond its fences on either side."""
+    prices = t.table("products").select("id", "category_id", "price")
+    limits = fences(prices, "price", "category_id", 3.0)
+    counted = prices.groupBy(F.struct(F.col("category_id").alias("value")).alias("of_group"), "price").agg(F.count("*").alias("rows"))
+    return counted.join(limits, "of_group").groupBy("of_group", "n", "q1", "q3").agg(
+        F.sum(F.when(F.col("price") < F.col("low_fence"), F.col("rows")).otherwise(0)).alias("below"),
+        F.sum(F.when(F.col("price") > F.col("high_fence"), F.col("rows")).otherwise(0)).alias("above"),
+    ).select(F.col("of_group.value").alias("category_id"), "n", F.round("q1", 6).alias("q1"), F.round("q3", 6).alias("q3"), "below", "above")
+
+
+@query("dq_amount_fences",
+       """WITH q AS (SELECT l_returnflag AS flag, count(*) AS n, quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.25) AS q1,
+                            quantile_cont(CAST(l_extendedprice AS DOUBLE), 0.75) AS q3 FROM lineitem GROUP BY l_returnflag)
+          SELECT l_orderkey, l_linenumber, l_returnflag AS flag, CAST(l_extendedprice AS DOUBLE) AS amount
+          FROM lineitem JOIN q ON l_returnflag IS NOT DISTINCT FROM flag
+          WHERE l_extendedprice < q1 - 0.5 * (q3 - q1) OR l_extendedprice > q3 + 0.5 * (q3 - q1)""")
+def dq_amount_fences(t):
+    """Lines far from the usual amounts of lines with their flag, on either side."""
+    lines = t.base("lineitem").select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("flag"),
+                                      F.col("l_extendedprice").cast("double").alias("amount"))
+    return dq.outliers(lines, "amount", "flag", k=0.5)
+
+
 @query("dq_money_precision",
        """SELECT id, CAST(discount AS DOUBLE) AS discount FROM r_order_items
           WHERE CAST(discount * 10000 AS BIGINT) % 100 <> 0""")

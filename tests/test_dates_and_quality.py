@@ -1,12 +1,16 @@
 from __future__ import annotations
 
+import random
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.functions.dates import day_key, days, month, month_key, parse_stamp, stamp_shape
 from tallyfold.operators import quality as dq
+from tallyfold.operators.quantiles import group_quantiles
+from tallyfold.operators.sketches import daily_sketches, distinct_in
 
 STAMPS = {
     "2025-03-05 12:00:01": datetime(2025, 3, 5, 12, 0, 1),
@@ -106,3 +110,41 @@ def test_outliers_keep_the_null_group(make):
     rows = [(i, None, 10.0 + i % 5) for i in range(50)] + [(99, None, 5000.0)] + [(100 + i, 1, 5000.0 + i) for i in range(20)]
     found = dq.outliers(make("id int, g int, v double", rows), "v", "g")
     assert [row["id"] for row in found.collect()] == [99]
+
+
+def test_outliers_on_both_sides_and_odd_numbers(make):
+    rows = [(i, "a", 100.0 + i % 7) for i in range(70)] + [(70, "a", -50.0), (71, "a", float("inf")), (72, "a", None)]
+    rows += [(73, "a", float("nan")), (74, "b", float("-inf")), (75, "c", 4.0)]
+    found = dq.outliers(make("id int, g string, v double", rows), "v", "g")
+    assert sorted(row["id"] for row in found.collect()) == [70, 71]
+    assert dq.outliers(make("id int, g string, v double", []), "v", "g").collect() == []
+
+
+def test_quantiles_are_exact_for_any_spread(make):
+    chance = random.Random(3)
+    values = {
+        None: [chance.gauss(0, 1) * 10 ** chance.randrange(-300, 300) for _ in range(501)],
+        1: [float(chance.randrange(50)) for _ in range(4000)], 2: [5e-324, 0.0, 1.5e308, -1.5e308], 3: [7.5],
+        4: [1.0] * 999 + [2.0],
+    }
+    rows = [(g, v) for g, some in values.items() for v in some]
+    shares = [0.0, 0.1, 0.25, 0.5, 0.75, 1.0]
+    found = group_quantiles(make("g int, v double", rows), "v", "g", shares)
+    got = {row["of_group"]["value"]: (row["n"], list(row["q"])) for row in found.collect()}
+    assert set(got) == set(values)
+    for g, some in values.items():
+        assert got[g][0] == len(some)
+        if g != 2:
+            assert got[g][1] == pytest.approx(list(np.quantile(some, shares)), rel=1e-9)
+    assert got[2][1][0] == -1.5e308 and got[2][1][-1] == 1.5e308
+
+
+def test_sketches_of_days_unite(make):
+    rows = [(f"2025-03-{1 + i % 9:02}", i % 700) for i in range(6300)] + [("2025-03-02", None)]
+    daily = daily_sketches(make("day string, v int", rows), "day", "v")
+    assert daily.count() == 9
+    assert abs(distinct_in(daily).first()["estimate"] - 700) <= 21
+    first = days("2025-03-01", "2025-03-03")
+    wanted = len({v for d, v in rows if d <= "2025-03-03" and v is not None})
+    assert abs(distinct_in(daily, first).first()["estimate"] - wanted) <= wanted * 0.03
+    assert distinct_in(daily, days("2024-01-01", "2024-01-02")).first()["estimate"] == 0
