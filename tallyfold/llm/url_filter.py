@@ -1,11 +1,12 @@
 """URL verdicts from rules and, where none fits, from a tree of path templates.
 
 Per host, paths become templates: digits in a segment are one placeholder, and under a parent with many different
-children that each have few pages the child is a wildcard. Templates that differ in their last literal segment only
+children that each have few paths the child is a wildcard. Templates that differ in their last literal segment only
 are siblings; labelled siblings whose share of bad pages lies within ``SIMILAR`` standard errors of their joint share
 are merged. A template's labelled purity is its share of good pages, smoothed towards one half, and a template
-below one half is rejected. Labels are the pages a rule decides. Pages meet the tree as counts of (host, form of the
-path), so a host with a third of all pages is summed map-side.
+below one half is rejected. Labels are the pages a rule decides. Pages meet the tree as counts of distinct paths for
+each (host, form of the path), so repeated rows change no verdict and a host with a third of all pages is spread by
+path, then summed map-side.
 
 Null urls and those without ``://`` have empty host and path; no rule fits them. Templates without a labelled page
 are allowed. Repeated rows each get their verdict. An empty table gives an empty result.
@@ -20,7 +21,7 @@ from tallyfold.llm.common import checkpointed
 
 Rule = tuple[str, str, str]
 BRANCHES = 16
-PAGES_PER_BRANCH = 4.0
+PATHS_PER_BRANCH = 4.0
 SIMILAR = 2.0
 SMOOTHING = 1.0
 
@@ -56,7 +57,7 @@ def templates(forms: DataFrame) -> DataFrame:
     children = segments.groupBy("host", "parent", "segment").agg(F.sum("pages").alias("pages"))
     variable = children.groupBy("host", "parent").agg(
         F.count("*").alias("branches"), F.avg("pages").alias("per_branch"))
-    variable = variable.where((F.col("branches") >= BRANCHES) & (F.col("per_branch") < PAGES_PER_BRANCH)).select(
+    variable = variable.where((F.col("branches") >= BRANCHES) & (F.col("per_branch") < PATHS_PER_BRANCH)).select(
         "host", "parent", F.lit(True).alias("variable"))
     kept = segments.join(variable, ["host", "parent"], "left").withColumn(
         "segment", F.when(F.col("variable"), "*").otherwise(F.col("segment")))
@@ -94,7 +95,8 @@ def judged(pages: DataFrame, rules: list[Rule], page_id: str = "page_id", url: s
     host, path = parts(url)
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
     rows = rows.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules)).withColumn("form", form_of(F.col("path")))
-    forms = checkpointed(rows.groupBy("host", "form").agg(
+    paths = rows.select("host", "form", "path", "fit").distinct()
+    forms = checkpointed(paths.groupBy("host", "form").agg(
         F.count("*").alias("pages"), F.count("fit").alias("labelled"),
         F.count_if(F.col("fit.verdict") == "block").alias("bad")))
     learned = F.when(F.col("rejected"), "block").otherwise("allow")

@@ -133,6 +133,11 @@ def test_templates_generalise_and_reject(make):
     got = {r.page_id: r for r in url_filter.judged(make("page_id long, url string", rows), rules).collect()}
     assert got[200].rule is None and got[200].verdict == "block", "the wildcard branch it shares is bad throughout"
     assert got[201].verdict == "allow" and got[0].verdict == "allow"
+    for times in (2, 10):
+        many = url_filter.judged(make("page_id long, url string", rows * times), rules).distinct()
+        assert {r.page_id: r for r in many.collect()} == got, "repeated rows change no verdict"
+    once = url_filter.judged(make("page_id long, url string", rows + [(999 + i, rows[80][1]) for i in range(400)]), rules)
+    assert {r.page_id: r for r in once.collect() if r.page_id < 999} == got, "nor does one row, however often"
     forms = make("host string, form string, pages long", [("h", "/a/#", 9), ("h", "/b/#", 9), *[("h", f"/c/{chr(97 + i)}", 1) for i in range(20)]])
     shapes = {r.form: "/".join(r.segments) for r in url_filter.templates(forms).collect()}
     assert shapes["/a/#"] == "a/#" and shapes["/c/a"] == "c/*"
