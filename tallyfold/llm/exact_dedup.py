@@ -2,11 +2,11 @@
 
 The index is a table with one row per bucket of digests: the slots of a cuckoo filter, the digests stored there
 and, for each, how many live rows have it and which row is kept. A batch of insertions or deletions is combined
-map-side (one row per digest and Arrow batch, so a digest that a third of all rows share stays cheap), shuffled by
+by digest (map-side first, so a digest that a third of all rows share is one row a task, then one row), shuffled by
 bucket and applied to that bucket's filter. A miss proves a digest new. A hit is verified against the stored
 digests of the bucket, since two digests may share a fingerprint. When an insertion finds no slot the filter
-doubles and is filled again from the stored digests. Buckets are numbered by the row count, so each holds a
-bounded number of digests whatever the input size.
+doubles and is filled again from the stored digests. A digest whose kept row was deleted gets the next one from the
+live rows. Buckets are numbered by the row count, so each holds a bounded number of digests whatever the input size.
 
 Texts are equal when identical without the characters ``[ \\t-\\r]``. Null text counts as empty; all empty texts are
 equal. The row with most code points stays, then the smallest ``doc_id`` (null last). Rows repeated with one
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import random
 from array import array
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -110,11 +109,11 @@ class Bucket:
                 self.filter = filled(self.stored, 2 * (self.filter.mask + 1))
             return
         entry[0] += rows
-        if entry[1] is None or _rank(n_chars, doc_id) < _rank(entry[1], entry[2]):
+        if entry[1] is not None and _rank(n_chars, doc_id) < _rank(entry[1], entry[2]):
             entry[1:] = n_chars, doc_id
 
     def delete(self, key: bytes, rows: int, n_chars: int, doc_id: int | None) -> None:
-        """Takes rows off a live digest. Without rows it goes; without its kept row the next insertion names one."""
+        """Takes rows off a live digest. Without rows it goes; without its kept row it waits for ``name``."""
         if (entry := self._live(key)) is None:
             return
         entry[0] -= rows
@@ -124,6 +123,11 @@ class Bucket:
         elif entry[1:] == [n_chars, doc_id]:
             entry[1:] = None, None
 
+    def name(self, key: bytes, n_chars: int, doc_id: int | None) -> None:
+        """Which of the live rows of a digest is kept now."""
+        if (entry := self._live(key)) is not None:
+            entry[1:] = n_chars, doc_id
+
 
 def _rank(n_chars: int, doc_id: int | None) -> tuple:
     return -n_chars, doc_id is None, doc_id or 0
@@ -153,21 +157,6 @@ def with_digests(docs: DataFrame) -> DataFrame:
         digest_of(whole_text()).alias("digest"))
 
 
-def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per digest (and sign) of a batch: how many rows, and which of them would be kept."""
-    for batch in batches:
-        groups: dict[tuple, list] = {}
-        for bucket, digest, rows, n_chars, doc_id in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            entry = groups.setdefault((digest, rows > 0), [bucket, 0, n_chars, doc_id])
-            entry[1] += rows
-            if _rank(n_chars, doc_id) < _rank(entry[2], entry[3]):
-                entry[2:] = n_chars, doc_id
-        rows = [(e[0], digest, *e[1:]) for (digest, _), e in groups.items()]
-        columns = list(zip(*rows, strict=True)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, batch.schema.types, strict=True)], batch.schema.names)
-
-
 def _applied(key: tuple, stored: pa.Table, changes: pa.Table) -> pa.Table:
     bucket = Bucket()
     for row in stored.to_pylist():
@@ -177,6 +166,8 @@ def _applied(key: tuple, stored: pa.Table, changes: pa.Table) -> pa.Table:
         digest, n_rows, n_chars, doc_id = row.values()
         if n_rows > 0:
             bucket.insert(digest, n_rows, n_chars, doc_id)
+        elif n_rows == 0:
+            bucket.name(digest, n_chars, doc_id)
         else:
             bucket.delete(digest, -n_rows, n_chars, doc_id)
     entries = list(bucket.stored.values())
@@ -186,21 +177,41 @@ def _applied(key: tuple, stored: pa.Table, changes: pa.Table) -> pa.Table:
     }], schema=_INDEX_ARROW)
 
 
+def _combined(digests: DataFrame, buckets: int, rows: Column) -> DataFrame:
+    """One change per digest: how many rows, and which of them ranks first."""
+    key = F.unhex("digest")
+    first = F.min(F.struct((-F.col("n_points")).alias("fewer"), F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id")))
+    combined = digests.groupBy("digest").agg(rows.cast("long").alias("n_rows"), first.alias("first"))
+    return combined.select(
+        F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), key.alias("digest"), "n_rows",
+        (-F.col("first.fewer")).alias("n_chars"), F.col("first.id").alias("doc_id"))
+
+
+def _with_changes(index: DataFrame, changes: DataFrame) -> DataFrame:
+    return index.groupBy("bucket").cogroup(changes.groupBy("bucket")).applyInArrow(_applied, INDEX)
+
+
 def update(index: DataFrame | None, digests: DataFrame, buckets: int, insert: bool = True) -> DataFrame:
     """The index after inserting or deleting the rows of ``digests`` (as ``with_digests`` gives them).
 
     ``buckets`` must be the number the index was made with. Deleting digests that are not live changes nothing.
     Deletions of several rows with one digest are combined, so a kept row among them is forgotten only if it
-    ranks first of the deleted ones, which it always does.
+    ranks first of the deleted ones, which it always does. A digest without its kept row has none until ``named``.
     """
-    key = F.unhex("digest")
-    changes = digests.select(
-        F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket"), key.alias("digest"),
-        F.lit(1 if insert else -1).cast("long").alias("n_rows"), F.col("n_points").alias("n_chars"), "doc_id")
-    changes = changes.mapInArrow(_combined, CHANGES)
     if index is None:
         index = digests.sparkSession.createDataFrame([], INDEX)
-    return index.groupBy("bucket").cogroup(changes.groupBy("bucket")).applyInArrow(_applied, INDEX)
+    rows = F.count("*")
+    return _with_changes(index, _combined(digests, buckets, rows if insert else -rows))
+
+
+def named(index: DataFrame, rows: DataFrame, buckets: int) -> DataFrame:
+    """The index with a kept row for each live digest that lost its own, after deletions or later insertions.
+
+    ``rows`` are all live rows (as ``with_digests`` gives them). Only those of digests without a kept row are
+    compared, one candidate per task and digest, so the index itself need not store every row of a group.
+    """
+    forgotten = live(index).where("keep_points IS NULL").select("digest")
+    return _with_changes(index, _combined(rows.join(forgotten, "digest", "left_semi"), buckets, F.lit(0)))
 
 
 def live(index: DataFrame) -> DataFrame:

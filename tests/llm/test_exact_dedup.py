@@ -75,6 +75,24 @@ def test_index_takes_batches_and_deletions(make):
     assert left == {(0, 3), (None, 1)}
 
 
+def test_next_row_is_named_after_deletions(make):
+    chance = random.Random(5)
+    rows = [(chance.choice([None, i]), "a" * (i % 6) + " " * chance.randrange(4)) for i in range(120)]
+    gone, later = rows[::4] + rows[5::6], [(None, " a"), (500, "aa   "), (501, "b")]
+    left = list(rows)
+    for row in gone:
+        if row in left:
+            left.remove(row)
+    gone = [row for row in set(rows) for _ in range(rows.count(row) - left.count(row))]
+    table = lambda some: exact_dedup.with_digests(make("doc_id long, text string", some))
+    index = exact_dedup.update(None, table(rows), 3)
+    index = exact_dedup.update(index, table(gone), 3, insert=False)
+    index = exact_dedup.update(index, table(later), 3)
+    found = exact_dedup.live(exact_dedup.named(index, table(left + later), 3)).collect()
+    wanted = exact_dedup.live(exact_dedup.update(None, table(left + later), 3)).collect()
+    assert sorted(map(tuple, found), key=repr) == sorted(map(tuple, wanted), key=repr) and len(found) == 6
+
+
 @pytest.mark.parametrize("made", [exact_dedup.decisions, exact_dedup.kept_rows])
 def test_empty(no_docs, made):
     assert made(no_docs).collect() == []
