@@ -449,12 +449,16 @@ def monthly_growth(t):
 
 
 @query("best_product_per_top_category",
-       """SELECT top_id, category, product_id, product FROM (
-            SELECT l1.id AS top_id, l1.name AS category, p.id AS product_id, p.name AS product,
-                   row_number() OVER (PARTITION BY l1.id ORDER BY sum(d.gmv) DESC, p.id) AS rn
-            FROM r_daily_product_metrics d JOIN r_products p ON d.product_id = p.id
-            JOIN r_categories c ON p.category_id = c.id JOIN r_categories l1 ON c.parent_id = l1.id
-            WHERE d.date LIKE '1996-03%' GROUP BY l1.id, l1.name, p.id, p.name) ranked WHERE rn = 1""")
+       """WITH sold AS (SELECT product_id, sum(gmv) AS gmv FROM r_daily_product_metrics
+                        WHERE CAST(date AS DATE) BETWEEN DATE '1996-03-01' AND DATE '1996-03-31' GROUP BY product_id),
+               placed AS (SELECT sold.product_id, sold.gmv, child.parent_id AS top_id, r_products.name AS product
+                          FROM sold JOIN r_products ON r_products.id = sold.product_id
+                          JOIN r_categories child ON child.id = r_products.category_id),
+               most AS (SELECT top_id, max(gmv) AS gmv FROM placed GROUP BY top_id),
+               first_of AS (SELECT placed.top_id, min(product_id) AS product_id
+                            FROM placed JOIN most ON placed.top_id = most.top_id AND placed.gmv = most.gmv GROUP BY placed.top_id)
+          SELECT top.id AS top_id, top.name AS category, product_id, r_products.name AS product
+          FROM first_of JOIN r_categories top ON top.id = first_of.top_id JOIN r_products ON r_products.id = product_id""")
 def best_product_per_top_category(t, during: Days = MARCH):
     gmv = sums_by(t.table("daily_product_metrics", during), "product_id", gmv=F.col("gmv"))
     products = products_with_path(t).select(
