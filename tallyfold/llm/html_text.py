@@ -2,15 +2,17 @@
 
 A page is parsed leniently into a tree: elements, and under them runs of text between block boundaries. Every node is
 either content or not. A node potential comes from its features (tag, words of class, id and role, and for text its
-length, link share, and punctuation), an edge potential from how often a child agrees with its parent, apart for
-parents that announce themselves as something else, as the main part, or as neither. Sum-product messages go up from the leaves and down again, which gives each run's exact marginal; runs above one half are the text.
+length, link share, and punctuation). Elements inside a line are nodes under their run if they have a class, id, role or
+hidden mark: text of one that announces itself as something else leaves its run, however the run is decided. An edge potential from how often a child agrees with its parent, apart for
+parents that announce themselves as something else, as the main part, as a run, or as nothing. Sum-product messages go up from the leaves and down again, which gives each run's exact marginal; runs above one half are the text, without inline parts below half of what is around them.
 
 The potentials are smoothed counts over labelled pages: of at most about ``SAMPLE`` pages, chosen by hash, those with
 one article (or main) element label their own nodes: content inside it, apart from parts that announce themselves as
 something else. Fixed pseudo-counts stand for what no sample page shows.
 
 Character references are decoded, white space inside a run becomes one space (so does a line break element), runs are
-joined by line feeds in page order. Scripts, styles, comments and other raw or hidden elements have no text. Null and
+joined by line feeds in page order. Scripts, styles, comments, form controls and other raw elements have no text;
+formulas and drawings have. Null and
 empty pages give empty text. Pages of any length are read whole, repeated rows each come back, an empty table gives an
 empty result.
 """
@@ -19,8 +21,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -40,10 +42,11 @@ NAME = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 #: Fixed word lists: elements without end tag, without text, inside a line, and names that announce a part.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math object select button".split())
+RAW = set("script style noscript template textarea title iframe select button annotation desc metadata".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike"
-    " strong sub sup time tt u var wbr".split())
+    " strong sub sup time tt u var wbr math semantics mi mn mo ms mtext mrow mstyle mspace msup msub msubsup mfrac msqrt"
+    " mroot mover munder munderover".split())
 CONTENT_NAMES = set("article main content post entry story body text".split())
 OTHER_NAMES = set(
     "nav navigation menu menubar header masthead banner footer contentinfo aside sidebar complementary notice notices"
@@ -51,15 +54,18 @@ OTHER_NAMES = set(
     " subscribe newsletter search comment comments reply replies discussion disqus respond share sharing social"
     " related recommended breadcrumb breadcrumbs pager pagination widget popup modal toolbar dialog legal copyright"
     " skip alert hidden disclaimer".split())
+#: Of these, names that say nothing of an element inside a line.
+NOT_INLINE = set("header search alert discussion legal comment".split())
 CLOSES_PARAGRAPH = set(
     "address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav"
     " ol p pre section table ul".split())
+ENDS_AT = CLOSES_PARAGRAPH - {"p"} | {"td", "th", "button"}
 CLOSED_BY_SAME = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 
 #: Fixed pseudo-counts: feature -> (not content, content); edges by kind of parent -> (parent, child).
 PSEUDO = {"other": (40.0, 0.1), "main": (1.0, 8.0), "sign": (6.0, 0.3)}
-KINDS = ["plain", "other", "main"]
-EDGES = [((12.0, 1.0), (1.0, 12.0)), ((500.0, 1.0), (1.0, 12.0)), ((4.0, 1.0), (1.0, 12.0))]
+KINDS = ["plain", "other", "main", "run"]
+EDGES = [((12.0, 1.0), (1.0, 12.0)), ((500.0, 1.0), (1.0, 12.0)), ((4.0, 1.0), (1.0, 12.0)), ((12.0, 1.0), (1.0, 1.5))]
 EDGE_WEIGHT = 20.0
 ROOT = (3.0, 1.0)
 STRENGTH = 400.0  # labelled nodes that weigh as much as they count; more of them sharpen no further
@@ -68,14 +74,21 @@ MOST, MOST_NAMED = 1.5, 7.0
 
 
 class Page:
-    """A parsed page: for each node its parent, features and, for runs, their text."""
+    """A parsed page: for each node its parent, features and, for runs, their text.
+
+    ``pieces`` has, for runs with inline nodes, their text piece by piece with the node that each belongs to.
+    """
 
     def __init__(self, html: str):
         self.parents, self.tags, self.features, self.texts = [-1], ["#"], [[]], [None]
         self.stack = [0]
         self.inside, self.kinds = [False], [0]
-        self.opened: Counter = Counter()
-        self._pieces: list[tuple[str, bool]] = []
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
+        self.pieces: dict[int, list[tuple[str, int]]] = {}
+        self._pieces: list[tuple[str, bool, int]] = []
+        self._run = 0
+        self._inline: list[list] = []
+        self._inline_open: Counter = Counter()
         self._parse(html)
 
     def _node(self, parent: int, tag: str, features: list[str], text: str | None, inside: bool) -> int:
@@ -87,21 +100,62 @@ class Page:
         self.kinds.append(0)
         return len(self.tags) - 1
 
+    def _piece(self, text: str, in_link: bool) -> None:
+        """Text of the run at hand. The first that shows starts the run's node, and those of the open inline elements."""
+        if not self._run and text.strip():
+            self._run = self._node(self.stack[-1], "text", [], None, self.inside[self.stack[-1]])
+        owner = self._run
+        if owner:
+            for entry in self._inline[self._ready:]:
+                tag, features, _, _ = entry
+                outer = self._inline[self._ready - 1][3] if self._ready else owner
+                if features:
+                    self.kinds[owner] = KINDS.index("run")
+                    outer = self._node(outer, tag, features, None, self.inside[owner])
+                entry[3] = outer
+                self._ready += 1
+            owner = self._inline[-1][3] if self._inline else owner
+        self._pieces.append((text, in_link, owner))
+
+    def _open_inline(self, tag: str, attributes: str) -> None:
+        """A node to be, if it has names; inside code and preformatted text names are those of a highlighter."""
+        features, _ = self._features(tag, attributes, NOT_INLINE) if attributes else ([], False)
+        plain = len(features) < 2 or self.places["pre"] or self._inline_open["code"]
+        self._inline.append([tag, None if plain else features, len(self.stack), 0])
+        self._inline_open[tag] += 1
+
+    def _close_inline(self, tag: str) -> None:
+        while self._inline_open[tag] > 0:
+            last = self._inline.pop()[0]
+            self._inline_open[last] -= 1
+            self._ready = min(self._ready, len(self._inline))
+            if last == tag:
+                return
+
+    def _carry_inline(self) -> None:
+        """Of inline elements open over a block boundary only the outermost that is something else goes on."""
+        others = [e for e in self._inline if e[1] and "other" in e[1] and e[2] <= len(self.stack)][:1]
+        self._inline = [[*e[:3], 0] for e in others]
+        self._inline_open = Counter(e[0] for e in others)
+
     def _flush(self) -> None:
         """End the run of text before a block boundary."""
-        pieces, self._pieces = self._pieces, []
-        text = " ".join("".join(p for p, _ in pieces).split())
-        if text:
-            linked = sum(len(p) for p, in_link in pieces if in_link) / sum(len(p) for p, _ in pieces)
+        pieces, run = self._pieces, self._run
+        self._pieces, self._run, self._ready = [], 0, 0
+        text = " ".join("".join(p for p, _, _ in pieces).split())
+        if run:
+            linked = sum(len(p) for p, in_link, _ in pieces if in_link) / sum(len(p) for p, _, _ in pieces)
             words = text.count(" ") + 1
             prose = "prose" if words >= 8 and re.search(r"[.!?…]", text) else "plain"
             features = [f"{prose}, {min(6, int(math.log2(words)))}, {round(3 * linked)}"]
-            if "©" in text[:200] or "all rights reserved" in text.lower()[:500]:
+            if "©" in text or "all rights reserved" in text.lower():
                 features.append("sign")
-            self._node(self.stack[-1], "text", features, text, self.inside[self.stack[-1]])
+            self.features[run], self.texts[run] = features, text
+            if self.kinds[run]:
+                self.pieces[run] = [(p, owner or run) for p, _, owner in pieces]
 
-    def _open(self, tag: str, attributes: str) -> None:
-        inside = self.inside[self.stack[-1]] or tag in ("article", "main")
+    def _features(self, tag: str, attributes: str, ignored: Iterable[str] = ()) -> tuple[list[str], bool]:
+        """Features of an element, and whether it announces itself as something else."""
         features, names = [f"<{tag}>"], {tag}
         for m in ATTRIBUTE.finditer(attributes):
             value = m[2] or m[3] or m[4] or ""
@@ -111,41 +165,37 @@ class Page:
                 names.update(name.lower() for name in NAME.findall(value))
         if tag in ("html", "body"):
             names = set()
-        named = names & OTHER_NAMES
-        if tag == "header" and named == {"header"} and inside:
-            named = set()
+        named = (names & OTHER_NAMES).difference(ignored)
         if named:
             features.append("other")
         elif names & CONTENT_NAMES:
             features.append("main")
-        features += sorted(f".{name}" for name in names - {tag})
+        return features + sorted(f".{name}" for name in names - {tag}), bool(named)
+
+    def _open(self, tag: str, attributes: str) -> None:
+        inside = self.inside[self.stack[-1]] or tag in ("article", "main")
+        features, named = self._features(tag, attributes, {"header"} if tag == "header" and inside else ())
+        self.places[tag].append(len(self.stack))
         self.stack.append(self._node(self.stack[-1], tag, features, None, inside))
-        self.opened[tag] += 1
         self.kinds[self.stack[-1]] = KINDS.index("other") if named else KINDS.index("main") if "main" in features else 0
 
     def _end(self, at: int) -> None:
         """End the open element at a place of the stack, and all inside it."""
-        self.opened.subtract(self.tags[node] for node in self.stack[at:])
+        for node in self.stack[at:]:
+            self.places[self.tags[node]].pop()
         del self.stack[at:]
 
     def _close(self, tag: str) -> None:
-        if self.opened[tag] > 0:
-            at = len(self.stack) - 1
-            while self.tags[self.stack[at]] != tag:
-                at -= 1
-            self._end(at)
+        if self.places[tag]:
+            self._end(self.places[tag][-1])
 
     def _imply(self, tag: str) -> None:
-        """End elements that a start tag ends unsaid."""
-        same, until = ("p", {"td", "th", "button"}) if tag in CLOSES_PARAGRAPH else (tag, CLOSED_BY_SAME.get(tag))
-        if until is None:
-            return
-        for at in range(len(self.stack) - 1, max(0, len(self.stack) - 64), -1):
-            name = self.tags[self.stack[at]]
-            if name == same:
+        """End elements that a start tag ends unsaid: the innermost of its like, if nothing open inside that forbids it."""
+        same, until = ("p", ENDS_AT) if tag in CLOSES_PARAGRAPH else (tag, CLOSED_BY_SAME.get(tag, set()))
+        if until and self.places[same]:
+            at = self.places[same][-1]
+            if all(not self.places[name] or self.places[name][-1] < at for name in until):
                 self._end(at)
-            if name == same or name in until or same == "p" and name in CLOSES_PARAGRAPH:
-                return
 
     def _tag_end(self, html: str, at: int) -> int:
         """Where the tag ends whose name ends at a place, quoted values of any length left out; 0 if it doesn't.
@@ -172,6 +222,7 @@ class Page:
     def _parse(self, html: str) -> None:
         at, links, unclosed = 0, 0, set()
         self._endless, self._unquoted = set(), set()
+        self._ready = 0  # so many of the open inline elements know which node of the run their text belongs to
         while m := TOKEN.match(html, at):
             start, at = at, m.end()
             ends, tag, attributes = bool(m[1] or m[4]), (m[2] or m[5] or "").lower(), m[3] or m[6] or ""
@@ -179,7 +230,7 @@ class Page:
                 at, ends, tag, attributes = end, bool(name[1]), name[2].lower(), html[name.end():end - 1]
             if not tag:
                 if m[0][0] != "<" or len(m[0]) == 1:
-                    self._pieces.append((unescape(m[0]), links > 0))
+                    self._piece(unescape(m[0]), links > 0)
                 continue
             if tag in RAW:
                 if ends or tag in unclosed:
@@ -194,7 +245,11 @@ class Page:
             if tag in INLINE:
                 links = max(0, links + (1, -1)[ends]) if tag == "a" else links
                 if tag == "br":
-                    self._pieces.append((" ", False))
+                    self._piece(" ", False)
+                elif ends:
+                    self._close_inline(tag)
+                elif tag not in VOID:
+                    self._open_inline(tag, attributes)
                 continue
             self._flush()
             links = 0
@@ -203,6 +258,7 @@ class Page:
             elif tag not in VOID:
                 self._imply(tag)
                 self._open(tag, attributes)
+            self._carry_inline()
         self._flush()
 
     def labels(self) -> list[int] | None:
@@ -277,7 +333,25 @@ class Model:
             return ""
         page = Page(html)
         content = self.marginals(page)
-        return "\n".join(t for t, p in zip(page.texts, content, strict=True) if t is not None and p > 0.5)
+        return "\n".join(filter(None, (self._shown(page, content, n) for n, p in enumerate(content) if p > 0.5)))
+
+    @staticmethod
+    def _shown(page: Page, content: list[float], run: int) -> str | None:
+        """The text of a run that is content, without its inline parts that are not, given that it is."""
+        if run not in page.pieces:
+            return page.texts[run]
+        shown, kept = {run: True}, []
+        for piece, owner in page.pieces[run]:
+            chain = []
+            while owner not in shown:
+                chain.append(owner)
+                owner = page.parents[owner]
+            for node in reversed(chain):
+                shown[node] = shown[owner] and content[node] > content[run] / 2
+                owner = node
+            if shown[owner]:
+                kept.append(piece)
+        return " ".join("".join(kept).split())
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

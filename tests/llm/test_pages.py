@@ -141,3 +141,46 @@ def test_templates_generalise_and_reject(make):
     forms = make("host string, form string, pages long", [("h", "/a/#", 9), ("h", "/b/#", 9), *[("h", f"/c/{chr(97 + i)}", 1) for i in range(20)]])
     shapes = {r.form: "/".join(r.segments) for r in url_filter.templates(forms).collect()}
     assert shapes["/a/#"] == "a/#" and shapes["/c/a"] == "c/*"
+
+
+@pytest.mark.parametrize("inner, expected", [
+    ('One <span class="advert">buy now</span> two, and so on it goes.', "One two, and so on it goes."),
+    ("One <span hidden>secret</span>two <b>three</b>, and so on it goes.", "One two three, and so on it goes."),
+    ('One <em class="strong-mark">two</em> three <a href=x class=term>four</a>.', "One two three four."),
+    ('One <span class=ad>buy <span>now</span> and here</span> two <span class=ad>more</span> three <i class=promo>x</i> four.', "One two three four."),
+    ('See <code><span class="comment share">x = 1</span></code> there.', "See x = 1 there."),
+    ('Then <math><mi>a</mi><mo>+</mo><mi>b</mi></math> holds.', "Then a+b holds."),
+    ('<span class="header">Big</span> words.', "Big words."),
+    ("<span style='display: none'>not shown</span>", ""),
+])
+def test_inline_parts(model, inner, expected):
+    page = f"<body><nav><a href=x>Home</a></nav><article><h1>Title</h1>{PROSE}<p>{inner}</p>{PROSE}</article></body>"
+    assert model.text(page) == "\n".join(filter(None, ["Title", TEXT, expected, TEXT]))
+
+
+def test_inline_elements_around_blocks_and_left_open(model):
+    around = f"<article>{PROSE}<span class=advert><div>Buy this, it is good. Really good, they say.</div></span>{PROSE}</article>"
+    assert model.text(around) == f"{TEXT}\n{TEXT}"
+    left_open = f"<article>{PROSE}<p>One two <span class=advert>buy</p>{PROSE}</article>"
+    assert model.text(left_open) == f"{TEXT}\nOne two\n{TEXT}"
+
+
+def test_signs_far_into_a_run_and_ends_far_up_the_tree():
+    assert "sign" in html_text.Page(f"<p>{'word ' * 500} All rights reserved").features[2]
+    page = html_text.Page(f"<ul><li>{'<div>' * 70}one<li>two</ul>")
+    items = [n for n, tag in enumerate(page.tags) if tag == "li"]
+    assert [page.parents[n] for n in items] == [1, 1], "the second item ends the first, however deep that is"
+    nested = html_text.Page("<ul><li>a<ul><li>b</ul><li>c</ul><p>x<table><tr><td><p>y</table>")
+    assert [nested.tags[nested.parents[n]] for n, t in enumerate(nested.tags) if t in ("li", "p")] == ["ul", "ul", "ul", "#", "td"]
+
+
+def test_messages_with_inline_nodes(model):
+    page = html_text.Page("<article><p>One <span class=advert>buy <i class=x>it</i></span> two <b id=y>three</b></p></article>")
+    assert "run" in [html_text.KINDS[k] for k in page.kinds]
+    assert model.marginals(page) == pytest.approx(brute_marginals(model, page), abs=1e-9)
+
+
+@pytest.mark.parametrize("html", [
+    "<span class=ad>x" * 30_000, "<div><span class=ad>x" * 20_000, "<b class=q>x</i>" * 30_000, "<b><i class=z>" * 30_000 + "x</b>" * 30_000])
+def test_broken_inline_elements_take_linear_time(model, html):
+    test_broken_pages_take_linear_time(model, html)
