@@ -72,7 +72,61 @@ URL_RULES = [
 ]
 
 
-@query("op5_url_filter")
+def _fitting_sql(column: str) -> str:
+    """What the longest rule that fits says: its text or its verdict."""
+    by_length = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+    cases = "".join(
+        f" WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+        f" THEN '{host + path if column == 'rule' else verdict}'" for verdict, host, path in by_length)
+    return f"CASE{cases} END AS {column}"
+
+
+@query("op5_url_filter", f"""
+    WITH rest AS (
+        SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    parts AS (
+        SELECT page_id, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, translate(regexp_extract(rest, '^[^/?#]*'),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM rest),
+    ruled AS (
+        SELECT *, regexp_replace(path, '[0-9]+', '#', 'g') AS form, {_fitting_sql("rule")}, {_fitting_sql("verdict")} FROM parts),
+    forms AS (
+        SELECT host, form, count(DISTINCT path) AS paths, count(DISTINCT path) FILTER (rule IS NOT NULL) AS labelled,
+            count(DISTINCT path) FILTER (verdict = 'block') AS bad FROM ruled GROUP BY host, form),
+    cells AS (
+        SELECT host, form, paths, depth, string_split(ltrim_one, '/')[depth] AS cell,
+            array_to_string(string_split(ltrim_one, '/')[1:depth - 1], '/') AS above
+        FROM (SELECT *, regexp_replace(form, '^/', '') AS ltrim_one FROM forms),
+            unnest(range(1, len(string_split(ltrim_one, '/')) + 1)) AS t(depth)),
+    wide AS (
+        SELECT host, above, depth FROM (
+            SELECT host, above, depth, cell, sum(paths) AS paths FROM cells GROUP BY ALL)
+        GROUP BY host, above, depth HAVING count(*) >= {url_filter.BRANCHES} AND avg(paths) < {url_filter.PATHS_PER_BRANCH}),
+    general AS (
+        SELECT host, form, depth, CASE WHEN EXISTS (SELECT 1 FROM wide WHERE wide.host = cells.host AND wide.above = cells.above
+            AND wide.depth = cells.depth) THEN '*' ELSE cell END AS cell FROM cells),
+    marked AS (
+        SELECT *, max(depth) FILTER (cell <> '' AND NOT regexp_full_match(cell, '[#*.a-z]*[#*][#*.a-z]*'))
+            OVER (PARTITION BY host, form) AS hole FROM general),
+    shaped AS (
+        SELECT host, form, string_agg(cell, '/' ORDER BY depth) AS template,
+            string_agg(CASE WHEN depth = hole THEN '{{}}' ELSE cell END, '/' ORDER BY depth) AS family
+        FROM marked GROUP BY host, form),
+    own AS (
+        SELECT host, family, template, sum(labelled) AS labelled, sum(bad) AS bad
+        FROM shaped JOIN forms USING (host, form) GROUP BY ALL),
+    shares AS (
+        SELECT *, sum(bad) OVER (PARTITION BY host, family) / nullif(sum(labelled) OVER (PARTITION BY host, family), 0) AS joint
+        FROM own),
+    merged AS (
+        SELECT *, coalesce(abs(bad / labelled - joint) <= {url_filter.SIMILAR} * sqrt(joint * (1 - joint) / labelled), false) AS near
+        FROM (SELECT * REPLACE (nullif(labelled, 0) AS labelled) FROM shares)),
+    judged AS (
+        SELECT host, template, (sum(coalesce(labelled, 0) - bad) OVER branch + {url_filter.SMOOTHING})
+            / (sum(coalesce(labelled, 0)) OVER branch + 2 * {url_filter.SMOOTHING}) < 0.5 AS rejected
+        FROM merged WINDOW branch AS (PARTITION BY host, near, CASE WHEN near THEN family ELSE template END))
+    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN rejected THEN 'block' ELSE 'allow' END) AS verdict
+    FROM ruled LEFT JOIN shaped USING (host, form) LEFT JOIN judged USING (host, template)
+""")
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(read(spark, sf_dir, "pages"), URL_RULES)
 

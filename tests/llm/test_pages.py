@@ -184,3 +184,27 @@ def test_messages_with_inline_nodes(model):
     "<span class=ad>x" * 30_000, "<div><span class=ad>x" * 20_000, "<b class=q>x</i>" * 30_000, "<b><i class=z>" * 30_000 + "x</b>" * 30_000])
 def test_broken_inline_elements_take_linear_time(model, html):
     test_broken_pages_take_linear_time(model, html)
+
+
+def test_verdicts_against_sql(make):
+    import random
+    from collections import Counter
+
+    import duckdb
+
+    from tallyfold.llm.queries import SQL
+
+    chance = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    urls = [*URLS, "http://x.com//", "http://x.org/?a//b", "http://x.org/a\n/b"]
+    urls += [f"http://h.net/{chance.choice(['es', 'fr', *letters])}/{chance.choice(['buy', 'x1', 'Y-2'])}{chance.choice(['', '/', '?q', '#f'])}" for _ in range(300)]
+    urls += [f"http://www.i.net/{chance.choice(['es', 'fr', 'de'])}/{chance.choice(letters)}{chance.choice('xy')}/{chance.choice(['Buy', 'Sell'])}" for _ in range(300)]
+    urls += [f"http://{chance.choice('ab')}.org/{chance.choice(['es', 'x'])}/p{chance.randrange(99)}/{chance.choice(['A', 'B'])}" for _ in range(200)]
+    rows = [(i % 700, url) for i, url in enumerate(urls + urls[::3])]
+    columns = "page_id, host, path, rule, verdict"
+    got = Counter(map(tuple, url_filter.judged(make("page_id long, url string", rows), URL_RULES).select(*columns.split(", ")).collect()))
+    base = duckdb.connect()
+    base.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR)")
+    base.executemany("INSERT INTO pages VALUES (?, ?)", rows)
+    assert got == Counter(base.execute(f"SELECT {columns} FROM ({SQL['op5_url_filter']})").fetchall())
+    assert {r[4] for r in got if r[3] is None and r[1] == "h.net"} == {"allow", "block"}, "templates are rejected here"
