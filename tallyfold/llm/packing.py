@@ -2,7 +2,9 @@
 
 Every document is its ids with an end id. Ids are made once and kept in the shared checkpoint folder. Documents are
 dealt by hash into blocks of about ``BLOCK_TOKENS`` ids, whatever the source, so a source with a third of all rows is
-spread over all blocks. The blocks form one gapless stream of windows of ``length`` ids: how many ids of each source
+spread over all blocks. The hash is over ``doc_id`` and the ids, and for rows without ``doc_id`` over their place too,
+which is stored with them; so neither missing nor repeated ids, nor copies without one, meet in one block. Only rows with the same ``doc_id`` and
+the same text do. The blocks form one gapless stream of windows of ``length`` ids: how many ids of each source
 come before a block follows from sums over (block, source), and so do the window where the block starts and the
 deficit each source carries into it (target share of all ids so far, less what it has had). Within a block the
 sources are queues. Each window adds the target shares to the deficits and serves the queue with the largest
@@ -177,6 +179,11 @@ def served(queues: list[Queue], position: int, length: int, quantum: int) -> Ite
                 waiting.remove(queue)
 
 
+def dealt(tokens: DataFrame, blocks: int) -> DataFrame:
+    """Tokenized rows with the block of each."""
+    return tokens.withColumn("block", F.pmod(F.xxhash64("doc_id", "ids", "place"), F.lit(blocks))).drop("place")
+
+
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 )
@@ -187,9 +194,10 @@ def packed(
     mixture: dict[str, float] | None = None, end_id: int = 1, with_ids: bool = False,
 ) -> DataFrame:
     """One row per piece; ``ids`` (unsigned 32-bit, little-endian) are filled in on request."""
-    tokens = checkpointed(tokenized(docs, path, end_id))
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    tokens = checkpointed(tokenized(docs, path, end_id).withColumn("place", place))
     blocks = (tokens.agg(F.sum("n")).first()[0] or 0) // BLOCK_TOKENS + 1
-    tokens = tokens.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    tokens = dealt(tokens, blocks)
     dtype = word_ids(path).dtype
 
     def pack(documents: pa.Table, carry: pa.Table) -> pa.Table:

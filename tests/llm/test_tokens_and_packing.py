@@ -114,3 +114,25 @@ def test_any_mixture_uses_every_id(make, monkeypatch):
     docs = make("doc_id long, text string, source string", [(i, "word " * 99, "ab"[i % 4 == 0]) for i in range(100)])
     for mixture in ({"a": 0.5, "b": 0.5}, {"b": 1.0}, {}):
         check_layout(packing.packed(docs, WORDS, 1_000, quantum=50, mixture=mixture).collect(), docs, 1_000)
+
+
+@pytest.mark.parametrize("text", [lambda i: "", lambda i: "word " * 99, lambda i: f"text {i} " * 40])
+@pytest.mark.parametrize("key", [None, 7])
+def test_rows_that_share_or_lack_an_id_are_spread(make, monkeypatch, text, key):
+    """A third of all rows has no doc_id or the same one; copies of one text with the same id are one key."""
+    if key is not None and text(1) == text(2):
+        pytest.skip("rows that are equal in every way")
+    sizes = []
+    plain = packing.dealt
+    monkeypatch.setattr(packing, "BLOCK_TOKENS", 16_384)
+    monkeypatch.setattr(packing, "dealt", lambda tokens, blocks: sizes.append(
+        [r[1] for r in plain(tokens, blocks).groupBy("block").sum("n").collect()]) or plain(tokens, blocks))
+    docs = make("doc_id long, text string, source string", [
+        (key if i % 3 == 0 else i, text(i) if i % 3 == 0 else f"word {i} " * 50, "ab"[i % 2]) for i in range(3_000)])
+    rows = packing.packed(docs, WORDS, 1_000).collect()
+    assert sum(r.length for r in rows) == sum(sizes[0]) and sum(r.doc_tokens for r in rows if r.start == 0) == sum(sizes[0])
+    place = 0
+    for row in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert row.sequence_id * 1_000 + row.offset == place
+        place += row.length
+    assert len(sizes[0]) > 5 and max(sizes[0]) < 2 * 16_384
