@@ -148,3 +148,27 @@ def test_sketches_of_days_unite(make):
     wanted = len({v for d, v in rows if d <= "2025-03-03" and v is not None})
     assert abs(distinct_in(daily, first).first()["estimate"] - wanted) <= wanted * 0.03
     assert distinct_in(daily, days("2024-01-01", "2024-01-02")).first()["estimate"] == 0
+
+
+def test_rows_of_a_large_group_stay_where_they_are(make):
+    """Limits go to the rows: joined by the group, most rows would be sorted by one task."""
+    rows = [(i, "a" if i % 10 else None, float(i % 97) if i else 1e6) for i in range(2_000)]
+    found = dq.outliers(make("id int, g string, v double", rows), "v", "g")
+    assert [r.id for r in found.collect()] == [0]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+@pytest.mark.parametrize("few, shrunk", [(0, 32), (20_000, 1), (20_000, 10**9)])
+def test_quantiles_are_the_same_by_group_and_by_row(make, monkeypatch, few, shrunk):
+    from tallyfold.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "FEW", few)
+    monkeypatch.setattr(quantiles, "SHRUNK", shrunk)
+    chance, values = random.Random(5), {None: [0.0, -0.0], 1: [7.0] * 50 + [8.0], 2: []}
+    values[2] = [chance.choice([-1, 1]) * 10 ** chance.uniform(-9, 9) for _ in range(500)]
+    rows = [(g, v) for g, some in values.items() for v in some] + [(1, None), (1, float("nan")), (3, float("inf"))]
+    found = {r.of_group.value: (r.n, r.q) for r in group_quantiles(make("g int, v double", rows), "v", "g", [0.25, 0.5]).collect()}
+    assert found.keys() == values.keys()
+    for g, some in values.items():
+        assert found[g][0] == len(some) and found[g][1] == pytest.approx(list(np.quantile(some, [0.25, 0.5])), rel=1e-9)
