@@ -35,6 +35,7 @@ from tallyfold.operators.compare import (
 from tallyfold.session import shared_folder
 
 WAVE = 16
+ROWS_PER_TASK = 100_000
 # Fixed value: characters of an error or reason that a log keeps.
 REASON_LENGTH = 200
 CELL = "struct<number: double, text: string>"
@@ -247,7 +248,10 @@ def label_results(items: DataFrame, gold: DataFrame, pred: DataFrame, **how) ->
     compared_ = cases.where(F.col("rule").isin("ordered", "multiset", "projection")).select(
         "qid", "ordered", "rule", "gold_columns", "pred_columns")
     place = F.when(F.col("ordered"), F.col("at")).alias("place")
-    golds, preds = (frame.join(compared_, "qid").select("qid", "rule", place, "cells") for frame in (gold, pred))
+    # A task sorts and collapses all rows it gets, so their number decides how many tasks there are, not their compressed bytes.
+    rows = cases.agg(F.sum(F.col("gold_rows") + F.col("pred_rows"))).first()[0] or 0
+    dealt = (frame.repartition(rows // ROWS_PER_TASK + 1, "qid") for frame in (gold, pred))
+    golds, preds = (frame.join(compared_, "qid").select("qid", "rule", place, "cells") for frame in dealt)
     wider = (frame.where(F.col("rule") == "projection").select("qid", "cells") for frame in (golds, preds))
     straight = compared_.where(F.col("rule") != "projection").select(
         "qid", F.lit(0).cast("long").alias("choice"), aligned_picks(F.col("gold_columns"), F.col("pred_columns")).alias("picks"))

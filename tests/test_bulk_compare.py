@@ -161,3 +161,18 @@ def test_empty(make):
     row = bulk_compare.label_results(make(ITEMS, [(1, ["a"], ["b", "c"], False, None)]), make(ROWS, []), make(ROWS, [])).first()
     assert (row["correct"], row["rule"], row["gold_rows"]) == (True, "both_empty", 0)
     assert bulk_compare.column_fingerprints(make(ROWS, [])).agg(F.count("*")).first()[0] == 0
+
+
+def test_rows_decide_the_number_of_tasks(make, monkeypatch):
+    """The rows a task sorts stay bounded however well they compress."""
+    monkeypatch.setattr(bulk_compare, "ROWS_PER_TASK", 40)
+    cell = lambda v: [(float(v), None)]
+    gold = make(f"qid long, at long, cells array<{bulk_compare.CELL}>", [(q, i, cell(i)) for q in range(20) for i in range(20)])
+    pred = make(f"qid long, at long, cells array<{bulk_compare.CELL}>", [(q, i, cell(i + 5 * (q == 3 and i == 19))) for q in range(20) for i in range(20)])
+    items = make("qid long, gold_columns array<string>, pred_columns array<string>, ordered boolean, error string",
+                 [(q, ["v"], ["v"], True, None) for q in range(20)])
+    counts, dealt = [], type(gold).repartition
+    monkeypatch.setattr(type(gold), "repartition", lambda self, n, *by: counts.append(n) or dealt(self, n, *by))
+    got = {r.qid: (r.correct, r.first_mismatch) for r in bulk_compare.label_results(items, gold, pred).collect()}
+    assert counts == [21, 21]
+    assert got == {q: (False, 19) if q == 3 else (True, None) for q in range(20)}
