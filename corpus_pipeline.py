@@ -2,7 +2,8 @@
 
 1. Language ID: documents without a recognisable language go.
 2. Exact dedup: of texts equal but for white space one row stays.
-3. SimHash near-dedup: of documents linked by five-word shingles at a similarity of 0.8 the smallest doc_id stays.
+3. SimHash near-dedup: of documents linked by their fingerprints at 2 or fewer differing bits, or beyond that by five-word
+   shingles at a similarity of 0.8, the smallest doc_id stays.
 4. Benchmark decontamination: documents that hold a benchmark item go.
 5. Packing: what is left becomes sequences of 2048 ids, with the ids of each piece.
 """
@@ -28,7 +29,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     short_batches(spark)
-    near = simhash.near_duplicates(docs)
+    near = simhash.all_copies(docs)
     return docs.join(near.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
 
 

@@ -325,3 +325,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         F.min("least").alias("component_id"), F.max("most").alias("most")).where("component_id < most").drop("most")
     grouped = every.join(groups, "component").select("key", "component_id")
     return sketches.select("doc_id", "key").join(grouped, "key").select("doc_id", "component_id").distinct()
+
+
+def all_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, component_id) of the documents with a copy: linked by their fingerprints (``linked``), a link that no other
+    measure overrules, or a near duplicate further away (``near_duplicates``); chains of both kinds are one component."""
+    prints = linked(docs.where("doc_id IS NOT NULL")).where("doc_id <> component_id").select("doc_id", "component_id")
+    edges = checkpointed(prints.union(near_duplicates(docs).where("doc_id <> component_id")))
+    return components(edges).toDF("doc_id", "component_id")

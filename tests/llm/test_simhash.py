@@ -163,3 +163,16 @@ def test_odd_and_empty(odd_docs, no_docs):
     assert len(simhash.linked(odd_docs).collect()) == len(TEXTS)
     assert {r.component_id for r in simhash.near_duplicates(odd_docs).collect()} <= {1, 2, 5}
     assert simhash.linked(no_docs).collect() == [] and simhash.near_duplicates(no_docs).collect() == []
+
+
+def test_pipeline_drops_what_fingerprints_link(make):
+    """Words that repeat outweigh those that differ: no differing bit, though the sets of shingles have little in common."""
+    import corpus_pipeline
+
+    rows = [(i, "a b c " * 400 + " ".join(f"w{i}x{k}" for k in range(40))) for i in range(3)] + [
+        (5, "some other text of its own"), (None, "a b c " * 400)]
+    docs = make("doc_id long, text string", rows)
+    links = {r.doc_id: r.component_id for r in simhash.linked(docs.where("doc_id IS NOT NULL")).collect()}
+    assert [links[i] for i in range(3)] == [0, 0, 0] and simhash.near_duplicates(docs).collect() == []
+    kept = corpus_pipeline.drop_near_copies(docs.sparkSession, docs, "").collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id) for r in kept) == [-1, 0, 5]
