@@ -4,19 +4,24 @@ Four base patterns (e-mail, IPv4 address, payment card, phone) are always report
 further spans, which overlap: from each group of digits, every run of whole groups that could be an IPv4 address (four
 short groups), a card (13 to 19 digits) or a phone (7 to 15), with up to six signs of noise between groups and no
 limit on the length of the text around them; and spelled-out addresses. Gradient-boosted trees score a candidate by
-its format and its surroundings. They are trained on at most ``SAMPLE`` candidates, half of each label, first by hash,
-from about ``SAMPLE_DOCS`` documents chosen by hash: the generators' own finds, labelled by whether a base pattern
-reports the same span, and copies of the base finds with noise put between the groups, which keep their label, while
-other spans inside such a copy do not; finds that a base pattern would report without their noise are not held against
-the model. A quarter of the sample sets one threshold per kind: half-way below the lowest score down to which the
-smoothed precision, weighted back to the documents' own shares, is ``PRECISION``. Of the candidates that reach it and
-overlap no base span, the best scored of those that overlap each other is added (ties: the earlier, then the longer).
+its format and its surroundings. They learn from every text: the generators' own finds, labelled by whether a base
+pattern reports the same span, and copies of the base finds with noise put between the groups, which keep their label,
+while other spans inside such a copy do not; finds that a base pattern would report without their noise are not held
+against the model. Features take few values (``level``), so equal examples are counted where they arise and once more
+over all tasks, and the trees learn from the distinct ones, weighted by their counts (both labels weigh the same).
+``BINS`` is wide enough for Spark to look for splits among a million distinct examples.
+
+The texts are in two halves, by hash. A model of each half scores the other, so every example has a score of a model
+that has not seen its text; from these scores comes one threshold per kind: half-way below the lowest score down to
+which the smoothed precision over all examples is ``PRECISION``. The model of all examples scores the candidates. Of
+those that reach the threshold and overlap no base span, the best scored of those that overlap each other is added
+(ties: the earlier, then the longer).
 
 Base spans, candidates, scores and the choice are narrow steps over each partition, in the order of the text: nothing
-but the sample is shuffled or stored, and a text's candidates pass in bounded batches.
+but the counted examples is shuffled or stored, and a text's candidates pass in bounded batches.
 
 Spans are code points, end exclusive. Null text is empty: no spans. Rows repeated with one ``doc_id`` each come back.
-Without both labels in the sample no model is trained and only base spans are reported. An empty table gives an
+Without both labels in both halves no model is trained and only base spans are reported. An empty table gives an
 empty result.
 """
 
@@ -24,8 +29,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from math import log2
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
@@ -36,12 +44,12 @@ from pyspark.sql import functions as F
 from tallyfold.llm.common import checkpointed, whole_text
 
 KINDS = ["email", "ip", "card", "phone"]
-SAMPLE = 20_000
-SAMPLE_DOCS = 50_000
 PRECISION = 0.95
 ROUNDS = 20
 DEPTH = 4
 LEAF = 10
+BINS = 1024
+STEPS = 10_000
 
 #: Base patterns (fixed); quantifiers that cannot give back keep the search linear.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -145,6 +153,11 @@ def proposals(text: str) -> Iterator[tuple[int, int, int]]:
         yield from ((0, *m.span()) for m in SPELLED.finditer(text))
 
 
+def level(n: int) -> float:
+    """A number as it is up to 24, then the nearest lower of eight steps per doubling."""
+    return float(n if n <= 24 else 24 + int(8 * log2(n / 24)))
+
+
 def features(text: str, kind: int, start: int, end: int) -> list[float]:
     """Format of the span and what surrounds it."""
     span, before, after = text[start:end], text[max(0, start - 24):start], text[end:end + 24]
@@ -153,13 +166,13 @@ def features(text: str, kind: int, start: int, end: int) -> list[float]:
     others = re.sub(r"[0-9A-Za-z]", "", span)
     near = before + after
     return [
-        *(float(kind == k) for k in range(4)), float(len(digits)), float(end - start), float(len(others)),
-        float(len(set(others))), float(len(groups)), float(max(map(len, groups), default=0)),
+        *(float(kind == k) for k in range(4)), level(len(digits)), level(end - start), level(len(others)),
+        level(len(set(others))), level(len(groups)), level(max(map(len, groups), default=0)),
         float(span.startswith("+")), float("(" in span), float(luhn(digits) if digits else 0),
         float(len(groups) == 4 and all(len(g) <= 3 and int(g) <= 255 for g in groups)),
-        float(span.count(".")), float(span.count("@")), float(before[-1:].isalnum()), float(after[:1].isalnum()),
+        level(span.count(".")), level(span.count("@")), float(before[-1:].isalnum()), float(after[:1].isalnum()),
         float(before[-1:] in ".-+_=\""), float(len(set(digits))),
-        sum(c.isdigit() for c in near) / (len(near) + 1),
+        16 * sum(c.isdigit() for c in near) // (len(near) + 1) / 16,
         float(any(word in before.lower() for word in WORDS_BEFORE[KINDS[kind]])),
     ]
 
@@ -202,8 +215,10 @@ _ENTRY = pa.schema([
     ("doc_id", pa.int64()), ("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()),
     ("features", pa.list_(pa.float64())), ("base", pa.list_(pa.list_(pa.int64())))])
 ENTRY = "doc_id long, kind int, start long, end long, features array<double>, base array<array<long>>"
-_EXAMPLE = pa.schema([("kind", pa.int32()), ("features", pa.list_(pa.float64())), ("label", pa.float64())])
-EXAMPLE = "kind int, features array<double>, label double"
+HELD = 20_000
+_EXAMPLE = pa.schema([
+    ("half", pa.int32()), ("kind", pa.int32()), ("features", pa.list_(pa.float64())), ("label", pa.float64()), ("n", pa.int64())])
+EXAMPLE = "half int, kind int, features array<double>, label double, n long"
 
 
 def merged(spans: Iterable[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -260,8 +275,22 @@ def _texts(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[str]:
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    found = (e for text in _texts(batches, "text") if _WORTH.search(text) for e in examples(text))
-    yield from _batches(found, _EXAMPLE)
+    """Distinct examples and their counts, passed on whenever ``HELD`` have come together."""
+
+    def rows() -> Iterator[tuple]:
+        counts = Counter()
+        for text in _texts(batches, "text"):
+            if not _WORTH.search(text):
+                continue
+            half = zlib.crc32(text.encode()) >> 16 & 1
+            for kind, found, label in examples(text):
+                counts[half, kind, tuple(found), label] += 1
+                if len(counts) >= HELD:
+                    yield from ((*key, n) for key, n in counts.items())
+                    counts.clear()
+        yield from ((*key, n) for key, n in counts.items())
+
+    return _batches(rows(), _EXAMPLE)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,43 +346,55 @@ _REPORT = pa.schema([
 REPORT = "doc_id long, " + "".join(f"n_{k} long, " for k in KINDS) + "base_sha256 string, spans string, n_added long"
 
 
-def fitted(labelled: DataFrame, sample: int):
-    """The model and a threshold per kind, or None."""
-    labelled = checkpointed(labelled)
-    totals = dict(labelled.groupBy("label").count().collect())
+def trained(examples_: DataFrame):
+    """Boosted trees of weighted distinct examples, or None unless there are both labels."""
+    totals = dict(examples_.groupBy("label").agg(F.sum("n")).collect())
     if len(totals) < 2:
         return None
-    order = F.xxhash64("kind", "features", "label")
-    ranked = labelled.withColumn("order", order)
-    halves = [ranked.where(F.col("label") == label).orderBy("order", "kind").limit(sample // 2) for label in totals]
-    drawn = checkpointed(halves[0].union(halves[1]).select(
-        "kind", "label", array_to_vector("features").alias("features"), (F.pmod("order", F.lit(4)) == 0).alias("held")))
-    train = drawn.where("NOT held")
-    if train.select("label").distinct().count() < 2:
-        return None
-    weight = {label: total / min(total, sample // 2) for label, total in totals.items()}
-    model = GBTClassifier(maxIter=ROUNDS, maxDepth=DEPTH, minInstancesPerNode=LEAF, seed=7).fit(train)
-    scored = model.transform(drawn.where("held")).select(
-        "kind", "label", vector_to_array("probability")[1].alias("p")).collect()
+    whole = sum(totals.values())
+    weight = F.col("n") * F.when(F.col("label") == 1, whole / totals[1.0]).otherwise(whole / totals[0.0])
+    least = min(0.49, LEAF / whole)
+    trees = GBTClassifier(
+        maxIter=ROUNDS, maxDepth=DEPTH, minWeightFractionPerNode=least, maxBins=BINS, weightCol="weight", seed=7)
+    return trees.fit(examples_.withColumn("weight", weight))
+
+
+def thresholds_of(scored: DataFrame) -> list[float]:
+    """Per kind, from ``kind, label, p, n`` of all examples, counted in ``STEPS`` steps of the score."""
+    counted = scored.groupBy("kind", F.floor(F.col("p") * STEPS).alias("step")).agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("label")).alias("right"), F.min("p").alias("low"),
+        F.max("p").alias("high")).collect()
     thresholds = []
     for kind in range(len(KINDS)):
         lowest, right, seen = 2.0, 0.0, 0.0
-        falling = sorted(((r["p"], r["label"]) for r in scored if r["kind"] == kind), reverse=True)
-        for at, (p, label) in enumerate(falling, 1):
-            seen += weight[label]
-            right += label * weight[label]
+        falling = sorted((r for r in counted if r["kind"] == kind), key=lambda r: -r["step"])
+        for at, r in enumerate(falling, 1):
+            seen += r["n"]
+            right += r["right"]
             if (right + 1) / (seen + 2) >= PRECISION:
-                lowest = (p + (falling[at][0] if at < len(falling) else 0.0)) / 2
+                lowest = (r["low"] + (falling[at]["high"] if at < len(falling) else 0.0)) / 2
         thresholds.append(max(lowest, 0.5))
-    return model, thresholds
+    return thresholds
+
+
+def fitted(texts: DataFrame):
+    """The model of all texts and a threshold per kind, or None."""
+    counted = checkpointed(texts.mapInArrow(_examples, EXAMPLE).groupBy("half", "kind", "features", "label").agg(
+        F.sum("n").alias("n")).withColumn("features", array_to_vector("features")))
+    halves = [counted.where(F.col("half") == half) for half in (0, 1)]
+    models = [trained(half) for half in halves]
+    if not all(models):
+        return None
+    first, second = (
+        model.transform(other).select("kind", "label", vector_to_array("probability")[1].alias("p"), "n")
+        for model, other in zip(models, halves[::-1], strict=True))
+    return trained(counted), thresholds_of(first.union(second))
 
 
-def personal_data(docs: DataFrame, sample: int = SAMPLE, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+def personal_data(docs: DataFrame) -> DataFrame:
     """Per row: base counts, digest of the base spans, all spans, and how many were added."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
-    share = min(1.0, sample_docs / max(1, rows.count()))
-    drawn = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * share))
-    found = fitted(drawn.select("text").mapInArrow(_examples, EXAMPLE), sample)
+    found = fitted(rows.select("text"))
     if not found:
         score, model = F.lit(0.0), None
         kept = rows.mapInArrow(_entries, ENTRY).where("kind < 0")

@@ -211,3 +211,18 @@ def test_added_spans_of_noised_numbers(make):
     got = {r.doc_id: r.spans for r in pii.personal_data(make("doc_id long, text string", rows)).collect()}
     right = sum(set(got[i].split(",")) == planted[i] for i in planted)
     assert right >= 0.9 * len(planted), {i: (got[i], planted[i]) for i in planted if set(got[i].split(",")) != planted[i]}
+
+
+def test_all_texts_are_learned_from(make):
+    """Every example of every text is counted, however many there are, and copies weigh what they are."""
+    rows = [(f"write to user{i % 7}@mail.example.com about order {10**8 + i} or call +1 (171) 555-{1000 + i}",) for i in range(300)]
+    rows += [(rows[0][0],)] * 50
+    counted = make("text string", rows).repartition(5).mapInArrow(pii._examples, pii.EXAMPLE)
+    total = counted.groupBy().sum("n").first()[0]
+    assert total == sum(1 for (text,) in rows for _ in pii.examples(text)) > 2_000
+
+
+def test_thresholds_count_every_score(make):
+    rows = [(3, 1.0, 0.9, 1000), (3, 0.0, 0.7, 30), (3, 1.0, 0.6, 400), (3, 0.0, 0.55, 900), (2, 0.0, 0.9, 5)]
+    got = pii.thresholds_of(make("kind int, label double, p double, n long", rows))
+    assert got == [2.0, 2.0, 2.0, pytest.approx((0.6 + 0.55) / 2)]
