@@ -9,7 +9,9 @@ pattern reports the same span, and copies of the base finds with noise put betwe
 while other spans inside such a copy do not; finds that a base pattern would report without their noise are not held
 against the model. Features take few values (``level``), so equal examples are counted where they arise and once more
 over all tasks, and the trees learn from the distinct ones, weighted by their counts (both labels weigh the same).
-``BINS`` is wide enough for Spark to look for splits among a million distinct examples.
+``BINS`` is wide enough for Spark to look for splits among a million distinct examples. Each level of each tree is a
+shuffle of sums whose size goes with the number of tasks, so the distinct examples are dealt out by their number
+(``PER_TASK``), whatever the number of shuffle partitions, and a model's shuffles are deleted before the next one.
 
 The texts are in two halves, by hash. A model of each half scores the other, so every example has a score of a model
 that has not seen its text; from these scores comes one threshold per kind: half-way below the lowest score down to
@@ -33,7 +35,7 @@ import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from math import log2
+from math import ceil, log2
 
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
@@ -41,7 +43,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import checkpointed, whole_text
+from tallyfold.llm.common import checkpointed, release, whole_text
 
 KINDS = ["email", "ip", "card", "phone"]
 PRECISION = 0.95
@@ -50,6 +52,7 @@ DEPTH = 4
 LEAF = 10
 BINS = 1024
 STEPS = 10_000
+PER_TASK = 5_000
 
 #: Base patterns (fixed); quantifiers that cannot give back keep the search linear.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -379,16 +382,22 @@ def thresholds_of(scored: DataFrame) -> list[float]:
 
 def fitted(texts: DataFrame):
     """The model of all texts and a threshold per kind, or None."""
+    spark = texts.sparkSession
     counted = checkpointed(texts.mapInArrow(_examples, EXAMPLE).groupBy("half", "kind", "features", "label").agg(
         F.sum("n").alias("n")).withColumn("features", array_to_vector("features")))
-    halves = [counted.where(F.col("half") == half) for half in (0, 1)]
-    models = [trained(half) for half in halves]
+    counted = counted.coalesce(max(1, ceil(counted.count() / PER_TASK)))
+    halves, models = [counted.where(F.col("half") == half) for half in (0, 1)], []
+    for half in halves:
+        models.append(trained(half))
+        release(spark)
     if not all(models):
         return None
     first, second = (
         model.transform(other).select("kind", "label", vector_to_array("probability")[1].alias("p"), "n")
         for model, other in zip(models, halves[::-1], strict=True))
-    return trained(counted), thresholds_of(first.union(second))
+    whole, thresholds = trained(counted), thresholds_of(first.union(second))
+    release(spark)
+    return whole, thresholds
 
 
 def personal_data(docs: DataFrame) -> DataFrame:

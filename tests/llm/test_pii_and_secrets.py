@@ -226,3 +226,29 @@ def test_thresholds_count_every_score(make):
     rows = [(3, 1.0, 0.9, 1000), (3, 0.0, 0.7, 30), (3, 1.0, 0.6, 400), (3, 0.0, 0.55, 900), (2, 0.0, 0.9, 5)]
     got = pii.thresholds_of(make("kind int, label double, p double, n long", rows))
     assert got == [2.0, 2.0, 2.0, pytest.approx((0.6 + 0.55) / 2)]
+
+
+def test_number_of_examples_decides_into_how_many_tasks_they_go(make, spark, monkeypatch):
+    """Each level of a tree shuffles sums of every task, so few examples in many shuffle partitions must not mean many tasks."""
+    tasks, trained = [], pii.trained
+
+    def counting(examples):
+        tasks.append((examples.rdd.getNumPartitions(), examples.count()))
+        return trained(examples)
+
+    monkeypatch.setattr(pii, "trained", counting)
+    monkeypatch.setattr(pii, "PER_TASK", 200)
+    monkeypatch.setattr(pii, "ROUNDS", 2)
+    rows = [(i, f"write to user{i}@mail.example.com about order {10**8 + i * 37} or call +1 (171) 555-{1000 + i}") for i in range(60)]
+    changed = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in changed}
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        assert pii.personal_data(make("doc_id long, text string", rows)).count() == len(rows)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    examples = tasks[-1][1]
+    assert len(tasks) == 3 and 0 < examples < 40 * 200
+    assert {n for n, _ in tasks} == {-(-examples // 200)}
