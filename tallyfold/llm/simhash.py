@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import checkpointed, components, forget, release
+from tallyfold.llm.common import checkpointed, components, forget, release, tasks_for
 
 RADIUS = 2
 DENSE = 64
@@ -94,23 +94,25 @@ def grid_masks() -> list[int]:
 
 def links(classes: DataFrame) -> DataFrame:
     """(a, b): edges between the nodes of ``classes`` (node, fp; distinct fingerprints) that connect the same
-    nodes as all pairs within ``RADIUS`` bits do."""
+    nodes as all pairs within ``RADIUS`` bits do. As in ``components`` the number of rows decides how many tasks have them."""
     point = classes.select("node", "fp", embedded(F.col("fp")).alias("point"))
     cells = F.array(*(
         F.struct(F.lit(i).alias("axes"), F.col("point").bitwiseAND(F.lit(mask)).alias("at"))
         for i, mask in enumerate(grid_masks())))
     placed = point.withColumn("cell", F.explode(cells)).select("node", "fp", "point", "cell.axes", "cell.at")
     placed = checkpointed(placed)
+    tasks = tasks_for(placed.count())
+    placed = placed.coalesce(tasks)
     crowd = placed.groupBy("axes", "at").agg(F.count("*").alias("members")).where("members > 1")
-    met = checkpointed(placed.join(crowd, ["axes", "at"]))
+    met = checkpointed(placed.join(crowd, ["axes", "at"]).coalesce(tasks))
     sparse = met.where(F.col("members") <= DENSE)
     other = sparse.select("axes", "at", *(F.col(c).alias(f"{c}_b") for c in ("node", "fp", "point")))
     pairs = (
         sparse.join(other, ["axes", "at"]).where("node < node_b")
         .where(distance(F.col("point"), F.col("point_b")) <= RADIUS)
         .where(distance(F.col("fp"), F.col("fp_b")) <= RADIUS)
-        .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
-    crowded = met.where(F.col("members") > DENSE).select("node", "fp").distinct()
+        .select(F.col("node").alias("a"), F.col("node_b").alias("b")).coalesce(tasks).distinct())
+    crowded = met.where(F.col("members") > DENSE).select("node", "fp").distinct().coalesce(tasks)
     near = F.concat(F.array("fp"), *(
         F.array(F.col("fp").bitwiseXOR(F.lit((1 << bit) - (1 << 64 if bit == 63 else 0)))) for bit in range(64)))
     met_at = crowded.select("node", F.explode(near).alias("at")).groupBy("at").agg(F.collect_list("node").alias("nodes"))
@@ -129,6 +131,14 @@ def linked(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(labelled, "fp").select("doc_id", "fp", "component_id")
 
 
+def print_links(docs: DataFrame, words: int = 3) -> DataFrame:
+    """(a, b): edges between doc_ids that connect what ``linked`` connects; rows without doc_id have none."""
+    prints = checkpointed(fingerprints(docs.where("doc_id IS NOT NULL"), words))
+    classes = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("node")))
+    same = prints.join(classes, "fp").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    return same.union(links(classes))
+
+
 #: Near duplicates: hashes per band, chance that no band finds a pair at the threshold, and bounds of a chunk.
 ROWS = 3
 MISSED = 1e-11
@@ -230,8 +240,8 @@ def _joined_chunks(similarity: float):
     return groupwise
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of the documents that have a near copy.
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, also: DataFrame | None = None) -> DataFrame:
+    """(doc_id, component_id) of the documents that have a near copy or an edge in ``also`` (a, b; doc_ids).
 
     Two documents are linked when the Jaccard similarity of their shingle sets is ``similarity`` or more. At 0.8 that
     allows about ten differing bits, out of reach of the grid alone, so candidates come from two sides: fingerprints
@@ -245,7 +255,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     components are joined before the next round, so a group is taken apart once and not once a band. The similarity is
     always computed exactly.
 
-    Rows without doc_id take no part. Texts under one doc_id are one document.
+    Rows without doc_id take no part. Texts under one doc_id are one document. Edges in ``also`` hold without comparison.
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = checkpointed(rows.mapInArrow(
@@ -256,19 +266,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     placed = classes.select("cid", "n", F.posexplode("bands").alias("i", "band"))
     crowd = placed.groupBy("i", "band").agg(F.count("*").alias("members")).where("members > 1")
     shared = checkpointed(placed.join(crowd, ["i", "band"]))
+    # Short rows from here to the components: as many tasks as their number asks for, where there are more partitions.
+    tasks, few_tasks = tasks_for(shared.count()), tasks_for(classes.count())
+    shared = shared.coalesce(tasks)
 
     close = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
     member = F.struct("cid", "n")
-    weighed = shared.join(shared.groupBy("cid").agg(F.sum("members").alias("weight")), "cid")
+    weighed = shared.join(shared.groupBy("cid").agg(F.sum("members").alias("weight")), "cid").coalesce(tasks)
     ends = weighed.groupBy("i", "band").agg(
         F.max_by(member, F.struct("weight", "cid")).alias("hub"), F.min_by(member, F.xxhash64("cid", "band")).alias("first"))
     met = shared.join(ends, ["i", "band"]).select("cid", "n", F.explode(F.array("hub", "first")).alias("o")).where(
-        close(F.col("n"), F.col("o.n"))).select(F.col("cid").alias("a"), F.col("o.cid").alias("b"))
+        close(F.col("n"), F.col("o.n"))).select(F.col("cid").alias("a"), F.col("o.cid").alias("b")).coalesce(tasks)
     by_print = checkpointed(classes.groupBy("fp").agg(F.min("cid").alias("node")))
     same = classes.join(by_print, "fp").select(F.col("cid").alias("a"), F.col("node").alias("b"))
     found = same.union(links(by_print)).union(met)
     pairs = checkpointed(found.where("a <> b").select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()).coalesce(tasks)
 
     wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).union(shared.select("cid")).distinct()
     named = checkpointed(classes.select("cid", "key", "least").join(wanted, "cid", "left_semi"))
@@ -282,28 +295,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         return sized.where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
 
     # A doc_id with several texts is one document.
-    several = sketches.select("doc_id", "key").distinct().join(classes.select("key", "cid"), "key").groupBy("doc_id").agg(
-        F.min("cid").alias("a"), F.max("cid").alias("b"), F.collect_set("cid").alias("all")).where("a <> b")
-    edges = checkpointed(alike(pairs).union(several.select("a", F.explode("all").alias("b")).where("a <> b")))
+    of_doc = sketches.select("doc_id", "key").distinct().join(classes.select("key", "cid"), "key").groupBy("doc_id").agg(
+        F.min("cid").alias("a"), F.max("cid").alias("b"), F.collect_set("cid").alias("all"))
+    if also is not None:
+        of_doc = checkpointed(of_doc)
+    edges = alike(pairs).union(of_doc.where("a <> b").select("a", F.explode("all").alias("b")).where("a <> b"))
+    if also is not None:
+        one = lambda name: of_doc.select(F.col("doc_id").alias(name), F.col("a").alias(f"of_{name}"))
+        edges = edges.union(also.toDF("a", "b").join(one("a"), "a").join(one("b"), "b").select("of_a", "of_b"))
+    edges = checkpointed(edges)
     known = components(edges).toDF("cid", "component")
-    known = checkpointed(classes.select("cid").join(known, "cid", "left").select("cid", F.coalesce("component", "cid").alias("component")))
+    known = classes.select("cid").join(known, "cid", "left").select("cid", F.coalesce("component", "cid").alias("component"))
+    known = checkpointed(known.coalesce(few_tasks))
     release(docs.sparkSession)
 
     first = 0
     for last in (*ROUNDS, bands_for(similarity)):
-        labelled = shared.where((F.col("i") >= first) & (F.col("i") < last)).join(known, "cid")
+        labelled = shared.where((F.col("i") >= first) & (F.col("i") < last)).join(known, "cid").coalesce(tasks)
         first = last
         mixed = labelled.groupBy("i", "band").agg(
             F.sum("n").alias("total"), F.min("component").alias("lowest"), F.max("component").alias("highest")).where(
             "lowest <> highest").drop("lowest", "highest")
-        rest = checkpointed(labelled.join(mixed, ["i", "band"]))
+        rest = checkpointed(labelled.join(mixed, ["i", "band"]).coalesce(tasks))
         if rest.isEmpty():
             continue
         sparse = rest.where(F.col("members") <= DENSE).select("i", "band", "cid", "n", "component")
         other = sparse.select("i", "band", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "component")))
         few = sparse.join(other, ["i", "band"]).where("cid < cid_b AND component <> component_b").where(
-            close(F.col("n"), F.col("n_b"))).select(F.col("cid").alias("a"), F.col("cid_b").alias("b")).distinct()
-        few = few.join(pairs, ["a", "b"], "left_anti")
+            close(F.col("n"), F.col("n_b"))).select(F.col("cid").alias("a"), F.col("cid_b").alias("b")).coalesce(tasks).distinct()
+        few = few.join(pairs, ["a", "b"], "left_anti").coalesce(tasks)
         parts = F.ceil(F.greatest(F.col("total") / CHUNK_SHINGLES, F.col("members") / CHUNK_MEMBERS))
         dense = rest.where(F.col("members") > DENSE).withColumn("parts", parts).withColumn(
             "part", F.pmod(F.xxhash64("cid", "band"), F.col("parts")))
@@ -316,7 +336,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
         joined = alike(few).union(many).join(side("a"), "a").join(side("b"), "b").select("of_a", "of_b")
         merged = components(joined).toDF("component", "merged")
         known = checkpointed(known.join(merged, "component", "left").select(
-            "cid", F.coalesce("merged", "component").alias("component")))
+            "cid", F.coalesce("merged", "component").alias("component")).coalesce(few_tasks))
         release(docs.sparkSession)
 
     every = classes.select("cid", "key", "least", "most").join(known, "cid")
@@ -328,8 +348,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
 
 
 def all_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, component_id) of the documents with a copy: linked by their fingerprints (``linked``), a link that no other
-    measure overrules, or a near duplicate further away (``near_duplicates``); chains of both kinds are one component."""
-    prints = linked(docs.where("doc_id IS NOT NULL")).where("doc_id <> component_id").select("doc_id", "component_id")
-    edges = checkpointed(prints.union(near_duplicates(docs).where("doc_id <> component_id")))
-    return components(edges).toDF("doc_id", "component_id")
+    """(doc_id, component_id) of the documents with a copy: linked by their fingerprints (``print_links``), a link that no
+    other measure overrules, or a near duplicate further away (``near_duplicates``); chains of both kinds are one
+    component, found together."""
+    return near_duplicates(docs, also=print_links(docs))

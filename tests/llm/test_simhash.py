@@ -176,3 +176,46 @@ def test_pipeline_drops_what_fingerprints_link(make):
     assert [links[i] for i in range(3)] == [0, 0, 0] and simhash.near_duplicates(docs).collect() == []
     kept = corpus_pipeline.drop_near_copies(docs.sparkSession, docs, "").collect()
     assert sorted((-1 if r.doc_id is None else r.doc_id) for r in kept) == [-1, 0, 5]
+
+
+def test_links_of_both_kinds_are_one_component(make, monkeypatch):
+    """Fingerprint links go into the graph of near duplicates: chains over both kinds, the components found together."""
+    chance = random.Random(21)
+    repeated = "a b c " * 400
+    words = [f"w{i}" for i in range(200)]
+    rows = [(9, repeated + " ".join(f"w9x{k}" for k in range(40))), (4, repeated + " ".join(f"w4x{k}" for k in range(40)))]
+    rows += [(i, " ".join(edited(chance, words, 2))) for i in (20, 21, 22)]
+    rows += [(21, rows[0][1]), (30, "a text of its own with nothing in common"), (None, " ".join(words))]
+    docs = make("doc_id long, text string", rows)
+    calls, components = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: calls.append(1) or components(edges))
+    got = {r.doc_id: r.component_id for r in simhash.all_copies(docs).collect()}
+    assert got == dict.fromkeys((4, 9, 20, 21, 22), 4)
+    assert len(calls) <= 1 + len(simhash.ROUNDS) + 1
+
+
+def test_components_of_few_edges_run_in_few_tasks(spark, make):
+    """The number of edges decides into how many tasks they go, not the number of shuffle partitions; stars need no round."""
+    chance = random.Random(22)
+    pairs = [(chance.randrange(300), chance.randrange(300)) for _ in range(200)] + [(1000 + i, 1000 + i + 1) for i in range(40)]
+    label = {k: k for pair in pairs for k in pair}
+    for _ in range(len(label)):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    changed = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key) for key in changed}
+    context, group = spark.sparkContext, "components-of-few-edges"
+    try:
+        for key, value in changed.items():
+            spark.conf.set(key, value)
+        context.setJobGroup(group, group)
+        got = {r.node: r.component for r in simhash.components(make("x long, y long", pairs)).collect()}
+        stages = [context.statusTracker().getStageInfo(s) for j in context.statusTracker().getJobIdsForGroup(group)
+                  for s in context.statusTracker().getJobInfo(j).stageIds]
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert got == {k: v for k, v in label.items() if any(k in pair and pair[0] != pair[1] for pair in pairs)}
+    ran = [s.numTasks for s in stages if s and s.numCompletedTasks]
+    assert len(ran) > 10 and 4 * sum(n >= 60 for n in ran) < len(ran)
