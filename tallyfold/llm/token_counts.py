@@ -5,7 +5,7 @@ continues past such a place (checked when the model is loaded), so the pieces of
 First pass: corpus counts of pre-tokens, grouped, and the pieces of each distinct one. Second pass: pre-token
 frequencies per document. Pre-tokens frequent enough to be among the first ``HEAD`` (a fixed number of short strings,
 found from the histogram of counts) travel to the tasks and are summed where the document is read; all others are
-joined to the counted table. No pre-token is left out, and the split moves no count.
+joined to the counted table, which is kept in compressed files. No pre-token is left out, and the split moves no count.
 
 Rows are told apart by doc_id and length and, where ids repeat or are missing, a 64-bit hash of the text; rows equal in
 all are copies of one text, have equal counts and each come back. Null text counts as empty: 0 bytes, 0 tokens. Texts of
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import checkpointed, release, whole_text
+from tallyfold.llm.common import release, stored, whole_text
 
 SPACE = "▁"  # how the model writes a space
 PRE_TOKEN = re.compile(f"[ {SPACE}]+[^ {SPACE}\n]*|[^ {SPACE}\n]+|\n")
@@ -136,7 +136,7 @@ def _frequencies(head: Callable[[], dict[str, int]]):
 
 def token_counts(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
     """(doc_id, n_bytes, n_tokens) of every row, for the model file at ``path``."""
-    words = checkpointed(vocabulary(docs, path))
+    words = stored(vocabulary(docs, path), "pre-tokens")
     sent = docs.sparkSession.sparkContext.broadcast(head_of(words, head))
     release(docs.sparkSession)
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
@@ -150,7 +150,8 @@ def token_counts(docs: DataFrame, path: str, head: int = HEAD) -> DataFrame:
         "doc_id long, content long, n_bytes long, entries array<struct<token string, n long>>").select(
         "doc_id", "content", "n_bytes", F.inline("entries"))
     own = F.col("token").startswith("\n") & (F.col("token") != "\n")
-    summed = parts.join(words.select("token", "pieces"), "token", "left").groupBy("doc_id", "content", "n_bytes").agg(
+    # Sorted and merged: the files are so much smaller than the table that their size would allow a broadcast too soon.
+    summed = parts.join(words.select("token", "pieces").hint("merge"), "token", "left").groupBy("doc_id", "content", "n_bytes").agg(
         F.sum(F.when(own, F.col("n")).otherwise(F.col("n") * F.col("pieces"))).alias("tokens"), F.count_if(own).cast("int").alias("copies"))
     copy = F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")
     return summed.select("doc_id", "n_bytes", F.expr("tokens div copies").alias("n_tokens"), copy).drop("copy")

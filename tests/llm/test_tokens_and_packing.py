@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -44,6 +45,17 @@ def test_rows_without_id_whose_short_hashes_collide(spark, make):
         assert sorted((r.n_bytes, r.n_tokens) for r in got) == sorted((len(t), len(model.encode(t))) for t in texts)
 
 
+def test_distinct_pre_tokens_are_kept_in_few_bytes(spark):
+    """As a checkpoint the table took some 80 bytes for each of them, most of the disk beside the shuffles."""
+    held = lambda: sum(file.stat().st_size for file in Path(spark.conf.get("spark.checkpoint.dir")).rglob("*") if file.is_file())
+    words = F.concat_ws(" ", *(F.concat(F.lit("w"), (F.col("id") * 20 + at).cast("string")) for at in range(20)))
+    docs = spark.range(2_000).select(F.col("id").alias("doc_id"), words.alias("text"))
+    before = held()
+    counts = token_counts.token_counts(docs, PIECES)
+    assert 0 < held() - before < 40_000 * 20
+    assert counts.count() == 2_000
+
+
 def test_empty_tables(no_docs):
     assert token_counts.token_counts(no_docs, PIECES).collect() == []
     assert packing.packed(no_docs, WORDS).collect() == []
